@@ -22,7 +22,7 @@ HOUR = 3600
 
 @dataclass(frozen=True)
 class Running:
-    """One running value: ``how`` is sum, max or last (ignoring nulls).
+    """One running value: ``how`` is sum, max, last (ignoring nulls) or total, the sum over the whole key.
 
     ``within`` names chunk columns at whose change the value starts anew; ``prior`` leaves out
     the current row.
@@ -49,24 +49,27 @@ def running(
     keys, chunk, order = list(keys), list(chunk), list(order)
     rows = df.select("*", *[v.value.alias(f"_in_{v.name}") for v in values])
 
+    def c_name(v: Running) -> str:
+        return f"_in_{v.name}"
+
     def summary(v: Running) -> Column:
-        c = F.col(f"_in_{v.name}")
+        c = F.col(c_name(v))
         if v.how == "last":
             return F.max_by(c, F.when(c.isNotNull(), F.struct(*order))).alias(c_name(v))
-        return (F.sum(c) if v.how == "sum" else F.max(c)).alias(c_name(v))
-
-    def c_name(v: Running) -> str:
-        return f"_in_{v.name}"
+        return (F.max(c) if v.how == "max" else F.sum(c)).alias(c_name(v))
 
     totals = rows.groupBy(*keys, *chunk).agg(*[summary(v) for v in values])
     carried = []
     for v in values:
         group = [*keys, *v.within] or [F.lit(0)]
-        w = Window.partitionBy(*group).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy(*group)
+        if v.how != "total":
+            w = w.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
         carried.append(_over(v.how, F.col(c_name(v)), w).alias(c_name(v)))
     seeds = totals.select(*keys, *chunk, *carried).withColumn("_seed", F.lit(True))
 
-    everything = rows.withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+    only_seeded = [c_name(v) for v in values if v.how == "total"]
+    everything = rows.drop(*only_seeded).withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
     # seeds have no order values, and nulls sort first
     base = Window.partitionBy(*keys, *chunk).orderBy(*order)
     upto = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -67,7 +67,7 @@ def active_hour(df: DataFrame, key: str) -> DataFrame:
     h = F.hour(TS)
     parts = {"NIGHT": h < 6, "MORNING": (h >= 6) & (h < 12), "AFTERNOON": (h >= 12) & (h < 18), "EVENING": h >= 18}
     counts = df.groupBy(key).agg(*[F.count(F.when(cond, 1)).alias(f"_{name}") for name, cond in parts.items()])
-    ranked = F.array(*[F.struct(F.col(f"_{name}"), F.lit(-i), F.lit(name).alias("part")) for i, name in enumerate(parts)])
+    ranked = F.array(*[F.struct(F.col(f"_{name}").alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("part")) for i, name in enumerate(parts)])
     return counts.select(key, F.array_max(ranked)["part"].alias("active_hour_pref"))
 
 

@@ -218,7 +218,7 @@ def graph_fund_role(spark, sf):
 @query(
     "graph_two_hop",
     f"""WITH {TXN}, edge AS (SELECT DISTINCT account_no, device_id FROM txn),
-      seed AS (SELECT DISTINCT account_no FROM txn WHERE device_blacklist),
+      seed AS (SELECT DISTINCT account_no FROM txn WHERE blacklist),
       one AS (SELECT DISTINCT b.account_no FROM seed JOIN edge a USING (account_no) JOIN edge b USING (device_id) WHERE b.account_no NOT IN (FROM seed)),
       known AS (FROM seed UNION FROM one),
       two AS (SELECT DISTINCT b.account_no FROM one JOIN edge a USING (account_no) JOIN edge b USING (device_id) WHERE b.account_no NOT IN (FROM known))
@@ -226,7 +226,7 @@ def graph_fund_role(spark, sf):
 )
 def graph_two_hop(spark, sf):
     txn = tables.transactions(spark, sf)
-    return graph.linked_within(graph.device_edges(txn), txn.filter("device_blacklist").select("account_no"))
+    return graph.linked_within(graph.device_edges(txn), txn.filter("blacklist").select("account_no"))
 
 
 @query(
