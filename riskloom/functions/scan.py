@@ -38,7 +38,7 @@ class Running:
 def _over(how: str, c: Column, w) -> Column:
     if how == "last":
         return F.last(c, ignorenulls=True).over(w)
-    return (F.sum(c) if how == "sum" else F.max(c)).over(w)
+    return (F.max(c) if how == "max" else F.sum(c)).over(w)
 
 
 def running(
@@ -74,9 +74,12 @@ def running(
     base = Window.partitionBy(*keys, *chunk).orderBy(*order)
     upto = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = base.rowsBetween(Window.unboundedPreceding, -1)
-    out = everything.select(
-        *df.columns, "_seed", *[_over(v.how, F.col(c_name(v)), before if v.prior else upto).alias(v.name) for v in values]
-    )
+
+    def value(v: Running) -> Column:
+        # a total stands in the seed alone, so adding up the chunk keeps it
+        return _over(v.how, F.col(c_name(v)), before if v.prior else upto).alias(v.name)
+
+    out = everything.select(*df.columns, "_seed", *[value(v) for v in values])
     return out.filter(~F.col("_seed")).drop("_seed")
 
 

@@ -34,14 +34,19 @@ def json_documents(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).alias("doc_id"), F.to_json(F.struct(*df.columns)).alias("document"))
 
 
-def upsert(spark: SparkSession, path: str, version: int, rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> str:
-    """Merge rows into a keyed table, last by ``order`` wins; writes folder ``v=<version>`` whole.
+def write_batch(df: DataFrame, path: str, batch_id: int, keys: Sequence[str], order: Sequence[str]) -> None:
+    """File one batch of a keyed sink: its last row per key, under ``batch=<id>``.
 
-    A repeated version starts from the same previous folder and gives the same result, so a
-    replayed batch is harmless.
+    A batch that is delivered again replaces its own folder, so replays change nothing.
     """
-    if version > 0:
-        rows = spark.read.parquet(f"{path}/v={version - 1}").unionByName(rows)
-    target = f"{path}/v={version}"
-    latest_per(rows, keys, order).write.mode("overwrite").parquet(target)
-    return target
+    latest_per(df, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The current row of each key over all batches filed so far."""
+    return latest_per(spark.read.parquet(path), keys, [*order, "batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], order: Sequence[str]) -> None:
+    """Fold the filed batches into one folder of a new sink."""
+    read_latest(spark, path, keys, order).write.mode("overwrite").parquet(f"{target}/batch=-1")
