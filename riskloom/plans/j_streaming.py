@@ -27,7 +27,7 @@ _SQL_COLUMNS = ", ".join(_COLUMNS[:-1]) + ", epoch_us(feature_event_time) AS fea
 
 @query("stream_features", f"WITH {TXN}, {FEAT} SELECT account_no, event_id, {_SQL_COLUMNS} FROM feat")
 def stream_features(spark, sf):
-    out = features.stream_features(txn_stream(spark, sf), window=timedelta(hours=24))
+    out = features.stream_features(txn_stream(spark, sf), window=timedelta(hours=24), ttl_days=None)
     return runtime.run_fresh(out, "features").select("account_no", "event_id", *_COLUMNS)
 
 
@@ -38,7 +38,7 @@ def stream_features(spark, sf):
 )
 def stream_feature_sink(spark, sf):
     path, order = shared_path(spark, "feature-sink"), ["feature_event_us", "event_id"]
-    out = features.stream_features(txn_stream(spark, sf), window=timedelta(hours=24))
+    out = features.stream_features(txn_stream(spark, sf), window=timedelta(hours=24), ttl_days=None)
     runtime.run_batches(out, sinks.keyed_sink(path, ["account_no"], order), shared_path(spark, "feature-sink-checkpoint"))
     return read_latest(spark, path, ["account_no"], order).select("account_no", "event_id", *_COLUMNS)
 

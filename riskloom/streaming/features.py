@@ -49,9 +49,9 @@ _EPOCH = pd.Timestamp("1970-01-01").date()
 class AccountFeatures(StatefulProcessor):
     """State of one account: totals, and maps of the ids, devices and counterparties seen."""
 
-    def __init__(self, window: timedelta, ttl_days: int = STATE_DAYS) -> None:
+    def __init__(self, window: timedelta, ttl_days: int | None) -> None:
         self.window = int(window.total_seconds() * 1_000_000)
-        self.ttl = ttl_days * 86_400_000
+        self.ttl = None if ttl_days is None else ttl_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", _TOTALS, self.ttl)
@@ -98,8 +98,14 @@ class AccountFeatures(StatefulProcessor):
         pass
 
 
-def stream_features(txn: DataFrame, zone: str = "UTC", window: timedelta = timedelta(minutes=5)) -> DataFrame:
-    """Features per event of a transaction stream."""
+def stream_features(
+    txn: DataFrame, zone: str = "UTC", window: timedelta = timedelta(minutes=5), ttl_days: int | None = STATE_DAYS
+) -> DataFrame:
+    """Features per event of a transaction stream.
+
+    State not written for ``ttl_days`` expires by the clock, which keeps a stream's batches coming;
+    give None for a run that shall end with its input.
+    """
     slim = txn.select(
         "account_no",
         "event_id",
@@ -110,5 +116,8 @@ def stream_features(txn: DataFrame, zone: str = "UTC", window: timedelta = timed
         F.unix_date(F.to_date(F.from_utc_timestamp("event_time", zone))).alias("event_day"),
     )
     return slim.groupBy("account_no").transformWithStateInPandas(
-        statefulProcessor=AccountFeatures(window), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=AccountFeatures(window, ttl_days),
+        outputStructType=OUTPUT,
+        outputMode="Append",
+        timeMode="None" if ttl_days is None else "ProcessingTime",
     )
