@@ -12,42 +12,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(number: Column, values: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (number + 1).cast("int"))
-
-
-def account(user: Column) -> Column:
-    return F.concat(F.lit("6225"), F.lpad(user.cast("string"), 12, "0"))
-
-
 def transactions_from_events(events: DataFrame) -> DataFrame:
     """One payment event per row of ``events``, with the flags the rules read."""
-    n = F.col("event_id")
-    user = F.col("user_id")
-    k = F.get_json_object("props", "$.k").cast("int")
-    parsed = events.select(n.alias("n"), "user_id", "event_type", "value", k.alias("k"), F.col("ts").cast("timestamp").alias("event_time"))
-    n, k = F.col("n"), F.col("k")
-    return parsed.select(
+    # json_tuple generates a row, so filters on what is derived from it do not parse the text again
+    parsed = events.selectExpr(
+        "event_id AS n",
+        "user_id",
+        "event_type",
+        "value",
+        "CAST(ts AS TIMESTAMP) AS event_time",
+        "json_tuple(props, 'k') AS k",
+    )
+    return parsed.selectExpr(
         "n",
-        F.concat(F.lit("e-"), n.cast("string")).alias("event_id"),
-        F.concat(F.lit("t-"), n.cast("string")).alias("txn_id"),
-        _pick(n % 4, ["MOBILE_TRANSFER", "WEB_BANK", "ATM_NET", "API_PARTNER"]).alias("source_id"),
-        _pick(n % 5, ["MOBILE", "WEB", "ATM", "API", "BRANCH"]).alias("channel"),
-        _pick(F.floor(n / 4) % 4, ["TRANSFER", "REMITTANCE", "PAYMENT", "WITHDRAWAL"]).alias("biz_type"),
-        account(user).alias("account_no"),
-        F.when((k % 10 != 0) & (k != user), account(k)).alias("counterparty"),
-        (F.round(F.col("value") * 100).cast("bigint") * 400).alias("amount_minor"),
-        F.concat(F.lit("d-"), F.floor(user / 3).cast("string"), F.lit("-"), (k % 2).cast("string")).alias("device_id"),
-        F.concat(F.lit("10."), (n % 3).cast("string"), F.lit("."), (user % 256).cast("string"), F.lit(".1")).alias("ip"),
-        F.when(F.col("event_type") == "error", "FAILED")
-        .when(F.col("event_type") == "purchase", "SUCCESS")
-        .otherwise("UNKNOWN")
-        .alias("status"),
+        "concat('e-', n) AS event_id",
+        "concat('t-', n) AS txn_id",
+        "element_at(array('MOBILE_TRANSFER', 'WEB_BANK', 'ATM_NET', 'API_PARTNER'), CAST(n % 4 + 1 AS INT)) AS source_id",
+        "element_at(array('MOBILE', 'WEB', 'ATM', 'API', 'BRANCH'), CAST(n % 5 + 1 AS INT)) AS channel",
+        "element_at(array('TRANSFER', 'REMITTANCE', 'PAYMENT', 'WITHDRAWAL'), CAST((n DIV 4) % 4 + 1 AS INT)) AS biz_type",
+        "concat('6225', lpad(user_id, 12, '0')) AS account_no",
+        "CASE WHEN CAST(k AS INT) % 10 <> 0 AND CAST(k AS INT) <> user_id THEN concat('6225', lpad(k, 12, '0')) END AS counterparty",
+        "CAST(round(value * 100) AS BIGINT) * 400 AS amount_minor",
+        "concat('d-', user_id DIV 3, '-', CAST(k AS INT) % 2) AS device_id",
+        "concat('10.', n % 3, '.', user_id % 256, '.1') AS ip",
+        "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SUCCESS' ELSE 'UNKNOWN' END AS status",
         "event_time",
-        F.lit("CNY").alias("currency"),
-        (user % 50 == 7).alias("blacklist"),
-        (n % 101 != 0).alias("features_available"),
-    ).withColumn("device_blacklist", F.col("device_id") == "d-3-1")
+        "'CNY' AS currency",
+        "user_id % 50 = 7 AS blacklist",
+        "n % 101 <> 0 AS features_available",
+        "user_id DIV 3 = 3 AND CAST(k AS INT) % 2 = 1 AS device_blacklist",
+    )
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
