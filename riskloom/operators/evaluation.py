@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scan import Running, running, value_ranges
+from ..session import materialize
 
 MODEL = "model"
 
@@ -19,6 +20,7 @@ def cumulative(scored: DataFrame) -> DataFrame:
     """Per model and distinct score: counts of both classes at it, up to it, and in all."""
     positive = (F.col("label") == 1).cast("bigint")
     counts = scored.groupBy(MODEL, "score").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
+    counts = materialize(counts, "score-counts")
     ranged = value_ranges(counts, "score", "_range")
     values = [
         Running("cum_pos", F.col("pos")),
@@ -84,6 +86,7 @@ def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def report(scored: DataFrame, threshold: float = 0.5, limit: float = 0.01) -> DataFrame:
     """All metrics per model and the release gate: every metric finite, auc from 0.5 to 1."""
+    scored = materialize(scored.select(MODEL, "label", "score"), "scores")
     ranked = cumulative(scored).groupBy(MODEL).agg(_auc().alias("auc"), _ks().alias("ks"), _recall_at(limit).alias("recall_at_fpr"))
     joined = ranked.join(confusion(scored, threshold), MODEL)
     metrics = ["auc", "ks", "recall_at_fpr", "precision", "recall"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scan import Running, running, value_ranges
+from ..session import materialize
 from ..sources.schemas import RISK_LEVELS
 from .common import latest_per
 
@@ -114,6 +115,7 @@ def rule_hit_ratio(decisions: DataFrame, window: str = "5 minutes") -> DataFrame
 def quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) -> DataFrame:
     """Exact lower quantiles of a numeric column: the smallest value whose cumulative share reaches p."""
     counts = df.groupBy(F.col(col).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(counts, "value-counts")
     ranged = value_ranges(counts, "value", "_range")
     n = F.col("_n")
     cumulative = running(ranged, [], ["_range"], ["value"], [Running("_upto", n), Running("_total", n, how="total")])
