@@ -1,6 +1,6 @@
 """Running values over ordered keys without putting a whole key into one task.
 
-Rows of a key are cut into chunks that follow the order (time slots, value ranges). Each chunk is
+Rows of a key are cut into chunks that follow the order (time ranges, value ranges). Each chunk is
 summarised with a partially aggregated ``groupBy``; only those summaries are accumulated per key.
 The result enters every chunk as one extra "seed" row in front, so a window over (key, chunk)
 yields the values a window over the whole key would, with one shuffle of the rows.
@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
+from datetime import timedelta
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -42,10 +41,15 @@ def _over(how: str, c: Column, w) -> Column:
 
 
 def running(
-    df: DataFrame, keys: Sequence[str], chunk: Sequence[str], order: Sequence[str], values: Sequence[Running]
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: Sequence[str],
+    order: Sequence[str],
+    values: Sequence[Running],
+    descending: bool = False,
 ) -> DataFrame:
     """Add the running values. ``order`` columns must not be null and must identify a row within its
-    key; a later chunk must hold only later rows."""
+    key; a later chunk must hold only later rows. ``descending`` runs from the last row to the first."""
     keys, chunk, order = list(keys), list(chunk), list(order)
     rows = df.select("*", *[v.value.alias(f"_in_{v.name}") for v in values])
 
@@ -55,23 +59,27 @@ def running(
     def summary(v: Running) -> Column:
         c = F.col(c_name(v))
         if v.how == "last":
-            return F.max_by(c, F.when(c.isNotNull(), F.struct(*order))).alias(c_name(v))
+            outermost = F.min_by if descending else F.max_by
+            return outermost(c, F.when(c.isNotNull(), F.struct(*order))).alias(c_name(v))
         return (F.max(c) if v.how == "max" else F.sum(c)).alias(c_name(v))
 
+    def sort(columns: Sequence[str]) -> list[Column]:
+        # seeds have no order values and come first
+        return [F.col(c).desc_nulls_first() if descending else F.col(c).asc_nulls_first() for c in columns]
+
     totals = rows.groupBy(*keys, *chunk).agg(*[summary(v) for v in values])
     carried = []
     for v in values:
         group = [*keys, *v.within] or [F.lit(0)]
         w = Window.partitionBy(*group)
         if v.how != "total":
-            w = w.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+            w = w.orderBy(*sort(chunk)).rowsBetween(Window.unboundedPreceding, -1)
         carried.append(_over(v.how, F.col(c_name(v)), w).alias(c_name(v)))
     seeds = totals.select(*keys, *chunk, *carried).withColumn("_seed", F.lit(True))
 
     only_seeded = [c_name(v) for v in values if v.how == "total"]
     everything = rows.drop(*only_seeded).withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
-    # seeds have no order values, and nulls sort first
-    base = Window.partitionBy(*keys, *chunk).orderBy(*order)
+    base = Window.partitionBy(*keys, *chunk).orderBy(*sort(order))
     upto = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = base.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -83,46 +91,27 @@ def running(
     return out.filter(~F.col("_seed")).drop("_seed")
 
 
-def time_slot(ts: Column, seconds: int) -> Column:
-    """Number of the fixed-length time slot an instant lies in."""
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+def time_cuts(df: DataFrame, ts: str, ranges: int | None = None, window: timedelta | None = None) -> list[float]:
+    """Instants (in microseconds) that cut the rows into time ranges of about equal size.
 
+    No chunk cut at them can hold more than its range, whatever share of the rows one key or one
+    hour has. A scan that also counts rows out at the end of a ``window`` names it here. One pass
+    over one column; the driver sees only the cut points.
+    """
+    ranges = ranges or max(32, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    probs = [i / ranges for i in range(1, ranges)]
+    instants = [F.unix_micros(ts)] if window is None else [F.unix_micros(ts), F.unix_micros(F.col(ts) + F.lit(window))]
+    micros = df.select(F.explode(F.array(*instants)).cast("double").alias("t"))
+    return sorted(set(micros.approxQuantile("t", probs, 0.25 / ranges)))
 
-def following(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    order: Sequence[str],
-    marks: dict[str, Column],
-    within_seconds: int,
-) -> DataFrame:
-    """For each row the nearest later row of its key carrying each mark, if less than the window away.
 
-    ``marks`` maps a new column to an expression that is a non-null struct on marked rows; the
-    struct must start with the ``order`` columns. Slots are as long as the window, so looking at a
-    row's own slot and the first mark of the next one is enough.
-    """
-    keys, order = list(keys), list(order)
-    rows = df.select(
-        "*", time_slot(F.col(ts), within_seconds).alias("_slot"), *[c.alias(f"_in_{n}") for n, c in marks.items()]
-    )
-    heads = (
-        rows.filter(reduce(or_, [F.col(f"_in_{n}").isNotNull() for n in marks]))
-        .groupBy(*keys, "_slot")
-        .agg(*[F.min(f"_in_{n}").alias(f"_in_{n}") for n in marks])
-        .withColumn("_slot", F.col("_slot") - 1)
-        .withColumn("_seed", F.lit(True))
-    )
-    everything = rows.withColumn("_seed", F.lit(False)).unionByName(heads, allowMissingColumns=True)
-    w = (
-        Window.partitionBy(*keys, "_slot")
-        .orderBy(*[F.col(c).desc_nulls_first() for c in order])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    out = everything.select(
-        *df.columns, "_seed", *[F.last(f"_in_{n}", ignorenulls=True).over(w).alias(n) for n in marks]
-    )
-    return out.filter(~F.col("_seed")).drop("_seed")
+def with_slot(df: DataFrame, ts: str, out: str = "_slot", cuts: Sequence[float] | None = None) -> DataFrame:
+    """Add the number of the time range a row lies in: between the given cuts, or else by hour."""
+    if not cuts:
+        return df.withColumn(out, F.floor(F.unix_micros(ts) / F.lit(HOUR * 1_000_000)).cast("double"))
+    splits = [float("-inf"), *cuts, float("inf")]
+    timed = df.withColumn("_micros", F.unix_micros(ts).cast("double"))
+    return Bucketizer(splits=splits, inputCol="_micros", outputCol=out).transform(timed).drop("_micros")
 
 
 def value_ranges(df: DataFrame, col: str, out: str, ranges: int = 64) -> DataFrame:

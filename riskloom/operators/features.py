@@ -7,12 +7,13 @@ from chunked scans (``functions.scan``).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import HOUR, Running, running, time_slot
+from ..functions.scan import Running, running, with_slot
 from ..functions.text import non_blank
 from .common import first_per, latest_per
 
@@ -41,19 +42,21 @@ def _local(ts: Column, zone: str) -> Column:
     return F.from_utc_timestamp(ts, zone)
 
 
-def _chunked(df: DataFrame, zone: str, slot_seconds: int) -> DataFrame:
-    """Cut by local day and by time slot; slots are counted in UTC, so they follow the order in any zone."""
-    ts = F.col("event_time")
-    return df.withColumn("_day", F.to_date(_local(ts, zone))).withColumn("_slot", time_slot(ts, slot_seconds))
+Cuts = Sequence[float] | None
 
 
-def daily_running(df: DataFrame, zone: str = "UTC", slot_seconds: int = HOUR) -> DataFrame:
+def _chunked(df: DataFrame, zone: str, cuts: Cuts) -> DataFrame:
+    """Cut by local day and by time range; ranges are cut in UTC, so they follow the order in any zone."""
+    return with_slot(df.withColumn("_day", F.to_date(_local(F.col("event_time"), zone))), "event_time", "_slot", cuts)
+
+
+def daily_running(df: DataFrame, zone: str = "UTC", cuts: Cuts = None) -> DataFrame:
     """Add ``daily_amount`` and ``daily_count``: the account's local day up to and with the row."""
     values = [
         Running("daily_amount", F.col("amount_minor"), within=("_day",)),
         Running("daily_count", F.lit(1).cast("bigint"), within=("_day",)),
     ]
-    return running(_chunked(df, zone, slot_seconds), KEYS, CHUNK, ORDER, values).drop(*CHUNK)
+    return running(_chunked(df, zone, cuts), KEYS, CHUNK, ORDER, values).drop(*CHUNK)
 
 
 def _with_expiry(df: DataFrame, window: timedelta) -> DataFrame:
@@ -72,12 +75,12 @@ def _with_expiry(df: DataFrame, window: timedelta) -> DataFrame:
     return arrivals.unionByName(departures, allowMissingColumns=True)
 
 
-def velocity(df: DataFrame, window: timedelta = VELOCITY, slot_seconds: int = HOUR) -> DataFrame:
+def velocity(df: DataFrame, window: timedelta = VELOCITY, cuts: Cuts = None) -> DataFrame:
     """Add ``txn_count``: the account's events in the window ending at the row.
 
     Arrivals count up and departures count down, so the cost does not grow with the window.
     """
-    both = _chunked(_with_expiry(df, window), "UTC", slot_seconds)
+    both = _chunked(_with_expiry(df, window), "UTC", cuts)
     out = running(both, KEYS, CHUNK, ["event_time", "_gone", "event_id"], [Running("txn_count", F.col("_delta"))])
     return out.filter(F.col("_gone") == 0).select(*df.columns, "txn_count")
 
@@ -104,16 +107,16 @@ def device_new(df: DataFrame) -> DataFrame:
     return df.join(first, "event_id", "left").withColumn("device_new", F.coalesce("device_new", F.lit(False)))
 
 
-def distinct_running(df: DataFrame, col: str, out: str, slot_seconds: int = HOUR) -> DataFrame:
+def distinct_running(df: DataFrame, col: str, out: str, cuts: Cuts = None) -> DataFrame:
     """Add the number of distinct non-blank values the account has shown so far."""
-    rows = _chunked(_marked(df, {"_first": col}), "UTC", slot_seconds)
+    rows = _chunked(_marked(df, {"_first": col}), "UTC", cuts)
     value = F.coalesce("_first", F.lit(0).cast("bigint"))
     res = running(rows, KEYS, CHUNK, [*ORDER, "_kind"], [Running(out, value)])
     return res.filter(F.col("_kind") == 1).select(*df.columns, out)
 
 
 def feature_snapshot(
-    df: DataFrame, zone: str = "UTC", window: timedelta = VELOCITY, slot_seconds: int = HOUR
+    df: DataFrame, zone: str = "UTC", window: timedelta = VELOCITY, cuts: Cuts = None
 ) -> DataFrame:
     """Add all account features as they stand right after each event, in one scan."""
     marks = {"_dev": "device_id", "_cp": "counterparty"}
@@ -126,7 +129,7 @@ def feature_snapshot(
         F.lit(1).alias("_gone"),
         F.lit(row_kind + 1).alias("_kind"),
     )
-    rows = _chunked(rows.unionByName(departures, allowMissingColumns=True), zone, slot_seconds)
+    rows = _chunked(rows.unionByName(departures, allowMissingColumns=True), zone, cuts)
 
     kind = F.col("_kind")
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
@@ -158,13 +161,13 @@ def latest_features(snapshot: DataFrame) -> DataFrame:
     return latest_per(snapshot, KEYS, ORDER).select(*KEYS, *SNAPSHOT)
 
 
-def features_as_of(snapshot: DataFrame, slot_seconds: int = HOUR) -> DataFrame:
+def features_as_of(snapshot: DataFrame, cuts: Cuts = None) -> DataFrame:
     """Replace each row's features by those stored after the account's previous event.
 
     The first event of an account finds none. The stored values are stale on purpose: a daily
     total of yesterday stays until the next event rewrites it.
     """
-    chunked = _chunked(snapshot, "UTC", slot_seconds)
+    chunked = _chunked(snapshot, "UTC", cuts)
     stored = Running("_stored", F.struct(*SNAPSHOT), how="last", prior=True)
     out = running(chunked, KEYS, CHUNK, ORDER, [stored])
     payload = [c for c in snapshot.columns if c not in SNAPSHOT]

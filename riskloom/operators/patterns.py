@@ -1,17 +1,18 @@
 """Event sequences inside an account, in event-time order.
 
 Every start event begins its own match and ``within`` is strict: the gap from the first to the last
-event must be less than the window.
+event must be less than the window. ``cuts`` are time cuts as for the account features.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import HOUR, Running, following, running, time_slot
+from ..functions.scan import Running, running, with_slot
 from .common import first_per
 
 KEY = "account_no"
@@ -19,19 +20,29 @@ TS = "event_time"
 ORDER = [TS, "event_id"]
 
 
+def _following(df: DataFrame, marks: dict[str, Column]) -> DataFrame:
+    """Add for each mark the nearest later row of the account that carries it."""
+    values = [Running(name, mark, how="last", prior=True) for name, mark in marks.items()]
+    return running(df, [KEY], ["_slot"], ORDER, values, descending=True)
+
+
 def _inside(first: str, last: str, within: timedelta):
     return F.col(last) - F.col(first) < F.lit(within)
 
 
 def probe_then_large(
-    txn: DataFrame, probe: int = 10_000, large: int = 1_000_000, within: timedelta = timedelta(minutes=10)
+    txn: DataFrame,
+    probe: int = 10_000,
+    large: int = 1_000_000,
+    within: timedelta = timedelta(minutes=10),
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Each event of at most ``probe`` paired with the next later event of at least ``large``."""
     slim = txn.select(KEY, *ORDER, "amount_minor", "source_id", "txn_id").filter(
         (F.col("amount_minor") <= probe) | (F.col("amount_minor") >= large)
     )
     mark = F.when(F.col("amount_minor") >= large, F.struct(*ORDER, "amount_minor", "source_id", "txn_id"))
-    found = following(slim, [KEY], TS, ORDER, {"next_large": mark}, int(within.total_seconds()))
+    found = _following(with_slot(slim, TS, "_slot", cuts), {"next_large": mark})
     return (
         found.filter((F.col("amount_minor") <= probe) & F.col("next_large").isNotNull())
         .select(
@@ -50,7 +61,11 @@ def probe_then_large(
 
 
 def failed_then_success(
-    txn: DataFrame, min_failures: int = 3, within: timedelta = timedelta(minutes=30), collapse: bool = False
+    txn: DataFrame,
+    min_failures: int = 3,
+    within: timedelta = timedelta(minutes=30),
+    collapse: bool = False,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Runs of consecutive failures, then (other events may come between) the next success.
 
@@ -59,16 +74,14 @@ def failed_then_success(
     stay linear in the input; ``expand_matches`` lists the matches one by one. ``collapse`` keeps
     only the longest match of each run.
     """
-    slim = txn.select(KEY, *ORDER, "status", "source_id", "txn_id")
+    slim = with_slot(txn.select(KEY, *ORDER, "status", "source_id", "txn_id"), TS, "_slot", cuts)
     failed = F.col("status") == "FAILED"
-    seconds = int(within.total_seconds())
-    slotted = slim.withColumn("_cut", time_slot(F.col(TS), HOUR))
-    counted = running(slotted, [KEY], ["_cut"], ORDER, [Running("failures_so_far", failed.cast("bigint"))]).drop("_cut")
+    counted = running(slim, [KEY], ["_slot"], ORDER, [Running("failures_so_far", failed.cast("bigint"))])
     marks = {
         "run_end": F.when(~failed, F.struct(*ORDER, "failures_so_far")),
         "next_success": F.when(F.col("status") == "SUCCESS", F.struct(*ORDER, "source_id", "txn_id")),
     }
-    found = following(counted, [KEY], TS, ORDER, marks, seconds).filter(failed & F.col("next_success").isNotNull())
+    found = _following(counted, marks).filter(failed & F.col("next_success").isNotNull())
     starts = found.select(
         KEY,
         F.col("event_id").alias("first_event_id"),

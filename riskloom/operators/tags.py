@@ -1,6 +1,7 @@
 """Customer tags. Cut-offs are parameters; their defaults are ours.
 
 ``df`` needs the key column, ``event_time`` and the columns a tag names. Amounts are minor units.
+``cuts`` are time cuts as for the account features.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import checked_broadcast
-from ..functions.scan import HOUR, Running, running, time_slot
+from ..functions.scan import Running, running, with_slot
 from ..functions.text import non_blank
 from .common import first_per
 
@@ -154,12 +155,13 @@ def net_flow(flows: DataFrame, key: str = "account") -> DataFrame:
     return s.filter(F.col("_payments") > 0).drop("_payments")
 
 
-def fast_in_out(flows: DataFrame, key: str = "account", within: timedelta = timedelta(minutes=30)) -> DataFrame:
+def fast_in_out(
+    flows: DataFrame, key: str = "account", within: timedelta = timedelta(minutes=30), cuts: Sequence[float] | None = None
+) -> DataFrame:
     """Share of the money paid out at most ``within`` after the latest receipt."""
     incoming = F.col("signed_amount") > 0
-    rows = flows.filter(F.col("signed_amount") != 0).withColumns(
-        {"_leg": F.when(incoming, 0).otherwise(1), "_slot": time_slot(F.col(TS), HOUR)}
-    )
+    moved = flows.filter(F.col("signed_amount") != 0).withColumn("_leg", F.when(incoming, 0).otherwise(1))
+    rows = with_slot(moved, TS, "_slot", cuts)
     last_in = Running("_last_in", F.when(incoming, F.col(TS)), how="max")
     out = running(rows, [key], ["_slot"], [TS, "_leg", "event_id"], [last_in]).filter(~incoming)
     fast = F.coalesce(F.col(TS) - F.col("_last_in") <= F.lit(within), F.lit(False))
@@ -167,17 +169,17 @@ def fast_in_out(flows: DataFrame, key: str = "account", within: timedelta = time
     return out.groupBy(key).agg((F.sum(F.when(fast, paid).otherwise(0)) / F.sum(paid)).alias("fast_in_out_ratio"))
 
 
-def network_change(df: DataFrame, key: str) -> DataFrame:
+def network_change(df: DataFrame, key: str, cuts: Sequence[float] | None = None) -> DataFrame:
     """Add ``geo_anomaly``: the network prefix differs from that of the previous event."""
     prefix = F.substring_index("ip", ".", 2)
-    rows = df.withColumns({"_prefix": prefix, "_slot": time_slot(F.col(TS), HOUR)})
+    rows = with_slot(df.withColumn("_prefix", prefix), TS, "_slot", cuts)
     out = running(rows, [key], ["_slot"], [TS, "event_id"], [Running("_before", F.col("_prefix"), how="last", prior=True)])
     return out.select(*df.columns, F.coalesce(F.col("_prefix") != F.col("_before"), F.lit(False)).alias("geo_anomaly"))
 
 
-def trend(df: DataFrame, key: str, as_of: Column, period: int = 7) -> DataFrame:
+def trend(df: DataFrame, key: str, as_of: Column, period: int = 7, cuts: Sequence[float] | None = None) -> DataFrame:
     """Gaps between events, slope of the amount over days, and the last period against the one before."""
-    rows = df.withColumn("_slot", time_slot(F.col(TS), HOUR))
+    rows = with_slot(df, TS, "_slot", cuts)
     spaced = running(rows, [key], ["_slot"], [TS, "event_id"], [Running("_before", F.col(TS), how="last", prior=True)])
     gap = F.unix_seconds(TS) - F.unix_seconds("_before")
     day = F.datediff(F.to_date(TS), as_of).cast("double")

@@ -16,11 +16,13 @@ WIDE = timedelta(hours=24)
 
 
 def snapshot(spark, sf):
-    return features.feature_snapshot(tables.transactions(spark, sf), window=WIDE)
+    return features.feature_snapshot(tables.transactions(spark, sf), window=WIDE, cuts=tables.event_cuts(spark, sf, WIDE))
 
 
 def as_of(spark, sf):
-    return features.features_as_of(snapshot(spark, sf))
+    cuts = tables.event_cuts(spark, sf, WIDE)
+    stored = features.feature_snapshot(tables.transactions(spark, sf), window=WIDE, cuts=cuts)
+    return features.features_as_of(stored, cuts)
 
 
 def _shown(df):
@@ -42,7 +44,8 @@ def dedup_events(spark, sf):
 
 @query("feat_daily_running", f"WITH {TXN}, {FEAT} SELECT event_id, daily_amount, daily_count FROM feat")
 def feat_daily_running(spark, sf):
-    return features.daily_running(tables.transactions(spark, sf)).select("event_id", "daily_amount", "daily_count")
+    out = features.daily_running(tables.transactions(spark, sf), cuts=tables.event_cuts(spark, sf))
+    return out.select("event_id", "daily_amount", "daily_count")
 
 
 @query(
@@ -54,8 +57,8 @@ def feat_daily_running(spark, sf):
 )
 def feat_velocity(spark, sf):
     txn = tables.transactions(spark, sf).select("event_id", "account_no", "event_time")
-    short = features.velocity(txn).withColumnRenamed("txn_count", "txn_count_5m")
-    return features.velocity(short, WIDE).select("event_id", "txn_count_5m", F.col("txn_count").alias("txn_count_24h"))
+    short = features.velocity(txn, cuts=tables.event_cuts(spark, sf, features.VELOCITY)).withColumnRenamed("txn_count", "txn_count_5m")
+    return features.velocity(short, WIDE, tables.event_cuts(spark, sf, WIDE)).select("event_id", "txn_count_5m", F.col("txn_count").alias("txn_count_24h"))
 
 
 @query("feat_device_new", f"WITH {TXN}, {FEAT} SELECT event_id, device_new FROM feat")
@@ -67,13 +70,13 @@ def feat_device_new(spark, sf):
 @query("feat_known_devices", f"WITH {TXN}, {FEAT} SELECT event_id, known_device_count FROM feat")
 def feat_known_devices(spark, sf):
     txn = tables.transactions(spark, sf).select("event_id", "account_no", "device_id", "event_time")
-    return features.distinct_running(txn, "device_id", "known_device_count").select("event_id", "known_device_count")
+    return features.distinct_running(txn, "device_id", "known_device_count", tables.event_cuts(spark, sf)).select("event_id", "known_device_count")
 
 
 @query("feat_unique_counterparties", f"WITH {TXN}, {FEAT} SELECT event_id, unique_counterparty_count FROM feat")
 def feat_unique_counterparties(spark, sf):
     txn = tables.transactions(spark, sf).select("event_id", "account_no", "counterparty", "event_time")
-    out = features.distinct_running(txn, "counterparty", "unique_counterparty_count")
+    out = features.distinct_running(txn, "counterparty", "unique_counterparty_count", tables.event_cuts(spark, sf))
     return out.select("event_id", "unique_counterparty_count")
 
 

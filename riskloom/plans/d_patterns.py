@@ -48,11 +48,11 @@ signal AS (
 
 
 def probes(spark, sf):
-    return patterns.probe_then_large(tables.transactions(spark, sf), PROBE, LARGE, timedelta(hours=24))
+    return patterns.probe_then_large(tables.transactions(spark, sf), PROBE, LARGE, timedelta(hours=24), tables.event_cuts(spark, sf))
 
 
 def failures(spark, sf):
-    return patterns.failed_then_success(tables.transactions(spark, sf), 3, timedelta(hours=72))
+    return patterns.failed_then_success(tables.transactions(spark, sf), 3, timedelta(hours=72), cuts=tables.event_cuts(spark, sf))
 
 
 @query(

@@ -160,7 +160,7 @@ def tags_net_flow(spark, sf):
       FROM o WHERE amount < 0 GROUP BY 1""",
 )
 def tags_fast_in_out(spark, sf):
-    return tags.fast_in_out(tables.flows(tables.transactions(spark, sf)), within=timedelta(hours=2))
+    return tags.fast_in_out(tables.flows(tables.transactions(spark, sf)), within=timedelta(hours=2), cuts=tables.event_cuts(spark, sf))
 
 
 @query(
@@ -170,7 +170,7 @@ def tags_fast_in_out(spark, sf):
 )
 def tags_ip_change(spark, sf):
     txn = tables.transactions(spark, sf).select("event_id", "account_no", "event_time", "ip")
-    return tags.network_change(txn, "account_no").select("event_id", "geo_anomaly")
+    return tags.network_change(txn, "account_no", tables.event_cuts(spark, sf)).select("event_id", "geo_anomaly")
 
 
 GROUPS_SQL = """
@@ -244,7 +244,7 @@ def graph_two_hop(spark, sf):
 )
 def tags_trend(spark, sf):
     txn = tables.transactions(spark, sf).select("event_id", "account_no", "event_time", "amount_minor")
-    return tags.trend(txn, "account_no", ts(TXN_AS_OF)).withColumn("amount_slope", F.round("amount_slope", 4))
+    return tags.trend(txn, "account_no", ts(TXN_AS_OF), cuts=tables.event_cuts(spark, sf)).withColumn("amount_slope", F.round("amount_slope", 4))
 
 
 @query(

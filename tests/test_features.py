@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from riskloom.functions.scan import time_cuts
 from riskloom.operators import features
 
 
@@ -76,12 +77,13 @@ def random_events(seed, n=250, accounts=3, spread=200_000):
     return sorted(rows, key=lambda r: (r[2], r[0]))
 
 
-@pytest.mark.parametrize("seed,slot", [(1, 3600), (2, 300), (3, 86_400)])
-def test_snapshot_equals_state_rules(txn, seed, slot):
+@pytest.mark.parametrize("seed,ranges", [(1, None), (2, 3), (3, 50)])
+def test_snapshot_equals_state_rules(txn, seed, ranges):
     events = random_events(seed)
     df = txn([(e, a, t.isoformat(), m, d, c) for e, a, t, m, d, c in events])
     window = timedelta(minutes=47)
-    assert snapshot_of(df, window=window, slot_seconds=slot) == accumulate(events, window)
+    cuts = time_cuts(df, "event_time", ranges) if ranges else None
+    assert snapshot_of(df, window=window, cuts=cuts) == accumulate(events, window)
 
 
 def test_single_features_equal_snapshot(txn):

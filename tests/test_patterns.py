@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from riskloom.functions.scan import time_cuts
 from riskloom.operators import patterns
 
 T0 = datetime(2026, 7, 22, 1)
@@ -32,8 +33,8 @@ def statuses(txn, text, step=60):
     return txn([(f"e{i:03d}", "a", at(i * step), 1, None, None, names[s]) for i, s in enumerate(text)])
 
 
-def matches(df):
-    expanded = patterns.expand_matches(patterns.failed_then_success(df))
+def matches(df, cuts=None):
+    expanded = patterns.expand_matches(patterns.failed_then_success(df, cuts=cuts))
     return sorted((r.first_event_id, r.failure_count, r.success_event_id) for r in expanded.collect())
 
 
@@ -69,7 +70,8 @@ def test_failures_equal_brute_force(txn, seed):
     times = sorted(rnd.sample(range(0, 20_000), 160))
     events = [(f"e{i:03d}", rnd.choice("aab"), T0 + timedelta(seconds=s), rnd.choice(["FAILED"] * 5 + ["SUCCESS", "UNKNOWN"])) for i, s in enumerate(times)]
     df = txn([(e, a, t.isoformat(), 1, None, None, s) for e, a, t, s in events])
-    assert matches(df) == brute_force(events, timedelta(minutes=30))
+    for cuts in (None, time_cuts(df, "event_time", 40)):
+        assert matches(df, cuts) == brute_force(events, timedelta(minutes=30))
 
 
 @pytest.mark.parametrize("seed", [4, 5])
@@ -83,7 +85,8 @@ def test_probes_equal_brute_force(txn, seed):
         if m <= 10_000 and later and later[0][2] - t < timedelta(minutes=10):
             expected.append((e, later[0][0]))
     df = txn([(e, a, t.isoformat(), m) for e, a, t, m in events])
-    assert pairs(patterns.probe_then_large(df)) == sorted(expected)
+    for cuts in (None, time_cuts(df, "event_time", 40)):
+        assert pairs(patterns.probe_then_large(df, cuts=cuts)) == sorted(expected)
 
 
 def test_signals_are_deterministic(txn):
