@@ -100,8 +100,8 @@ def time_cuts(df: DataFrame, ts: str, ranges: int | None = None, window: timedel
     """
     ranges = ranges or max(32, 4 * df.sparkSession.sparkContext.defaultParallelism)
     probs = [i / ranges for i in range(1, ranges)]
-    instants = [F.unix_micros(ts)] if window is None else [F.unix_micros(ts), F.unix_micros(F.col(ts) + F.lit(window))]
-    micros = df.select(F.explode(F.array(*instants)).cast("double").alias("t"))
+    instants = [F.col(ts)] if window is None else [F.col(ts), F.col(ts) + F.lit(window)]
+    micros = df.select(F.explode(F.array(*[F.unix_micros(t).cast("double") for t in instants])).alias("t"))
     return sorted(set(micros.approxQuantile("t", probs, 0.25 / ranges)))
 
 
