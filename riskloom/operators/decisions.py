@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hmac_sha256
@@ -181,17 +181,27 @@ def open_cases(decisions: DataFrame) -> DataFrame:
 
 def rule_effect(decisions: DataFrame, labels: DataFrame) -> DataFrame:
     """Per rule: hits, share of all decisions, labelled hits and the confirmed-fraud share of those."""
-    total = decisions.agg(F.count(F.lit(1))).scalar()
     fraud = F.when(F.col("label") == "FRAUD", 1).when(F.col("label").isNotNull(), 0)
-    exploded = decisions.select("source_id", "txn_id", F.explode("hit_rules").alias("rule"))
-    return (
-        exploded.join(labels.select("source_id", "txn_id", "label"), ["source_id", "txn_id"], "left")
+    # a decision without hits gives one row without a rule, so first rows count the decisions
+    rows = decisions.select("source_id", "txn_id", F.posexplode_outer("hit_rules").alias("pos", "rule"))
+    per_rule = (
+        rows.join(labels.select("source_id", "txn_id", "label"), ["source_id", "txn_id"], "left")
         .groupBy("rule")
-        .agg(F.count(F.lit(1)).alias("hits"), F.count(fraud).alias("labelled"), F.sum(fraud).alias("_fraud"))
+        .agg(
+            F.count(F.lit(1)).alias("hits"),
+            F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).alias("_firsts"),
+            F.count(fraud).alias("labelled"),
+            F.sum(fraud).alias("_fraud"),
+        )
+    )
+    total = F.sum("_firsts").over(Window.partitionBy(F.lit(0)))  # one row per rule
+    return (
+        per_rule.withColumn("hit_ratio", F.col("hits") / total)
+        .filter(F.col("rule").isNotNull())
         .select(
             "rule",
             "hits",
-            (F.col("hits") / total).alias("hit_ratio"),
+            "hit_ratio",
             "labelled",
             F.when(F.col("labelled") > 0, F.col("_fraud") / F.col("labelled")).otherwise(0.0).alias("fraud_rate"),
         )

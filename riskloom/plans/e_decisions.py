@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import decisions as dec
 from ..operators import rules
 from ..operators.common import latest_per
+from ..session import materialize
 from ..sources import tables
 from .c_features import as_of
 from .oracle import ASOF, CASE_LABEL, DECISIONS, FEAT, KEY, SCORE, TXN, action, hits, level
@@ -30,6 +31,11 @@ def records(spark, sf):
     return dec.records(decided(spark, sf))
 
 
+def stored(spark, sf):
+    """The decision records as a stored table, for queries that read it more than once."""
+    return materialize(records(spark, sf), "decisions")
+
+
 def joined(c: str = "hit_rules"):
     return F.concat_ws(",", c).alias(c)
 
@@ -142,7 +148,7 @@ def decisions(spark, sf):
 @query("decisions_idempotent", f"WITH {DECISIONS} SELECT {_RECORD} FROM decision")
 def decisions_idempotent(spark, sf):
     """Retried requests, a minute later and at another cost, leave the first decision in place."""
-    first = records(spark, sf)
+    first = stored(spark, sf)
     retried = first.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 MINUTE")).withColumn("cost_ms", F.col("cost_ms") + 1)
     out = dec.idempotent(first.unionByName(retried))
     return out.withColumn("hit_rules", joined()).select(*_RECORD.split(", "))
@@ -197,7 +203,7 @@ def intercepts_30d(spark, sf):
 
 def reissued(spark, sf):
     """Decision events as delivered: every one twice, the second a minute later at twice the cost."""
-    first = records(spark, sf)
+    first = stored(spark, sf)
     again = first.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 MINUTE")).withColumn("cost_ms", F.col("cost_ms") * 2)
     return first.unionByName(again)
 

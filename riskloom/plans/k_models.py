@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import drift, evaluation, features, training
+from ..session import materialize
 from ..sources import tables
 from .c_features import MODEL_FEATURES_SQL, as_of
 from .e_decisions import records
@@ -20,8 +21,8 @@ def training_rows(spark, sf):
 
 
 def trained(spark, sf):
-    """The split training rows, cached for the many passes of tree building."""
-    return training.prepared(training_rows(spark, sf)).persist()
+    """The split training rows. The labelled set is stored once; tree building passes over the cached split."""
+    return training.prepared(materialize(training_rows(spark, sf), "training-set")).persist()
 
 
 @query("training_set", f"WITH {_SET} SELECT * FROM tset")
@@ -152,7 +153,7 @@ def histograms(spark, sf):
 
 
 def score_psi(spark, sf):
-    h = histograms(spark, sf)
+    h = materialize(histograms(spark, sf), "histograms")
     return drift.psi(h.filter(~F.col("night")), h.filter("night"), ["source_id"])
 
 
@@ -193,6 +194,6 @@ WIDTHS = {"amount": 5_000.0, "daily_amount": 20_000.0, "daily_count": 2.0, "hour
 def feature_psi(spark, sf):
     """Feature distributions of two sources against each other."""
     rows = drift.feature_bins(features.model_features(as_of(spark, sf)), WIDTHS)
-    h = drift.histogram(rows, ["source_id", "feature"], F.col("bin"), 10)
+    h = materialize(drift.histogram(rows, ["source_id", "feature"], F.col("bin"), 10), "histograms")
     base, current = h.filter(F.col("source_id") == "WEB_BANK"), h.filter(F.col("source_id") == "ATM_NET")
     return _six(drift.psi(base, current, ["feature"]))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions as dec
 from ..operators import readmodels as views
+from ..session import materialize
 from ..sources import tables
 from ..sources.contracts import dead_letters, parse_transactions, validate_contract
-from .e_decisions import decided, joined, records
+from .e_decisions import decided, joined, records, stored
 from .g_profile import ts
 from .oracle import DECISIONS
 from .registry import query
@@ -26,7 +27,7 @@ def us(c):
       SELECT decision_id, txn_id, risk_level, (SELECT count(*) FROM f) AS total FROM f ORDER BY created_at DESC, decision_id LIMIT 50 OFFSET 50""",
 )
 def decision_search(spark, sf):
-    return views.search_decisions(records(spark, sf), level="HIGH", page=1, size=50).select("decision_id", "txn_id", "risk_level", "total")
+    return views.search_decisions(stored(spark, sf), level="HIGH", page=1, size=50).select("decision_id", "txn_id", "risk_level", "total")
 
 
 @query(
@@ -38,9 +39,9 @@ def case_queue(spark, sf):
     return views.case_queue(dec.open_cases(records(spark, sf)), "OPEN").select("case_id", "decision_id", "risk_level", "status")
 
 
-def _outbox_state(spark, sf):
+def _outbox_state(decisions):
     """Delivery state of the outbox: messages of rejected decisions are dead, costly ones wait for a retry."""
-    keys = decided(spark, sf).select("decision_id", "created_at", "action", "cost_ms")
+    keys = decisions.select("decision_id", "created_at", "action", "cost_ms")
     topics = F.explode(F.array(F.lit("transaction.v1"), F.lit("decision.v1"))).alias("topic")
     status = F.when(F.col("action") == "REJECT", "DEAD").when(F.col("cost_ms") >= 60, "PENDING").otherwise("PUBLISHED")
     return keys.select("*", topics).select(
@@ -76,7 +77,7 @@ def _dead_letters(spark, sf):
       FROM txn WHERE n % 97 = 0 OR amount_minor <= 0""",
 )
 def dead_events(spark, sf):
-    return views.dead_events(_outbox_state(spark, sf), _dead_letters(spark, sf)).drop("created_at")
+    return views.dead_events(_outbox_state(records(spark, sf)), _dead_letters(spark, sf)).drop("created_at")
 
 
 @query(
@@ -88,7 +89,7 @@ def dead_events(spark, sf):
       FROM outbox GROUP BY topic""",
 )
 def outbox_backlog(spark, sf):
-    return views.outbox_backlog(_outbox_state(spark, sf), ts("2024-01-30 00:00:00"))
+    return views.outbox_backlog(_outbox_state(records(spark, sf)), ts("2024-01-30 00:00:00"))
 
 
 @query(
@@ -98,7 +99,7 @@ def outbox_backlog(spark, sf):
 )
 def status_counts(spark, sf):
     orders = tables.table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "status")
-    return views.status_counts(_outbox_state(spark, sf), "outbox").unionByName(views.status_counts(orders, "order"))
+    return views.status_counts(_outbox_state(records(spark, sf)), "outbox").unionByName(views.status_counts(orders, "order"))
 
 
 @query(
@@ -111,9 +112,9 @@ def status_counts(spark, sf):
         (SELECT count(*) FROM decision) AS total, (SELECT count(*) FROM outbox WHERE status = 'DEAD') AS dead_events FROM c""",
 )
 def risk_overview(spark, sf):
-    stored = records(spark, sf)
-    dead = _outbox_state(spark, sf).filter(F.col("status") == "DEAD")
-    return views.overview(stored, dec.open_cases(stored), dead)
+    decisions = stored(spark, sf)
+    dead = _outbox_state(decisions).filter(F.col("status") == "DEAD")
+    return views.overview(decisions, dec.open_cases(decisions), dead)
 
 
 @query(
@@ -173,7 +174,7 @@ def score_quantiles_approx(spark, sf):
         '2024-02-01T00:00:00.000000Z' AS payload_time, decision_id AS payload_decision FROM r""",
 )
 def decision_replay(spark, sf):
-    rows = decided(spark, sf)
+    rows = materialize(decided(spark, sf), "decided")
     wanted = rows.filter(F.col("risk_level") == "REJECT").select("decision_id")
     out = views.replay(dec.outbox(rows), wanted, ts(NOW))
     return out.select(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import timedelta
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -85,7 +86,9 @@ class AccountFeatures(StatefulProcessor):
                 if e.event_day == day:
                     amount, count = amount + int(e.amount_minor), count + 1
                 newest = max(newest, int(e.event_us))
-                recent = [t for t in [*recent, int(e.event_us)] if t >= newest - self.window]
+                heappush(recent, int(e.event_us))
+                while recent[0] < newest - self.window:
+                    heappop(recent)
                 new_device = self._first(self.devices, e.device_id, seen_devices)
                 devices += new_device
                 parties += self._first(self.counterparties, e.counterparty, seen_parties)

@@ -6,6 +6,7 @@ behind the watermark are dropped. The matches equal those of the batch patterns.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -82,28 +83,35 @@ class AccountPatterns(StatefulProcessor):
             self._wake_after(left[0][0])
 
     def _advance(self, account: str, events: list[tuple]) -> list[tuple]:
-        starts = [tuple(s) for s in self.starts.get()]
+        """Take events in order. Every start enters and leaves its queue once."""
+        kinds = {"probe": deque(), "run": deque(), "failed": deque()}  # run: failures of the current run
+        for s in self.starts.get():
+            kinds[s[0]].append(tuple(s[1:]))
+        probes, run, failed = kinds.values()
         failures = self.counter.get()[0] if self.counter.exists() else 0
         out = []
         for us, event_id, amount, status in events:
-            starts = [s for s in starts if us - s[1] < self.windows[s[0]]]
+            for queue, window in ((probes, "probe"), (run, "failed"), (failed, "failed")):
+                while queue and us - queue[0][0] >= self.windows[window]:
+                    queue.popleft()
             if amount >= self.large:
-                out += [("PROBE_THEN_LARGE", account, s[2], event_id, s[1], us, s[3], amount) for s in starts if s[0] == "probe"]
-                starts = [s for s in starts if s[0] != "probe"]
+                out += [("PROBE_THEN_LARGE", account, s[1], event_id, s[0], us, s[2], amount) for s in probes]
+                probes.clear()
             if amount <= self.probe:
-                starts.append(("probe", us, event_id, amount, 0))
+                probes.append((us, event_id, amount, 0))
             if status == "FAILED":
                 failures += 1
-                starts.append(("failed", us, event_id, failures, 0))
+                run.append((us, event_id, failures, 0))
                 continue
             # the run is over: a start's length is the failures from it on
-            starts = [s if s[0] == "probe" or s[4] else (*s[:4], failures - s[3] + 1) for s in starts]
-            starts = [s for s in starts if s[0] == "probe" or s[4] >= self.min_failures]
+            lengths = [(*s[:3], failures - s[2] + 1) for s in run]
+            failed.extend(s for s in lengths if s[3] >= self.min_failures)
+            run.clear()
             if status == "SUCCESS":
-                done = [s for s in starts if s[0] == "failed"]
-                out += [("FAILED_THEN_SUCCESS", account, s[2], event_id, s[1], us, s[4], s[4] - self.min_failures + 1) for s in done]
-                starts = [s for s in starts if s[0] != "failed"]
-        self.starts.put(starts) if starts else self.starts.clear()
+                out += [("FAILED_THEN_SUCCESS", account, s[1], event_id, s[0], us, s[3], s[3] - self.min_failures + 1) for s in failed]
+                failed.clear()
+        left = [(kind, *s) for kind, queue in kinds.items() for s in queue]
+        self.starts.put(left) if left else self.starts.clear()
         self.counter.update((failures,))
         return out
 
