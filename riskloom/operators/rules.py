@@ -93,7 +93,7 @@ def hit_structs(rules: Sequence[Rule], rule_sets: Column | None = None) -> Colum
             holds = holds & F.array_contains(rule_sets, r.rule_set)
         return F.when(holds, F.struct(F.lit(r.code).alias("code"), F.lit(RISK_LEVELS.index(r.level)).alias("severity")))
 
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[fired(r) for r in rules]))))
+    return F.sort_array(F.array_distinct(F.array_compact(F.array(*[fired(r) for r in rules]))))
 
 
 def rule_hits(df: DataFrame, rules: Sequence[Rule] = RULES, rule_sets: Column | None = None) -> DataFrame:
@@ -103,12 +103,12 @@ def rule_hits(df: DataFrame, rules: Sequence[Rule] = RULES, rule_sets: Column |
 
 def level_of(hits: Column) -> Column:
     """The highest level among the hits, LOW without any."""
-    severity = F.coalesce(F.array_max(F.transform(hits, lambda h: h["severity"])), F.lit(0))
+    severity = F.coalesce(F.array_max(hits["severity"]), F.lit(0))
     return F.element_at(F.array(*[F.lit(level) for level in RISK_LEVELS]), severity + 1)
 
 
 def codes_of(hits: Column) -> Column:
-    return F.transform(hits, lambda h: h["code"])
+    return hits["code"]
 
 
 def action_of(level: Column) -> Column:
