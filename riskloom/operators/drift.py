@@ -32,8 +32,8 @@ def psi(baseline: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFra
     a = baseline.select(*keys, "bin", F.col("n").alias("expected"))
     b = current.select(*keys, "bin", F.col("n").alias("actual"))
     both = a.join(b, [*keys, "bin"], "full")
-    unequal = F.raise_error(F.lit("histograms must have the same bins"))
-    empty = F.raise_error(F.lit("histograms must have samples"))
+    unequal = F.raise_error(F.lit("the two histograms differ in their bins"))
+    empty = F.raise_error(F.lit("a histogram without samples has no shares"))
     checked = both.withColumn(
         "expected", F.when(F.col("expected").isNull() | F.col("actual").isNull(), unequal.cast("bigint")).otherwise(F.col("expected"))
     )

@@ -45,9 +45,9 @@ class Binding:
 
     def __post_init__(self) -> None:
         if not 0 <= self.rollout <= 100:
-            raise ValueError("rollout must be 0..100")
+            raise ValueError("rollout is a percentage")
         if self.rollout < 100 and self.previous_version is None:
-            raise ValueError("a partial rollout requires a previous release")
+            raise ValueError("a rollout below 100 needs the release before")
 
 
 # The published rules, decision table and rule sets.

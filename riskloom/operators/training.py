@@ -74,7 +74,7 @@ def prepared(data: DataFrame) -> DataFrame:
     """Weights and split added; raises where the classes are too small to train on."""
     sizes = class_weights(data).first()
     if not sizes["trainable"]:
-        raise ValueError("training requires at least 20 labeled rows and at least 5 rows per class")
+        raise ValueError("too few labels to train on: 20 rows are needed, 5 of each class")
     return stratified_split(weighted(data, sizes["positive_weight"]))
 
 

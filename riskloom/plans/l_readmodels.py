@@ -73,7 +73,7 @@ def _dead_letters(spark, sf):
     "dead_events",
     f"""WITH {DECISIONS}, {OUTBOX_SQL} SELECT event_id, 'OUTBOX' AS event_kind, topic, CAST(10 AS BIGINT) AS attempts, 'delivery failed' AS last_error
       FROM outbox WHERE status = 'DEAD'
-      UNION ALL SELECT 'dlt-transaction.v1.DLT-' || (n % 4) || '-' || (n // 4), 'KAFKA_DLT', 'transaction.v1', 0, 'consumer retries exhausted'
+      UNION ALL SELECT 'dlt-transaction.v1.DLT-' || (n % 4) || '-' || (n // 4), 'KAFKA_DLT', 'transaction.v1', 0, 'rejected by the contract'
       FROM txn WHERE n % 97 = 0 OR amount_minor <= 0""",
 )
 def dead_events(spark, sf):

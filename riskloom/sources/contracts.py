@@ -100,7 +100,7 @@ def event_time_reason(
     )
 
 
-def dead_letters(rejected: DataFrame, error: str = "consumer retries exhausted") -> DataFrame:
+def dead_letters(rejected: DataFrame, error: str = "rejected by the contract") -> DataFrame:
     """Catalogue rows of rejected messages, keyed by their position in the dead-letter topic."""
     dlt = F.concat("topic", F.lit(".DLT"))
     return rejected.select(

@@ -62,7 +62,7 @@ def test_psi(spark):
 
 @pytest.mark.parametrize("a,b", [([1, 2], [1, 2, 3]), ([0, 0], [1, 2])])
 def test_psi_rejects_unfit_histograms(spark, a, b):
-    with pytest.raises(Exception, match="histograms must"):
+    with pytest.raises(Exception, match="histogram"):
         drift.psi(histogram(spark, a), histogram(spark, b), ["model"]).collect()
 
 
