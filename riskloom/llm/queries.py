@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import prepare, table
 from .exact_dedup import exact_dedup
+from .quality_rules import MAX_SHARE, MIN_DOCS, MIN_LEFT, quality_rules
+from .secret_scan import BASE_RULES, RULES, secret_scan, span_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,3 +41,66 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def _spans_sql() -> str:
+    """All spans per document: lengths of what lies between matches and of the matches add up to places."""
+    parts = []
+    for rank, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(
+            f"""SELECT row, {rank} AS rank, '{r.kind}' AS kind, regexp_extract_all(text, '{pattern}', 0) AS hit,
+            regexp_extract_all(text, '{pattern}', {r.group}) AS val, string_split_regex(text, '{pattern}') AS gap, {r.least} AS least
+            FROM d WHERE regexp_matches(text, '{pattern}')"""
+        )
+    base = ", ".join(f"'{r.kind}'" for r in BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    m AS ({" UNION ALL ".join(parts)}),
+    i AS (SELECT *, unnest(range(1, len(hit) + 1)) AS k FROM m),
+    s AS (SELECT row, rank, kind, length(hit[k]) AS n, length(val[k]) AS vn, least,
+          list_sum(list_transform(gap[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:k-1], lambda x: length(x))), 0) AS start
+          FROM i),
+    g AS (SELECT row, {counts},
+          string_agg(concat(kind, ':', start::BIGINT, ':', (start + n)::BIGINT), ',' ORDER BY start, rank) FILTER (kind IN ({base})) AS b,
+          string_agg(concat(kind, ':', start::BIGINT, ':', (start + n)::BIGINT), ',' ORDER BY start, rank) AS spans
+          FROM s WHERE vn >= least GROUP BY row)
+    SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)},
+           sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN g USING (row)
+    """
+
+
+@_query("op3_secret_scan", _spans_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(secret_scan(table(spark, sf_dir, "documents")))
+
+
+@_query(
+    "op5_quality_rules",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+    i AS (SELECT row, unnest(range(1, len(words) - 6)) AS i, words FROM w),
+    win AS (SELECT row, i, array_to_string(words[i:i+7], ' ') AS t FROM i),
+    rep AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, t) AS n FROM win) WHERE n > 1),
+    cov AS (SELECT row, count(*) AS n_repeat_words FROM (SELECT DISTINCT row, unnest(range(i, i + 8)) AS k FROM rep) GROUP BY row),
+    l AS (SELECT row, doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
+    lw AS (SELECT row, doc_id, host, line, lower(trim(line, ' ')) AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    dup AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(norm)) AS total FROM lw GROUP BY row),
+    freq AS (SELECT host, norm, count(DISTINCT row) AS n, min(doc_id) AS first FROM lw GROUP BY ALL),
+    hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+    lim AS (SELECT host, norm, first FROM freq JOIN hosts USING (host) WHERE n >= {MIN_DOCS} AND n > docs * {MAX_SHARE}::DOUBLE),
+    gone AS (SELECT lw.row, sum(length(lw.norm)) AS gone FROM lw JOIN lim USING (host, norm) WHERE lw.doc_id IS DISTINCT FROM lim.first GROUP BY lw.row),
+    m AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+          coalesce(n_repeat_words, 0) AS n_repeat_words,
+          1 - coalesce(gone, 0)::DOUBLE / greatest(coalesce(total, 0), 1)::DOUBLE AS left_share
+          FROM w LEFT JOIN dup USING (row) LEFT JOIN cov USING (row) LEFT JOIN gone USING (row))
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+           NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND left_share >= {MIN_LEFT} AS kept FROM m
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("host", "text_hash", "removed")
