@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import prepare, table
 from .exact_dedup import exact_dedup
 from .quality_rules import MAX_SHARE, MIN_DOCS, MIN_LEFT, quality_rules
 from .secret_scan import BASE_RULES, RULES, secret_scan, span_digest
+from .token_files import read_token_files, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,3 +106,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("host", "text_hash", "removed")
+
+
+@_query("op2_token_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
