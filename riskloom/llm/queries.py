@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_codec import bpe_codec
 from .common import prepare, table
 from .exact_dedup import exact_dedup
 from .quality_rules import MAX_SHARE, MIN_DOCS, MIN_LEFT, quality_rules
@@ -111,3 +112,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_token_files")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@_query("op4_bpe_codec")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
