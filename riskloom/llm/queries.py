@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import bpe_codec
 from .common import prepare, table
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
+from .packing import pack_documents
 from .quality_rules import MAX_SHARE, MIN_DOCS, MIN_LEFT, quality_rules
 from .secret_scan import BASE_RULES, RULES, secret_scan, span_digest
 from .token_files import read_token_files, write_token_files
@@ -117,3 +119,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_bpe_codec")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
