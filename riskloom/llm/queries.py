@@ -11,6 +11,7 @@ from .bpe_codec import bpe_codec
 from .common import prepare, table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality_rules import MAX_SHARE, MIN_DOCS, MIN_LEFT, quality_rules
 from .secret_scan import BASE_RULES, RULES, secret_scan, span_digest
@@ -129,3 +130,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_html_text")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@_query(
+    "op8_near_duplicates",
+    f"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id,
+        regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+    sh AS (SELECT DISTINCT row, unnest(CASE WHEN len(words) >= 5
+        THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))
+        WHEN len(words) > 0 THEN [concat(len(words), '|', array_to_string(words, ' '))] ELSE [] END) AS s FROM d),
+    n AS (SELECT row, count(*) AS n FROM sh GROUP BY row),
+    p AS (SELECT a.row AS a, b.row AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.row <> b.row GROUP BY ALL),
+    link AS (SELECT a, b FROM p JOIN n na ON na.row = a JOIN n nb ON nb.row = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+    reach AS (SELECT row AS a, row AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+    least AS (SELECT reach.a AS row, min(d.doc_id) AS component_id FROM reach JOIN d ON d.row = reach.b GROUP BY reach.a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM d LEFT JOIN n USING (row) JOIN least USING (row)
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
