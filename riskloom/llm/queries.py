@@ -11,10 +11,12 @@ from .bpe_codec import bpe_codec
 from .common import prepare, table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .line_dedup import RUN, line_dedup, line_digest
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality_rules import MAX_SHARE, MIN_DOCS, MIN_LEFT, quality_rules
 from .secret_scan import BASE_RULES, RULES, secret_scan, span_digest
+from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +153,48 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
+
+
+@_query(
+    "op10_line_dedup",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln, unnest(string_split(text, chr(10))) AS line FROM d),
+    w AS (SELECT doc_id, ln, line, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS pos,
+          regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS norm
+          FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    r AS (SELECT doc_id, pos, list(norm) OVER o AS run, list(ln) OVER o AS lns, count(*) OVER o AS n FROM w
+          WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING)),
+    f AS (SELECT run, min(struct_pack(d := doc_id, p := pos)) AS head FROM r WHERE n = {RUN} GROUP BY run),
+    g AS (SELECT r.doc_id, unnest(r.lns) AS ln, unnest(range(pos, pos + {RUN})) AS line_pos, pos, head
+          FROM r JOIN f ON r.run = f.run WHERE n = {RUN} AND (doc_id <> head.d OR pos <> head.p)),
+    gone AS (SELECT DISTINCT doc_id, ln FROM g WHERE doc_id <> head.d OR line_pos >= head.p + {RUN}),
+    k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY ln) AS text FROM l ANTI JOIN gone USING (doc_id, ln) GROUP BY l.doc_id),
+    c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(c.n, 0) AS n_removed, regexp_matches(coalesce(k.text, ''), '[^\x20\x09-\x0D]') AS kept,
+           sha256(coalesce(k.text, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(line_dedup(table(spark, sf_dir, "documents")))
+
+
+@_query(
+    "op1_substring_dedup",
+    """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    i AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d),
+    w AS (SELECT doc_id, i, md5(array_to_string(words[i:i+49], ' ')) AS h FROM i),
+    m AS (SELECT h, min(doc_id) AS least FROM w GROUP BY h),
+    r AS (SELECT w.doc_id, w.i FROM w JOIN m USING (h) WHERE m.least < w.doc_id),
+    c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM r),
+    k AS (SELECT doc_id, generate_subscripts(words, 1) AS k, unnest(words) AS word FROM d),
+    t AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.k) AS text FROM k ANTI JOIN c ON k.doc_id = c.doc_id AND k.k = c.k GROUP BY k.doc_id),
+    n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+    SELECT d.doc_id, len(words) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256
+    FROM d LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
