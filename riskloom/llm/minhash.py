@@ -184,12 +184,12 @@ def _meet(limit: float):
     def run(rows: pa.Table) -> pa.Table:
         side = rows["outside"].to_numpy(zero_copy_only=False).astype(bool)
         node, comp, n = (rows[c].to_numpy() for c in ("node", "comp", "n"))
-        sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(-1, BITS, _LONGS)
+        sig = rows["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS, _LONGS)
         left, right = np.flatnonzero(side), np.flatnonzero(~side)
         found = []
         chance = 2.0**-BITS
         for i in left.tolist():
-            apart = np.zeros((len(right), _LONGS), np.int64)
+            apart = np.zeros((len(right), _LONGS), np.uint64)  # bits of signed numbers would be counted without sign
             for p in range(BITS):
                 apart |= sig[right, p] ^ sig[i, p]
             differ = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
