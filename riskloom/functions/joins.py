@@ -7,12 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting at most ``max_rows + 1`` rows; larger inputs are left to the planner."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Rows of one key that one task should get at most.
+TARGET_ROWS = 2_000_000
 
 
 def salted_join(
@@ -21,13 +17,23 @@ def salted_join(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = 16,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
-    """Join a left side with hot keys to a right side that has one row per key.
+    """Join a left side that may have hot keys to a right side that has one row per key.
 
-    Left rows of one key are spread over ``salts`` groups by a hash of ``spread_by``; the right
-    side is repeated once per group. ``how`` is inner, left, left_semi or left_anti.
+    The rows per key are counted first (with partial sums, so a hot key does not travel). Without a key
+    above ``target_rows`` this is a plain join, and the planner may broadcast. Otherwise the rows of
+    every heavy key are spread over as many salts as it has targets, by a hash of ``spread_by``, and only
+    the right rows of heavy keys are repeated. ``how`` is inner, left, left_semi or left_anti.
     """
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = counts.filter(F.col("_rows") > target_rows).select(*on, F.ceil(F.col("_rows") / target_rows).cast("int").alias("_salts"))
+    if heavy.isEmpty():
+        return left.join(right, list(on), how)
+    # at most one heavy key per target_rows rows, so this side is small beside either input
+    marked = left.join(heavy, list(on), "left")
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int")).otherwise(F.lit(0))
+    spread = marked.withColumn("_salt", salt).drop("_salts")
+    last = F.coalesce(F.col("_salts"), F.lit(1)) - 1
+    repeated = right.join(heavy, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
     return spread.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3600
+#: Rows of one chunk; every number of chunks or ranges follows from it and a row count.
+TARGET_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -91,37 +93,47 @@ def running(
     return out.filter(~F.col("_seed")).drop("_seed")
 
 
-def time_cuts(df: DataFrame, ts: str, ranges: int | None = None, window: timedelta | None = None) -> list[float]:
-    """Instants (in microseconds) that cut the rows into time ranges of about equal size.
+def cut_points(counted: int, target_rows: int) -> list[float]:
+    """Probabilities that cut a table of ``counted`` rows into parts of about ``target_rows``."""
+    parts = max(1, -(-counted // target_rows))
+    return [i / parts for i in range(1, parts)]
 
-    No chunk cut at them can hold more than its range, whatever share of the rows one key or one
-    hour has. A scan that also counts rows out at the end of a ``window`` names it here. One pass
-    over one column; the driver sees only the cut points.
+
+def time_cuts(df: DataFrame, ts: str, window: timedelta | None = None, target_rows: int = TARGET_ROWS) -> list[float]:
+    """Instants (in microseconds) that cut the rows into time ranges of about ``target_rows`` rows.
+
+    No chunk cut at them can hold much more than that, whatever share of the rows one key or one hour
+    has; the number of ranges follows the number of rows. A scan that also counts rows out at the end of
+    a ``window`` names it here. Tables below the target need no cuts and no pass over their times. The
+    driver sees only the cut points.
     """
-    ranges = ranges or max(32, 4 * df.sparkSession.sparkContext.defaultParallelism)
-    probs = [i / ranges for i in range(1, ranges)]
     instants = [F.col(ts)] if window is None else [F.col(ts), F.col(ts) + F.lit(window)]
+    probs = cut_points(df.count() * len(instants), target_rows)
+    if not probs:
+        return []
     micros = df.select(F.explode(F.array(*[F.unix_micros(t).cast("double") for t in instants])).alias("t"))
-    return sorted(set(micros.approxQuantile("t", probs, 0.25 / ranges)))
+    return sorted(set(micros.approxQuantile("t", probs, 0.25 / (len(probs) + 1))))
 
 
 def with_slot(df: DataFrame, ts: str, out: str = "_slot", cuts: Sequence[float] | None = None) -> DataFrame:
-    """Add the number of the time range a row lies in: between the given cuts, or else by hour."""
-    if not cuts:
+    """Add the number of the time range a row lies in: between the given cuts (none: one range), or by hour without any given."""
+    if cuts is not None and not cuts:
+        return df.withColumn(out, F.lit(0.0))
+    if cuts is None:
         return df.withColumn(out, F.floor(F.unix_micros(ts) / F.lit(HOUR * 1_000_000)).cast("double"))
     splits = [float("-inf"), *cuts, float("inf")]
     timed = df.withColumn("_micros", F.unix_micros(ts).cast("double"))
     return Bucketizer(splits=splits, inputCol="_micros", outputCol=out).transform(timed).drop("_micros")
 
 
-def value_ranges(df: DataFrame, col: str, out: str, ranges: int = 64) -> DataFrame:
-    """Cut a numeric column into ranges of about equal row counts, numbered upward.
+def value_ranges(df: DataFrame, col: str, out: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Cut a numeric column into ranges of about ``target_rows`` rows, numbered upward.
 
-    The driver sees only the ``ranges - 1`` cut points, which are then constants of the plan, so
-    every evaluation cuts alike.
+    The cuts are taken over all rows; a key with few values lies in few ranges, none of which exceeds the target. The driver sees only the cut points, which
+    are then constants of the plan, so every evaluation cuts alike.
     """
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(df.approxQuantile(col, probs, 0.5 / ranges)))
+    probs = cut_points(df.count(), target_rows)
+    cuts = sorted(set(df.approxQuantile(col, probs, 0.5 / (len(probs) + 1)))) if probs else []
     if not cuts:
         return df.withColumn(out, F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]

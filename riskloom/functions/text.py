@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 _BLOCK = 64  # SHA-256 block length in bytes
 
 
+# white space in the sense of the event contract: separators but the non-breaking ones, and the control characters 9-13, 28-31
+_BLANK = r"\A[\s\x1C-\x1F\p{Z}&&[^\u00A0\u2007\u202F]]*\z"
+
+
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
+    """Null, empty or nothing but white space."""
+    return c.isNull() | c.rlike(_BLANK)
 
 
 def non_blank(c: Column) -> Column:
     """The value itself, or null where it is blank."""
-    return F.when(F.trim(c) != "", c)
+    return F.when(~is_blank(c), c)
 
 
 def hmac_sha256(c: Column, key: str) -> Column:

@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hmac_sha256
+from ..functions.text import hmac_sha256, non_blank
 from ..sources.tables import envelope_struct
 from .common import first_per
 from .rules import BASELINE, RULES, TIERS, Binding, Rule, action_of, bind_rule_sets, codes_of, hit_structs, level_of, tier_rules
@@ -34,21 +34,6 @@ ALL_RULES: tuple[Rule, ...] = RULES + tier_rules(TIERS)
 BINDINGS = {source: Binding(BASELINE, "baseline-1") for source in ("MOBILE_TRANSFER", "WEB_BANK", "ATM_NET")}
 
 
-def logistic_score(df: DataFrame) -> DataFrame:
-    """Add ``fraud_score`` of the fixed logistic formula, rounded to six digits."""
-    daily_amount = F.coalesce("daily_amount", F.lit(0)) / 100.0
-    z = (
-        F.lit(-3.0)
-        + F.col("amount_minor") / 100.0 * 0.00002
-        + daily_amount * 0.000015
-        + F.when(F.col("device_new"), 1.2).otherwise(0.0)
-        + F.when(F.col("counterparty").isNotNull(), 0.6).otherwise(0.0)
-        + F.when(F.hour("event_time") < 6, 1.0).otherwise(0.0)
-        + F.coalesce("daily_count", F.lit(0)) * 0.05
-    )
-    return df.withColumn("fraud_score", F.round(1.0 / (1.0 + F.exp(-z)), 6))
-
-
 def decision_id() -> Column:
     """One decision per source and transaction, so its id is a hash of both."""
     return F.sha2(F.concat_ws("|", "source_id", "txn_id"), 256)
@@ -57,13 +42,19 @@ def decision_id() -> Column:
 def decide(
     as_of: DataFrame,
     key: str,
-    scorer: Callable[[DataFrame], DataFrame] = logistic_score,
+    scorer: Callable[[DataFrame], DataFrame],
     rules: Sequence[Rule] = ALL_RULES,
     bindings: dict[str, Binding] = BINDINGS,
     model_version: str = "fraud-1",
+    created_at: Column | None = None,
+    cost_ms: Column | None = None,
 ) -> DataFrame:
     """Add the decision to transactions that carry features as of their time.
 
+    ``scorer`` adds ``fraud_score``. A transaction's own ``correlation_id`` is kept; without one (no column,
+    null or blank) the decision's id correlates. ``created_at`` is the clock, by default the current time, and
+    ``cost_ms`` what the evaluation took, by default unknown.
+
     Without published rules for the source the decision degrades to HIGH; else, where the feature
     store was unavailable, to MEDIUM. Missing features of an available store are simply absent.
     """
@@ -72,15 +63,23 @@ def decide(
     blind = ~F.col("features_available")
     normal = ~(unbound | blind)
     df = df.withColumn("hits", F.when(normal, hit_structs(rules, F.col("rule_sets"))))
+    # names and forms of the feature contract: days as digits, times in milliseconds
     snapshot = {
-        c: F.col(c).cast("string")
-        for c in ("daily_amount", "daily_count", "txn_count", "device_new", "known_device_count", "unique_counterparty_count")
+        "daily_stat_date": F.date_format("daily_stat_date", "yyyyMMdd"),
+        "daily_amount": F.col("daily_amount").cast("string"),
+        "daily_count": F.col("daily_count").cast("string"),
+        "txn_count_5m": F.col("txn_count").cast("string"),
+        "device_new": F.col("device_new").cast("string"),
+        "known_device_count": F.col("known_device_count").cast("string"),
+        "unique_counterparty_count": F.col("unique_counterparty_count").cast("string"),
+        "feature_event_time": F.unix_millis("feature_event_time").cast("string"),
     }
+    given = non_blank(F.col("correlation_id")) if "correlation_id" in as_of.columns else F.lit(None).cast("string")
     entries = F.create_map(*[part for c, value in snapshot.items() for part in (F.lit(c), value)])
     df = df.withColumns(
         {
             "decision_id": decision_id(),
-            "correlation_id": F.concat(F.lit("c-"), F.col("txn_id")),
+            "correlation_id": F.coalesce(given, decision_id()),
             "account_token": hmac_sha256(F.col("account_no"), key),
             "risk_level": F.when(unbound, "HIGH").when(blind, "MEDIUM").otherwise(level_of(F.col("hits"))),
             "fraud_score": F.when(normal, F.col("fraud_score")).otherwise(0.0),
@@ -90,8 +89,8 @@ def decide(
             "feature_snapshot": F.map_filter(entries, lambda k, v: v.isNotNull() & ~blind),
             "model_version": F.when(unbound, "unavailable").when(blind, "not-evaluated").otherwise(model_version),
             "rule_version": F.coalesce("rule_version", F.lit("unavailable")),
-            "cost_ms": (F.col("n") % 120).cast("bigint"),
-            "created_at": F.col("event_time"),
+            "cost_ms": (F.lit(None) if cost_ms is None else cost_ms).cast("bigint"),
+            "created_at": F.current_timestamp() if created_at is None else created_at,
         }
     )
     return df.withColumn("action", action_of(F.col("risk_level"))).drop("hits", "rule_sets")

@@ -4,54 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .features import model_columns
+
 KEYS = ["source_id", "txn_id"]
 
 
+#: How a decision keeps its features: a JSON object of texts.
+SNAPSHOT = "daily_amount string, daily_count string, device_new string"
+
+
 def merge_replace(target: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target rows whose key is not among the incoming ones, plus all incoming rows."""
-    gone = incoming.select(*keys).distinct()
-    return target.join(gone, list(keys), "left_anti").unionByName(incoming)
+    kept = target.join(incoming.select(*keys), list(keys), "left_anti")
+    return kept.unionByName(incoming)
+
+
+def _stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def write_merged(spark: SparkSession, target: str, staging: str, incoming: DataFrame, keys: Sequence[str], partition: str) -> None:
     """Merge an increment into a table stored by partition column, rewriting only the partitions it touches.
 
-    A key must keep its partition. The merged rows are staged first, since a table cannot be
-    overwritten while it is read.
+    Touched are the partitions of the incoming rows and those that hold an incoming key so far, so a key
+    that moved leaves its old partition. Partitions are few and named by the table's layout, so their
+    list goes to the driver and back as a filter that prunes the scan. The merged rows are staged first,
+    since a table cannot be overwritten while it is read; a partition that becomes empty is overwritten by an empty one.
     """
-    try:
-        current = spark.read.parquet(target)
-    except Exception as error:  # only a missing table may be created
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        incoming.write.partitionBy(partition).parquet(target)
+    incoming = materialize(incoming, "merge-increment")
+    current = _stored_table(spark, target)
+    if current is None:
+        partitioned(incoming, partition).parquet(target)
         return
-    touched = current.join(incoming.select(partition).distinct(), partition, "left_semi")
-    merge_replace(touched, incoming, keys).write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
+    held = current.join(incoming.select(*keys), list(keys), "left_semi").select(partition)
+    touched = [r[0] for r in held.union(incoming.select(partition)).distinct().collect()]
+    merged = merge_replace(current.filter(F.col(partition).isin(touched)), incoming.select(*current.columns), keys)
+    merged.write.mode("overwrite").parquet(staging)
+    staged = spark.read.parquet(staging)
+    left = {r[0] for r in staged.select(partition).distinct().collect()}
+    partitioned(staged, partition).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+    for gone in sorted(set(touched) - left, key=str):
+        current.limit(0).drop(partition).write.mode("overwrite").parquet(f"{target}/{partition}={gone}")
 
 
-def decision_features(txn: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Model features per decided transaction, read from the decision's stored JSON snapshot."""
+def partitioned(df: DataFrame, partition: str) -> DataFrameWriter:
+    """A writer by partition column. Rows are rebalanced on it first: a partition goes to one task, and a
+    busy one to as many tasks as its size asks for, instead of every task writing to every partition."""
+    return df.hint("rebalance", partition).write.partitionBy(partition)
 
-    def stored(name: str) -> Column:
-        return F.get_json_object("feature_snapshot_json", f"$.{name}")
 
-    joined = txn.select(*KEYS, "amount_minor", "counterparty", "event_time").join(
-        decisions.select(*KEYS, "feature_snapshot_json"), KEYS
-    )
-    return joined.select(
+def decision_features(txn: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Model features per decided transaction, as stored with the decision rather than as they are now."""
+    stored = decisions.select(*KEYS, F.from_json("feature_snapshot_json", SNAPSHOT).alias("s")).select(
         *KEYS,
-        (F.col("amount_minor").cast("double") / 100.0).alias("amount"),
-        (stored("daily_amount").cast("double") / 100.0).alias("daily_amount"),
-        stored("daily_count").cast("double").alias("daily_count"),
-        F.hour("event_time").cast("double").alias("hour"),
-        F.when(F.col("counterparty").isNotNull(), 1.0).otherwise(0.0).alias("cross_bank"),
-        F.when(stored("device_new") == "true", 1.0).otherwise(0.0).alias("device_new"),
+        F.col("s.daily_amount").cast("bigint").alias("daily_amount"),
+        F.col("s.daily_count").cast("bigint").alias("daily_count"),
+        F.col("s.device_new").cast("boolean").alias("device_new"),
     )
+    return txn.select(*KEYS, "amount_minor", "counterparty", "event_time").join(stored, KEYS).select(*KEYS, *model_columns())
 
 
 def label_facts(feedback: DataFrame, decisions: DataFrame) -> DataFrame:

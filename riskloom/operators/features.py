@@ -181,19 +181,24 @@ def refreshed(as_of: DataFrame, zone: str = "UTC") -> DataFrame:
     return as_of.withColumns({c: F.when(today, F.col(c)).otherwise(zero) for c in ("daily_amount", "daily_count")})
 
 
-def model_features(as_of: DataFrame) -> DataFrame:
-    """Replace the stored features by the model's input columns, in contract order; money in major units."""
-    return as_of.select(
-        "event_id",
-        "source_id",
-        "txn_id",
+def model_columns() -> list[Column]:
+    """The model's inputs in contract order, from a transaction and its typed features; money in major
+    units. Absent daily totals stay absent."""
+    return [
         (F.col("amount_minor") / 100.0).alias("amount"),
-        (F.coalesce("daily_amount", F.lit(0)) / 100.0).alias("daily_amount"),
-        F.coalesce("daily_count", F.lit(0)).cast("double").alias("daily_count"),
+        (F.col("daily_amount") / 100.0).alias("daily_amount"),
+        F.col("daily_count").cast("double").alias("daily_count"),
         F.hour("event_time").cast("double").alias("hour"),
         F.col("counterparty").isNotNull().cast("double").alias("cross_bank"),
         F.coalesce("device_new", F.lit(False)).cast("double").alias("device_new"),
-    )
+    ]
+
+
+def model_features(as_of: DataFrame) -> DataFrame:
+    """The model's inputs per transaction; daily totals that are not stored yet count as zero."""
+    zero = F.lit(0).cast("bigint")
+    filled = as_of.withColumns({c: F.coalesce(c, zero) for c in ("daily_amount", "daily_count")})
+    return filled.select("event_id", "source_id", "txn_id", *model_columns())
 
 
 def parity_check(left: DataFrame, right: DataFrame, key: str = "event_id") -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import salted_join
+from ..functions.text import is_blank
 from ..session import enable_checkpoints
 
 
 def device_edges(txn: DataFrame) -> DataFrame:
     """Distinct account-device pairs."""
-    seen = txn.filter(F.trim("device_id") != "")
+    seen = txn.filter(~is_blank(F.col("device_id")))
     return seen.select("account_no", "device_id").distinct()
 
 

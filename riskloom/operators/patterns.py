@@ -106,8 +106,25 @@ def expand_matches(matches: DataFrame, min_failures: int = 3) -> DataFrame:
     return matches.withColumn("failure_count", F.explode(F.sequence(F.lit(min_failures).cast("bigint"), "failure_count"))).drop("match_count")
 
 
+def run_evidence(matches: DataFrame, every_failure: DataFrame) -> DataFrame:
+    """Add ``related_event_ids`` to each match of ``failed_then_success``: every failure of its run from the first one
+    on, then the success, in order.
+
+    ``every_failure`` is ``failed_then_success`` over the same window with ``min_failures=1``: one row per
+    failure that a success follows. They are listed once per success and each match takes its part, so no pairs of
+    failures are formed; the window bounds a list.
+    """
+    group = [KEY, "success_event_id"]
+    listed = every_failure.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("first_time", "first_event_id"))).alias("run"))
+    own = F.filter("run", lambda e: e >= F.struct("first_time", "first_event_id"))
+    taken = F.transform(F.slice(own, F.lit(1), F.col("failure_count").cast("int")), lambda e: e["first_event_id"])
+    joined = matches.join(listed, group)
+    return joined.withColumn("related_event_ids", F.concat(taken, F.array("success_event_id"))).drop("run")
+
+
 def signals(probes: DataFrame, failures: DataFrame) -> DataFrame:
-    """Both patterns as risk signals. The id is a hash of the signal's parts, so replays repeat it."""
+    """Both patterns as risk signals; failures come with their evidence (``run_evidence``). The id is a hash of the
+    signal's parts, so replays repeat it."""
     a = probes.select(
         F.lit("PROBE_THEN_LARGE").alias("signal_type"),
         KEY,
@@ -125,14 +142,18 @@ def signals(probes: DataFrame, failures: DataFrame) -> DataFrame:
         "source_id",
         "txn_id",
         F.col("success_time").alias("detected_at"),
-        F.array("first_event_id", "success_event_id").alias("related_event_ids"),
+        "related_event_ids",
         F.create_map(
             F.lit("failureCount"), F.col("failure_count").cast("string"), F.lit("matchCount"), F.col("match_count").cast("string")
         ).alias("attributes"),
     )
-    both = a.unionByName(b)
+    return with_signal_ids(a.unionByName(b))
+
+
+def with_signal_ids(parts: DataFrame) -> DataFrame:
+    """Put the id, a hash of the signal's type, account and events, and the severity in front."""
     ids = F.sha2(F.concat_ws("|", "signal_type", KEY, F.concat_ws("|", "related_event_ids")), 256)
-    return both.select(ids.alias("signal_id"), F.lit("HIGH").alias("severity"), "*")
+    return parts.select(ids.alias("signal_id"), F.lit("HIGH").alias("severity"), "*")
 
 
 def signal_summary(signals: DataFrame) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scan import Running, running, value_ranges
 from ..session import materialize
-from ..sources.schemas import RISK_LEVELS
+from ..sources.schemas import DECISION_EVENT, RISK_LEVELS
 from .common import latest_per
 
 
@@ -64,13 +66,13 @@ def status_counts(df: DataFrame, kind: str) -> DataFrame:
     return df.groupBy("status").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "status", "n")
 
 
-def overview(decisions: DataFrame, cases: DataFrame, dead: DataFrame, sample: int = 100, case_limit: int = 200) -> DataFrame:
-    """The dashboard's head row over the latest decisions and cases."""
+def overview(decisions: DataFrame, cases: DataFrame, dead: DataFrame, sample: int = 100) -> DataFrame:
+    """The dashboard's head row: levels among the latest ``sample`` decisions, and all open cases."""
     latest = _newest(decisions, "decision_id").limit(sample)
     levels = [F.count(F.when(F.col("risk_level") == v, 1)).alias(v.lower()) for v in RISK_LEVELS]
     high = F.col("high") + F.col("reject")
     total = decisions.agg(F.count(F.lit(1))).scalar()
-    open_cases = case_queue(cases, limit=case_limit).filter(F.col("status") != "RESOLVED").agg(F.count(F.lit(1))).scalar()
+    open_cases = cases.filter(F.col("status") != "RESOLVED").agg(F.count(F.lit(1))).scalar()
     dead_total = dead.agg(F.count(F.lit(1))).scalar()
     return latest.agg(F.count(F.lit(1)).alias("shown"), *levels).select(
         "*",
@@ -87,13 +89,31 @@ def high_risk_decisions(decisions: DataFrame) -> DataFrame:
     return _newest(decisions.filter(F.col("risk_level").isin("HIGH", "REJECT", "CRITICAL")), "decision_id")
 
 
+def percent_name(p: float, prefix: str = "p") -> str:
+    """p50 for 0.5, p99 for 0.99, p999 for 0.999: the digits of the percentage without its point."""
+    whole, _, rest = f"{Decimal(str(p)) * 100:f}".partition(".")
+    return prefix + whole + rest.rstrip("0")
+
+
 def latency_quantiles(decisions: DataFrame, window: str = "5 minutes", probabilities: Sequence[float] = (0.99, 0.999)) -> DataFrame:
     """Latency quantiles per window. Equal latencies are counted first, so a busy window stays small."""
     start = F.window("created_at", window)["start"].alias("window_start")
     counts = decisions.groupBy(start, "cost_ms").agg(F.count(F.lit(1)).alias("_n"))
     return counts.groupBy("window_start").agg(
         F.sum("_n").alias("decisions"),
-        *[F.percentile("cost_ms", p, F.col("_n")).alias(f"p{str(p)[2:]}_ms") for p in probabilities],
+        *[F.percentile("cost_ms", p, F.col("_n")).alias(f"{percent_name(p)}_ms") for p in probabilities],
+    )
+
+
+def latency_alerts(latencies: DataFrame, window: timedelta = timedelta(minutes=5), held: timedelta = timedelta(minutes=10)) -> DataFrame:
+    """Add ``p99_alert`` and ``p999_alert``: the quantile is over its limit in this window and in all that
+    began in the ``held`` time before it. A window without decisions ends an alert."""
+    limits = {"p99_ms": 50, "p999_ms": 100}  # fixed values of the alert rules, in milliseconds
+    back = int(held.total_seconds() * 1_000_000)
+    reach = Window.partitionBy(F.lit(0)).orderBy(F.unix_micros("window_start")).rangeBetween(-back, 0)  # one row per window
+    needed = held // window + 1
+    return latencies.withColumns(
+        {name.replace("_ms", "_alert"): F.count_if(F.col(name) > limit).over(reach) >= needed for name, limit in limits.items()}
     )
 
 
@@ -120,13 +140,13 @@ def quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) -> DataFr
     n = F.col("_n")
     cumulative = running(ranged, [], ["_range"], ["value"], [Running("_upto", n), Running("_total", n, how="total")])
     return cumulative.agg(
-        *[F.min(F.when(F.col("_upto") >= F.col("_total") * p, F.col("value"))).alias(f"p{str(p)[2:]}") for p in probabilities]
+        *[F.min(F.when(F.col("_upto") >= F.col("_total") * p, F.col("value"))).alias(percent_name(p)) for p in probabilities]
     )
 
 
 def approx_quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) -> DataFrame:
     """Sketched quantiles in one pass."""
-    return df.agg(*[F.percentile_approx(col, p).alias(f"p{str(p)[2:]}") for p in probabilities])
+    return df.agg(*[F.percentile_approx(col, p).alias(percent_name(p)) for p in probabilities])
 
 
 def replay(outbox: DataFrame, decision_ids: DataFrame, now: Column) -> DataFrame:
@@ -140,11 +160,10 @@ def replay(outbox: DataFrame, decision_ids: DataFrame, now: Column) -> DataFrame
     newest = latest_per(wanted, ["aggregate_id"], ["created_at", "event_id"])
     new_id = F.sha2(F.concat_ws("|", "event_id", now.cast("string")), 256)
     iso = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    fresh = F.regexp_replace(
-        F.regexp_replace("payload", F.lit('"eventId":"[^"]*"'), F.concat(F.lit('"eventId":"'), new_id, F.lit('"'))),
-        F.lit('"occurredAt":"[^"]*"'),
-        F.concat(F.lit('"occurredAt":"'), iso, F.lit('"')),
-    )
+    # only the metadata is new; unknown fields of a message would be lost, so its schema is the event's
+    event = F.from_json("payload", DECISION_EVENT)
+    metadata = event["metadata"].withField("eventId", new_id).withField("occurredAt", iso)
+    fresh = F.to_json(event.withField("metadata", metadata))
     return newest.select(
         new_id.alias("event_id"), "aggregate_type", "aggregate_id", "topic", "message_key", fresh.alias("payload"), now.alias("created_at")
     )

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import csv
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import key_bucket
@@ -15,12 +14,16 @@ from ..sources.schemas import RISK_LEVELS
 
 @dataclass(frozen=True)
 class Rule:
-    """A code and level given where a SQL predicate holds; it fires only if its set is bound."""
+    """A code and level given where a predicate (SQL, or a function that builds a column) holds; it fires
+    only if its set is bound."""
 
     code: str
     rule_set: str
     level: str
-    predicate: str
+    predicate: str | Callable[[], Column]
+
+    def holds(self) -> Column:
+        return F.expr(self.predicate) if isinstance(self.predicate, str) else self.predicate()
 
 
 @dataclass(frozen=True)
@@ -70,25 +73,33 @@ BASELINE = ("blacklist", "threshold", "model")
 ACTIONS = {"LOW": "ALLOW", "MEDIUM": "CHALLENGE", "HIGH": "REVIEW", "REJECT": "REJECT"}
 
 
-def read_tiers(path: str) -> tuple[Tier, ...]:
-    """Decision-table lines from a CSV file with channel, low, high and code columns."""
-    with open(path, newline="", encoding="utf-8") as f:
-        return tuple(Tier(r["channel"], int(r["low"]), int(r["high"]), r["code"]) for r in csv.DictReader(f))
+def read_tiers(spark: SparkSession, path: str) -> tuple[Tier, ...]:
+    """Decision-table lines from a rule sheet (CSV) that Spark can read.
+
+    The sheet's head names its columns' roles (CONDITION, ACTION, AGENDA-GROUP); lines of the table follow the row of titles
+    below the parameter patterns and hold channel, lower and upper amount, an object test, the code and the rule set.
+    """
+    names = ["channel", "low", "high", "test", "code", "rule_set"]
+    lines = spark.read.schema(", ".join(f"{n} string" for n in names)).option("quote", '"').option("escape", '"').csv(path)
+    whole = "^[0-9]+$"
+    rows = lines.filter(F.col("low").rlike(whole) & F.col("high").rlike(whole) & F.col("code").isNotNull())
+    return tuple(Tier(r.channel, int(r.low), int(r.high), r.code) for r in rows.orderBy("channel", F.col("low").cast("bigint"), "code").collect())
+
+
+def _in_tier(t: Tier) -> Callable[[], Column]:
+    return lambda: (F.col("channel") == t.channel) & (F.col("amount_minor") >= t.low) & (F.col("amount_minor") < t.high)
 
 
 def tier_rules(tiers: Sequence[Tier]) -> tuple[Rule, ...]:
     """Decision-table lines as rules of the threshold set."""
-    return tuple(
-        Rule(t.code, "threshold", "HIGH", f"channel = '{t.channel}' AND amount_minor >= {t.low} AND amount_minor < {t.high}")
-        for t in tiers
-    )
+    return tuple(Rule(t.code, "threshold", "HIGH", _in_tier(t)) for t in tiers)
 
 
 def hit_structs(rules: Sequence[Rule], rule_sets: Column | None = None) -> Column:
     """Array of (code, severity) of the rules that fire, sorted by code."""
 
     def fired(r: Rule) -> Column:
-        holds = F.expr(r.predicate)
+        holds = r.holds()
         if rule_sets is not None:
             holds = holds & F.array_contains(rule_sets, r.rule_set)
         return F.when(holds, F.struct(F.lit(r.code).alias("code"), F.lit(RISK_LEVELS.index(r.level)).alias("severity")))

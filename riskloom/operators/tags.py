@@ -15,7 +15,6 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import checked_broadcast
 from ..functions.scan import Running, running, with_slot
 from ..functions.text import non_blank
 from .common import first_per
@@ -229,5 +228,5 @@ def stale_tags(tags: DataFrame, key: str, computed_at: str, definitions: DataFra
     names = [c for c in tags.columns if c not in (key, computed_at)]
     long = tags.unpivot([key, computed_at], [F.col(c).cast("string").alias(c) for c in names], "tag_id", "value")
     age = F.unix_seconds(now) - F.unix_seconds(computed_at)
-    joined = long.join(checked_broadcast(definitions), "tag_id").withColumn("age_seconds", age)
+    joined = long.join(definitions, "tag_id").withColumn("age_seconds", age)
     return joined.filter(F.col("age_seconds") > F.col("freshness_seconds")).select(key, "tag_id", "age_seconds")

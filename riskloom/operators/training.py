@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scan import Running, running
+from ..functions.scan import TARGET_ROWS, Running, running
 from ..sources.schemas import MODEL_FEATURES
 
 KEYS = ["source_id", "txn_id"]
@@ -40,11 +41,13 @@ def weighted(data: DataFrame, positive_weight: float) -> DataFrame:
     return data.withColumn("class_weight", F.when(F.col("label") == 1.0, positive_weight).otherwise(1.0))
 
 
-def stratified_split(data: DataFrame, every: int = 5, range_bits: int = 10) -> DataFrame:
+def stratified_split(data: DataFrame, every: int = 5, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Add ``is_validation``: each class ordered by a hash of the key, every fifth row.
 
-    Hash values are even, so their upper bits cut a class into equal ranges that are ranked apart.
+    Hash values are even, so their upper bits cut a class into equal ranges of about ``target_rows``
+    rows, which are ranked apart.
     """
+    range_bits = max(1, math.ceil(math.log2(max(1, data.count() / target_rows) + 1)))
     hashed = data.withColumn("_hash", F.xxhash64(*KEYS))
     ranged = hashed.withColumn("_range", F.shiftright("_hash", 64 - range_bits))
     ranked = running(ranged, ["label"], ["_range"], ["_hash", *KEYS], [Running("_rank", F.lit(1).cast("bigint"))])

@@ -37,22 +37,32 @@ failures AS (
   FROM ahead WHERE status = 'FAILED' AND failure_count >= 3 AND success_time - first_time < INTERVAL 72 HOURS)"""
 
 SIGNALS = """
+evidence AS (
+  SELECT f.account_no, f.first_event_id, string_agg(n.event_id, '|' ORDER BY n.pos) || '|' || f.success_event_id AS related
+  FROM failures f JOIN ahead a ON a.account_no = f.account_no AND a.first_event_id = f.first_event_id
+    JOIN numbered n ON n.account_no = f.account_no AND n.pos >= a.pos AND n.pos < a.pos + f.failure_count
+  GROUP BY f.account_no, f.first_event_id, f.success_event_id),
 signal AS (
   SELECT 'PROBE_THEN_LARGE' AS signal_type, account_no, large_time AS detected_at,
     probe_event_id || '|' || large_event_id AS related, 'probeAmount=' || probe_amount || ',largeAmount=' || large_amount AS attributes
   FROM probe
   UNION ALL
-  SELECT 'FAILED_THEN_SUCCESS', account_no, success_time, first_event_id || '|' || success_event_id,
+  SELECT 'FAILED_THEN_SUCCESS', account_no, success_time, related,
     'failureCount=' || failure_count || ',matchCount=' || match_count
-  FROM failures)"""
+  FROM failures JOIN evidence USING (account_no, first_event_id))"""
 
 
 def probes(spark, sf):
     return patterns.probe_then_large(tables.transactions(spark, sf), PROBE, LARGE, timedelta(hours=24), tables.event_cuts(spark, sf))
 
 
-def failures(spark, sf):
-    return patterns.failed_then_success(tables.transactions(spark, sf), 3, timedelta(hours=72), cuts=tables.event_cuts(spark, sf))
+def failures(spark, sf, least=3):
+    return patterns.failed_then_success(tables.transactions(spark, sf), least, timedelta(hours=72), cuts=tables.event_cuts(spark, sf))
+
+
+def signals(spark, sf):
+    runs = patterns.run_evidence(failures(spark, sf), failures(spark, sf, 1))
+    return patterns.signals(probes(spark, sf), runs)
 
 
 @query(
@@ -78,7 +88,7 @@ def cep_failed_then_success(spark, sf):
 )
 def risk_signals(spark, sf):
     attributes = F.concat_ws(",", F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return patterns.signals(probes(spark, sf), failures(spark, sf)).select(
+    return signals(spark, sf).select(
         "signal_id", "severity", "signal_type", "account_no", F.concat_ws("|", "related_event_ids").alias("related"), attributes.alias("attributes")
     )
 
@@ -89,5 +99,5 @@ def risk_signals(spark, sf):
       count(*) AS signals FROM signal GROUP BY 1, 2, 3""",
 )
 def risk_signal_daily(spark, sf):
-    daily = patterns.signal_summary(patterns.signals(probes(spark, sf), failures(spark, sf)))
+    daily = patterns.signal_summary(signals(spark, sf))
     return daily.withColumn("signal_date", F.col("signal_date").cast("string"))

@@ -19,12 +19,13 @@ _SCORED = f"{TXN}, {FEAT}, {ASOF}, {SCORE}"
 
 
 def scored(spark, sf):
-    return dec.logistic_score(as_of(spark, sf))
+    return tables.fixture_score(as_of(spark, sf))
 
 
-def decided(spark, sf):
+def decided(spark, sf, scorer=tables.fixture_score, **settings):
     """Transactions with their decision."""
-    return dec.decide(as_of(spark, sf), KEY)
+    asked, evaluation = tables.requests(as_of(spark, sf))
+    return dec.decide(asked, KEY, scorer, **evaluation, **settings)
 
 
 def records(spark, sf):
@@ -100,7 +101,7 @@ bucketed AS (SELECT *, ((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h EN
       FROM fired""",
 )
 def decisions_by_binding(spark, sf):
-    out = dec.decide(as_of(spark, sf), KEY, bindings=BINDINGS)
+    out = decided(spark, sf, bindings=BINDINGS)
     return out.select("event_id", "rule_version", "risk_level", joined())
 
 
@@ -140,9 +141,28 @@ def decisions_degraded(spark, sf):
     return out.withColumn("hit_rules", joined()).select(*_RECORD.split(", "))
 
 
-@query("decisions", f"WITH {DECISIONS} SELECT {_RECORD} FROM decision")
+_SNAPSHOT = """CASE WHEN features_available AND feature_event_time IS NOT NULL THEN concat_ws(',',
+  'daily_stat_date=' || strftime(daily_stat_date, '%Y%m%d'), 'daily_amount=' || daily_amount, 'daily_count=' || daily_count, 'txn_count_5m=' || txn_count,
+  'device_new=' || device_new, 'known_device_count=' || known_device_count, 'unique_counterparty_count=' || unique_counterparty_count,
+  'feature_event_time=' || (epoch_us(feature_event_time) // 1000)) ELSE '' END AS feature_snapshot"""
+
+
+@query(
+    "decisions",
+    f"""WITH {DECISIONS}, day AS (SELECT event_id, lag(daily_stat_date) OVER (PARTITION BY account_no ORDER BY event_time, event_id) AS daily_stat_date FROM feat)
+      SELECT {_RECORD}, 'c-' || d.txn_id AS correlation_id, epoch_us(created_at) AS created_us, epoch_us(d.event_time) AS event_us, {_SNAPSHOT}
+      FROM decision d JOIN (SELECT n, event_id, features_available, daily_amount, daily_count, txn_count, device_new, known_device_count,
+        unique_counterparty_count, feature_event_time FROM stored) s USING (n) JOIN day USING (event_id)""",
+)
 def decisions(spark, sf):
-    return records(spark, sf).withColumn("hit_rules", joined()).select(*_RECORD.split(", "))
+    pairs = F.transform(F.map_entries("feature_snapshot"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return records(spark, sf).withColumns({"hit_rules": joined(), "feature_snapshot": F.concat_ws(",", pairs)}).select(
+        *_RECORD.split(", "),
+        "correlation_id",
+        F.unix_micros("created_at").alias("created_us"),
+        F.unix_micros("event_time").alias("event_us"),
+        "feature_snapshot",
+    )
 
 
 @query("decisions_idempotent", f"WITH {DECISIONS} SELECT {_RECORD} FROM decision")

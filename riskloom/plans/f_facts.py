@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import facts
+from ..session import shared_path
 from ..sources import tables
 from .e_decisions import records
 from .oracle import CASE_LABEL, DECISIONS, FACT, TXN
@@ -17,11 +18,14 @@ from .registry import query
       FROM fact""",
 )
 def merge_immutable(spark, sf):
-    """Facts of 2001 arrive again, corrected by one unit; the first half of them is already stored."""
+    """Facts of 2001 arrive again, corrected by one unit; the first part of them is already stored. Written by year, merged, read back."""
     fact = tables.facts(spark, sf).select("source_id", "txn_id", "customer_id", "amount_minor", "event_time")
     stored = fact.filter(F.col("event_time") < F.lit("2001-04-01").cast("timestamp"))
     incoming = fact.filter(F.col("event_time") >= F.lit("2001-01-01").cast("timestamp")).withColumn("amount_minor", F.col("amount_minor") + 1)
-    return facts.merge_replace(stored, incoming, facts.KEYS).select("txn_id", "customer_id", "amount_minor")
+    path, year = shared_path(spark, "facts"), F.year("event_time")
+    for part in (stored, incoming):
+        facts.write_merged(spark, path, shared_path(spark, "facts-staging"), part.withColumn("event_year", year), facts.KEYS, "event_year")
+    return spark.read.parquet(path).select("txn_id", "customer_id", "amount_minor")
 
 
 @query(

@@ -11,7 +11,7 @@ from ..sources import tables
 from ..sources.contracts import parse_transactions
 from ..sources.sinks import read_latest
 from ..streaming import features, patterns, runtime, sinks, windows
-from .d_patterns import FAILURES, LARGE, PROBE, PROBES
+from .d_patterns import FAILURES, LARGE, PROBE, PROBES, SIGNALS
 from .e_decisions import records
 from .oracle import DECISIONS, FEAT, TXN
 from .registry import query
@@ -65,6 +65,24 @@ def stream_patterns(spark, sf):
     return found.select("signal_type", "account_no", "first_event_id", "last_event_id", "first_value", "last_value")
 
 
+@query(
+    "stream_signals",
+    f"""WITH {TXN}, {PROBES}, {FAILURES}, {SIGNALS}, wm AS (SELECT max(event_time) - INTERVAL 2 MINUTES AS t FROM txn)
+      SELECT sha256(signal_type || '|' || account_no || '|' || related) AS signal_id, 'HIGH' AS severity, signal_type, account_no, related, attributes
+      FROM signal WHERE detected_at <= (SELECT t FROM wm)""",
+)
+def stream_signals(spark, sf):
+    """Signals filed by id, so a batch that is delivered again changes nothing."""
+    path = shared_path(spark, "signals")
+    found = patterns.stream_patterns(txn_stream(spark, sf), PROBE, LARGE, timedelta(hours=24), 3, timedelta(hours=72))
+    runtime.run_batches(patterns.stream_signals(found), sinks.keyed_sink(path, ["signal_id"], ["detected_at"]), shared_path(spark, "signals-checkpoint"))
+    pairs = F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return read_latest(spark, path, ["signal_id"], ["detected_at"]).select(
+        "signal_id", "severity", "signal_type", "account_no",
+        F.concat_ws("|", "related_event_ids").alias("related"), F.concat_ws(",", pairs).alias("attributes"),
+    )
+
+
 @query(
     "stream_decision_metrics",
     f"""WITH {DECISIONS}, w AS (SELECT unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, created_at) - INTERVAL 4 MINUTES,

@@ -162,16 +162,43 @@ def score_histogram(spark, sf):
     return histograms(spark, sf)
 
 
-@query("model_psi", f"WITH {_HIST}, {_PSI} SELECT * FROM psi")
+@query("model_psi", f"WITH {_HIST}, {_PSI} SELECT *, 'OK' AS status FROM psi")
 def model_psi(spark, sf):
     return _six(score_psi(spark, sf))
 
 
-@query("model_drift_alerts", f"WITH {_HIST}, {_PSI} SELECT * FROM psi WHERE psi > 0.05")
+@query("model_drift_alerts", f"WITH {_HIST}, {_PSI} SELECT *, 'OK' AS status FROM psi WHERE psi > 0.05")
 def model_drift_alerts(spark, sf):
     return _six(drift.alerts(score_psi(spark, sf), 0.05))
 
 
+@query("model_drift_gauge", f"WITH {_HIST}, {_PSI} SELECT max(psi) AS psi_max, max(psi) > 0.25 AS alert FROM psi")
+def model_drift_gauge(spark, sf):
+    out = drift.drift_gauge(score_psi(spark, sf))
+    return out.withColumn("psi_max", F.round("psi_max", 6))
+
+
+@query(
+    "model_monitor_snapshots",
+    f"""WITH {DECISIONS}, s AS (SELECT model_version AS model_id, date_trunc('day', created_at) AS d, least(floor(fraud_score * 10), 9)::BIGINT AS bin FROM decision),
+      g AS (SELECT model_id, d, unnest(range(10)) AS bin FROM (SELECT DISTINCT model_id, d FROM s)),
+      c AS (SELECT g.model_id, g.d, g.bin, count(s.bin) AS n FROM g LEFT JOIN s ON s.model_id = g.model_id AND s.d = g.d AND s.bin = g.bin GROUP BY ALL),
+      b AS (SELECT model_id, bin, sum(n) AS n FROM c GROUP BY ALL),
+      x AS (SELECT c.*, greatest(1e-6, c.n / sum(c.n) OVER (PARTITION BY c.model_id, c.d)) AS a, greatest(1e-6, b.n / sum(b.n) OVER (PARTITION BY c.model_id, c.d)) AS e
+        FROM c JOIN b USING (model_id, bin))
+      SELECT model_id, epoch_us(d) AS window_start_us, CAST(sum(n) AS BIGINT) AS sample_count, string_agg(n, ',' ORDER BY bin) AS histogram,
+        round(sum((a - e) * ln(a / e)), 6) AS psi FROM x GROUP BY model_id, d""",
+)
+def model_monitor_snapshots(spark, sf):
+    """Each day of each model against all its days."""
+    rows = records(spark, sf).select(F.col("model_version").alias("model_id"), F.col("created_at").alias("scored_at"), F.col("fraud_score").alias("score"))
+    rows = materialize(rows, "model-scores")
+    baseline = drift.histogram(rows, ["model_id"], drift.score_bin(F.col("score"), 10), 10)
+    out = _six(drift.monitor_snapshots(rows, baseline, "1 day"))
+    start = F.unix_micros("window_start").alias("window_start_us")
+    return out.select("model_id", start, "sample_count", F.concat_ws(",", F.col("histogram").cast("array<string>")).alias("histogram"), "psi")
+
+
 def _six(df):
     return df.withColumn("psi", F.round("psi", 6))
 
@@ -189,11 +216,12 @@ WIDTHS = {"amount": 5_000.0, "daily_amount": 20_000.0, "daily_count": 2.0, "hour
       h AS (SELECT g.feature, g.bin, count(*) FILTER (WHERE b.cur) AS c, count(*) FILTER (WHERE NOT b.cur) AS e FROM grid g
         LEFT JOIN b ON b.feature = g.feature AND b.bin = g.bin GROUP BY 1, 2),
       s AS (SELECT feature, greatest(1e-6, c / sum(c) OVER (PARTITION BY feature)) AS a, greatest(1e-6, e / sum(e) OVER (PARTITION BY feature)) AS e FROM h)
-      SELECT feature, round(sum((a - e) * ln(a / e)), 6) AS psi FROM s GROUP BY 1""",
+      SELECT feature, round(sum((a - e) * ln(a / e)), 6) AS psi, 'OK' AS status FROM s GROUP BY 1""",
 )
 def feature_psi(spark, sf):
     """Feature distributions of two sources against each other."""
-    rows = drift.feature_bins(features.model_features(as_of(spark, sf)), WIDTHS)
+    both = features.model_features(as_of(spark, sf)).filter(F.col("source_id").isin("WEB_BANK", "ATM_NET"))
+    rows = drift.feature_bins(both, WIDTHS)
     h = materialize(drift.histogram(rows, ["source_id", "feature"], F.col("bin"), 10), "histograms")
     base, current = h.filter(F.col("source_id") == "WEB_BANK"), h.filter(F.col("source_id") == "ATM_NET")
     return _six(drift.psi(base, current, ["feature"]))

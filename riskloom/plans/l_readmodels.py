@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..operators import decisions as dec
@@ -108,7 +110,7 @@ def status_counts(spark, sf):
       c AS (SELECT count(*) AS shown, count(*) FILTER (WHERE risk_level = 'LOW') AS low, count(*) FILTER (WHERE risk_level = 'MEDIUM') AS medium,
         count(*) FILTER (WHERE risk_level = 'HIGH') AS high, count(*) FILTER (WHERE risk_level = 'REJECT') AS reject FROM top)
       SELECT *, high + reject AS high_risk, CAST(round((high + reject) / shown * 100) AS BIGINT) AS high_risk_percent,
-        (SELECT least(count(*), 200) FROM decision WHERE action IN ('REVIEW', 'CHALLENGE')) AS open_cases,
+        (SELECT count(*) FROM decision WHERE action IN ('REVIEW', 'CHALLENGE')) AS open_cases,
         (SELECT count(*) FROM decision) AS total, (SELECT count(*) FROM outbox WHERE status = 'DEAD') AS dead_events FROM c""",
 )
 def risk_overview(spark, sf):
@@ -138,6 +140,19 @@ def latency_quantiles(spark, sf):
     return out.select(us("window_start"), "decisions", "p99_ms", "p999_ms")
 
 
+@query(
+    "latency_alerts",
+    f"""WITH {DECISIONS}, q AS (SELECT {_WINDOW}, quantile_cont(cost_ms, 0.99) AS p99_ms, quantile_cont(cost_ms, 0.999) AS p999_ms FROM decision GROUP BY 1)
+      SELECT *, count(*) FILTER (WHERE p99_ms > 50) OVER w >= 3 AS p99_alert, count(*) FILTER (WHERE p999_ms > 100) OVER w >= 3 AS p999_alert
+      FROM q WINDOW w AS (ORDER BY window_start_us RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW)""",
+)
+def latency_alerts(spark, sf):
+    """The test data are sparse, so windows are hours and an alert has to hold for two."""
+    hours = views.latency_quantiles(records(spark, sf), "1 hour")
+    out = views.latency_alerts(hours, timedelta(hours=1), timedelta(hours=2))
+    return out.select(us("window_start"), "p99_ms", "p999_ms", "p99_alert", "p999_alert")
+
+
 @query(
     "decision_rates",
     f"WITH {DECISIONS} SELECT {_WINDOW}, risk_level, action, hit_rules LIKE 'DEGRADED%' AS degraded, count(*) AS decisions FROM decision GROUP BY 1, 2, 3, 4",
@@ -156,7 +171,7 @@ def rule_hit_ratio(spark, sf):
 
 @query(
     "score_quantiles",
-    f"WITH {DECISIONS} SELECT quantile_disc(fraud_score, 0.5) AS p5, quantile_disc(fraud_score, 0.95) AS p95 FROM decision",
+    f"WITH {DECISIONS} SELECT quantile_disc(fraud_score, 0.5) AS p50, quantile_disc(fraud_score, 0.95) AS p95 FROM decision",
 )
 def score_quantiles(spark, sf):
     return views.quantiles(records(spark, sf), "fraud_score", (0.5, 0.95))

@@ -31,6 +31,29 @@ TRANSACTION_EVENT = T.StructType(
     ]
 )
 
+_HIT = T.StructType(
+    [
+        T.StructField("ruleCode", T.StringType()),
+        T.StructField("ruleName", T.StringType()),
+        T.StructField("score", T.IntegerType()),
+        T.StructField("reason", T.StringType()),
+    ]
+)
+DECISION_EVENT = T.StructType(
+    [
+        T.StructField("metadata", METADATA),
+        T.StructField("decisionId", T.StringType()),
+        T.StructField("riskLevel", T.StringType()),
+        T.StructField("action", T.StringType()),
+        T.StructField("fraudScore", T.DoubleType()),
+        T.StructField("hitRules", T.ArrayType(_HIT)),
+        T.StructField("featureSnapshot", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("ruleVersion", T.StringType()),
+        T.StructField("modelVersion", T.StringType()),
+        T.StructField("costMs", T.LongType()),
+    ]
+)
+
 # Fixed values of the event contract.
 CHANNELS = ["MOBILE", "WEB", "ATM", "API", "BRANCH"]
 BIZ_TYPES = ["TRANSFER", "REMITTANCE", "PAYMENT", "WITHDRAWAL"]

@@ -156,3 +156,25 @@ def envelopes(txn: DataFrame) -> DataFrame:
         F.col("account_no").alias("key"),
         F.when(F.col("n") % 97 == 0, F.substring(body, 1, 40)).otherwise(body).alias("payload"),
     )
+
+
+def fixture_score(df: DataFrame) -> DataFrame:
+    """A stand-in for a trained model: ``fraud_score`` of a logistic formula, rounded to six digits."""
+    # fixed values: the weights by which the test labels are usually drawn
+    daily_amount = F.coalesce("daily_amount", F.lit(0)) / 100.0
+    z = (
+        F.lit(-3.0)
+        + F.col("amount_minor") / 100.0 * 0.00002
+        + daily_amount * 0.000015
+        + F.when(F.col("device_new"), 1.2).otherwise(0.0)
+        + F.when(F.col("counterparty").isNotNull(), 0.6).otherwise(0.0)
+        + F.when(F.hour("event_time") < 6, 1.0).otherwise(0.0)
+        + F.coalesce("daily_count", F.lit(0)) * 0.05
+    )
+    return df.withColumn("fraud_score", F.round(1.0 / (1.0 + F.exp(-z)), 6))
+
+
+def requests(as_of: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Transactions as they reach the decision, with a correlation id, and the clock and cost of each evaluation."""
+    asked = as_of.withColumn("correlation_id", F.concat(F.lit("c-"), F.col("txn_id")))
+    return asked, {"created_at": F.col("event_time"), "cost_ms": F.col("n") % 120}

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE_DAYS = 90
+OUTPUT_ROWS = 10_000
 OUTPUT = T.StructType(
     [
         T.StructField("account_no", T.StringType()),
@@ -76,9 +77,11 @@ class AccountFeatures(StatefulProcessor):
         day, amount, count, newest, devices, parties, recent = stored if stored is not None else (None, 0, 0, 0, 0, 0, [])
         recent = list(recent)
         ids, seen_devices, seen_parties = set(), set(), set()
-        for chunk in rows:
+        # Arrow may cut the account's rows of a micro-batch anywhere, so they are put in order as a whole
+        everything = pd.concat(list(rows), ignore_index=True).sort_values(["event_us", "event_id"])
+        for at in range(0, len(everything), OUTPUT_ROWS):
             out = []
-            for e in chunk.sort_values(["event_us", "event_id"]).itertuples(index=False):
+            for e in everything.iloc[at : at + OUTPUT_ROWS].itertuples(index=False):
                 if not self._first(self.ids, e.event_id, ids):
                     continue
                 if day is None or e.event_day > day:
@@ -104,7 +107,10 @@ class AccountFeatures(StatefulProcessor):
 def stream_features(
     txn: DataFrame, zone: str = "UTC", window: timedelta = timedelta(minutes=5), ttl_days: int | None = STATE_DAYS
 ) -> DataFrame:
-    """Features per event of a transaction stream.
+    """Features per event of a transaction stream. An event that repeats an id of the account gives no row.
+
+    An account's rows of one micro-batch are ordered together in one task; bound them by the source's
+    limits per trigger. Results do not depend on how Arrow chunks them.
 
     State not written for ``ttl_days`` expires by the clock, which keeps a stream's batches coming;
     give None for a run that shall end with its input.

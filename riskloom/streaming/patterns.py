@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.patterns import with_signal_ids
 from .runtime import LATENESS
 
 OUTPUT = T.StructType(
@@ -28,6 +29,9 @@ OUTPUT = T.StructType(
         T.StructField("last_us", T.LongType()),
         T.StructField("first_value", T.LongType()),
         T.StructField("last_value", T.LongType()),
+        T.StructField("source_id", T.StringType()),
+        T.StructField("txn_id", T.StringType()),
+        T.StructField("related_event_ids", T.ArrayType(T.StringType())),
     ]
 )
 _EVENT = T.StructType(
@@ -36,6 +40,8 @@ _EVENT = T.StructType(
         T.StructField("event_id", T.StringType()),
         T.StructField("amount", T.LongType()),
         T.StructField("status", T.StringType()),
+        T.StructField("source_id", T.StringType()),
+        T.StructField("txn_id", T.StringType()),
     ]
 )
 _START = T.StructType(
@@ -47,6 +53,7 @@ _START = T.StructType(
         T.StructField("length", T.LongType()),
     ]
 )
+_WAITING = ["event_us", "event_id", "amount_minor", "status", "source_id", "txn_id"]
 _COUNT = T.StructType([T.StructField("failures", T.LongType())])
 
 
@@ -65,7 +72,7 @@ class AccountPatterns(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for chunk in rows:
-            self.waiting.appendList(list(chunk[["event_us", "event_id", "amount_minor", "status"]].itertuples(index=False, name=None)))
+            self.waiting.appendList(list(chunk[_WAITING].itertuples(index=False, name=None)))
             self._wake_after(int(chunk["event_us"].min()))
         yield pd.DataFrame(columns=OUTPUT.names)
 
@@ -90,12 +97,12 @@ class AccountPatterns(StatefulProcessor):
         probes, run, failed = kinds.values()
         failures = self.counter.get()[0] if self.counter.exists() else 0
         out = []
-        for us, event_id, amount, status in events:
+        for us, event_id, amount, status, *origin in events:
             for queue, window in ((probes, "probe"), (run, "failed"), (failed, "failed")):
                 while queue and us - queue[0][0] >= self.windows[window]:
                     queue.popleft()
             if amount >= self.large:
-                out += [("PROBE_THEN_LARGE", account, s[1], event_id, s[0], us, s[2], amount) for s in probes]
+                out += [("PROBE_THEN_LARGE", account, s[1], event_id, s[0], us, s[2], amount, *origin, [s[1], event_id]) for s in probes]
                 probes.clear()
             if amount <= self.probe:
                 probes.append((us, event_id, amount, 0))
@@ -104,11 +111,15 @@ class AccountPatterns(StatefulProcessor):
                 run.append((us, event_id, failures, 0))
                 continue
             # the run is over: a start's length is the failures from it on
-            lengths = [(*s[:3], failures - s[2] + 1) for s in run]
-            failed.extend(s for s in lengths if s[3] >= self.min_failures)
+            failed.extend((*s[:3], failures - s[2] + 1) for s in run)
             run.clear()
             if status == "SUCCESS":
-                out += [("FAILED_THEN_SUCCESS", account, s[1], event_id, s[0], us, s[3], s[3] - self.min_failures + 1) for s in failed]
+                # the failures of a start's run follow it in the queue
+                ids = [s[1] for s in failed]
+                for i, s in enumerate(failed):
+                    if s[3] >= self.min_failures:
+                        evidence = [*ids[i : i + s[3]], event_id]
+                        out.append(("FAILED_THEN_SUCCESS", account, s[1], event_id, s[0], us, s[3], s[3] - self.min_failures + 1, *origin, evidence))
                 failed.clear()
         left = [(kind, *s) for kind, queue in kinds.items() for s in queue]
         self.starts.put(left) if left else self.starts.clear()
@@ -134,13 +145,33 @@ def stream_patterns(
 ) -> DataFrame:
     """Both patterns over a transaction stream, each match once its last event is behind the watermark.
 
-    For failures, ``first_value`` is the failure count and ``last_value`` the number of matches.
+    For failures, ``first_value`` is the failure count and ``last_value`` the number of matches. The last
+    event's source and transaction, and all events of the match in order, come with it.
     """
     slim = (
         txn.withWatermark("event_time", lateness)
-        .select("account_no", "event_id", "amount_minor", "status", "event_time", F.unix_micros("event_time").alias("event_us"))
+        .select("account_no", "event_id", "amount_minor", "status", "source_id", "txn_id", "event_time", F.unix_micros("event_time").alias("event_us"))
     )
     processor = AccountPatterns(probe, large, probe_within, min_failures, failed_within)
     return slim.groupBy("account_no").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )
+
+
+def stream_signals(found: DataFrame) -> DataFrame:
+    """Streamed matches as risk signals, with the ids that the batch signals have."""
+    probe = F.col("signal_type") == "PROBE_THEN_LARGE"
+    first, last = F.col("first_value").cast("string"), F.col("last_value").cast("string")
+    attributes = F.when(probe, F.create_map(F.lit("probeAmount"), first, F.lit("largeAmount"), last)).otherwise(
+        F.create_map(F.lit("failureCount"), first, F.lit("matchCount"), last)
+    )
+    parts = found.select(
+        "signal_type",
+        "account_no",
+        "source_id",
+        "txn_id",
+        F.timestamp_micros("last_us").alias("detected_at"),
+        "related_event_ids",
+        attributes.alias("attributes"),
+    )
+    return with_signal_ids(parts)

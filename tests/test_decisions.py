@@ -5,25 +5,26 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from datetime import date, datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import hmac_sha256, key_bucket, mask_middle, mask_tail, text_to_bool, text_to_long
+from riskloom.functions.text import is_blank, hmac_sha256, key_bucket, mask_middle, mask_tail, text_to_bool, text_to_long
 from riskloom.operators import decisions as dec
 from riskloom.operators import rules
 from riskloom.sources import contracts
 
 BASE = dict(
-    n=1, source_id="MOBILE_TRANSFER", txn_id="t-1", event_id="e-1", account_no="6225000000000001", counterparty=None, channel="ATM",
+    source_id="MOBILE_TRANSFER", txn_id="t-1", event_id="e-1", account_no="6225000000000001", counterparty=None, channel="ATM",
     biz_type="TRANSFER", amount_minor=10_000, currency="CNY", device_id="d", ip="10.0.0.1", status="SUCCESS", blacklist=False,
     device_blacklist=False, features_available=True, daily_amount=None, daily_count=None, txn_count=None, device_new=None,
-    known_device_count=None, unique_counterparty_count=None,
+    known_device_count=None, unique_counterparty_count=None, daily_stat_date=None, feature_event_time=None, correlation_id="corr-1",
 )
-SCHEMA = """n bigint, source_id string, txn_id string, event_id string, account_no string, counterparty string, channel string, biz_type string,
+SCHEMA = """source_id string, txn_id string, event_id string, account_no string, counterparty string, channel string, biz_type string,
   amount_minor bigint, currency string, device_id string, ip string, status string, blacklist boolean, device_blacklist boolean,
   features_available boolean, daily_amount bigint, daily_count bigint, txn_count bigint, device_new boolean, known_device_count bigint,
-  unique_counterparty_count bigint"""
+  unique_counterparty_count bigint, daily_stat_date date, feature_event_time timestamp, correlation_id string"""
 
 
 def decide(spark, score=0.0, **changes):
@@ -69,6 +70,24 @@ def test_outbox_has_two_messages_and_critical_level(spark):
     assert event["hitRules"] == [{"ruleCode": "BLACKLIST_ACCOUNT", "ruleName": "BLACKLIST_ACCOUNT", "score": 0, "reason": "BLACKLIST_ACCOUNT"}]
 
 
+def test_correlation_clock_cost_and_snapshot(spark):
+    row = decide(spark, daily_amount=7, daily_count=1, txn_count=2, device_new=True, known_device_count=1, unique_counterparty_count=0,
+                 daily_stat_date=date(2026, 7, 21), feature_event_time=datetime(2026, 7, 21, 8, tzinfo=timezone.utc)).first()
+    assert row.correlation_id == "corr-1" and row.cost_ms is None and row.created_at is not None
+    assert row.feature_snapshot == {
+        "daily_stat_date": "20260721", "daily_amount": "7", "daily_count": "1", "txn_count_5m": "2", "device_new": "true",
+        "known_device_count": "1", "unique_counterparty_count": "0", "feature_event_time": "1784620800000",
+    }
+    blank = decide(spark, correlation_id="\t").first()
+    assert blank.correlation_id == blank.decision_id
+
+
+@pytest.mark.parametrize("text,blank", [("", True), (" ", True), ("\t", True), ("\n\x0b\x1c", True), ("\u2003", True), ("\u00a0", False), ("a ", False), (None, True)])
+def test_blank_is_any_white_space(spark, text, blank):
+    row = spark.createDataFrame([(text,)], "t string").select(is_blank(F.col("t")).alias("b"), hmac_sha256(F.col("t"), "k").alias("h")).first()
+    assert row.b == blank and (row.h is None) == blank
+
+
 def test_record_holds_no_raw_account(spark):
     row = dec.records(decide(spark)).first()
     assert BASE["account_no"] not in str(row)
@@ -110,10 +129,18 @@ def test_binding_needs_previous_for_partial_rollout():
         rules.Binding(("model",), "v2", rollout=50)
 
 
-def test_read_tiers(tmp_path):
+def test_read_tiers(spark, tmp_path):
     path = tmp_path / "tiers.csv"
-    path.write_text("channel,low,high,code\nWEB,1,5,DT_X\n")
-    assert rules.read_tiers(str(path)) == (rules.Tier("WEB", 1, 5, "DT_X"),)
+    path.write_text(
+        'RuleSet,rules\nImport,"a.B,c.D"\n,,,,,\nRuleTable Tier,,,,,\nCONDITION,CONDITION,CONDITION,CONDITION,ACTION,AGENDA-GROUP\n'
+        'T,T,T,r:R,,\n"channel == ""$param""",amount >= $param,amount < $param,,"r.tier(""$param"");",\n'
+        "channel,from,to,object,code,set\nWEB,1,5,this != null,DT_X,threshold\nIT'S,5,9,this != null,DT_Y,threshold\n"
+    )
+    tiers = rules.read_tiers(spark, str(path))
+    assert tiers == (rules.Tier("IT'S", 5, 9, "DT_Y"), rules.Tier("WEB", 1, 5, "DT_X"))
+    df = spark.createDataFrame([("IT'S", 5), ("WEB", 5)], "channel string, amount_minor bigint")
+    hits = rules.rule_hits(df, rules.tier_rules(tiers)).select(rules.codes_of(F.col("hits")).alias("c")).collect()
+    assert [r.c for r in hits] == [["DT_Y"], []]
 
 
 def test_shadow_reports_only_differences(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import random
 from datetime import datetime, timedelta
 
@@ -82,7 +83,7 @@ def test_snapshot_equals_state_rules(txn, seed, ranges):
     events = random_events(seed)
     df = txn([(e, a, t.isoformat(), m, d, c) for e, a, t, m, d, c in events])
     window = timedelta(minutes=47)
-    cuts = time_cuts(df, "event_time", ranges) if ranges else None
+    cuts = time_cuts(df, "event_time", target_rows=max(1, len(events) // ranges)) if ranges else None
     assert snapshot_of(df, window=window, cuts=cuts) == accumulate(events, window)
 
 
@@ -132,6 +133,10 @@ def test_model_features_use_major_units(txn):
 
 
 def test_hot_account_is_cut_into_chunks(txn):
-    """The plan shuffles rows by account, day and slot, never by account alone."""
-    plan = features.feature_snapshot(txn([("e-1", "a", "2026-07-21T10:00:00", 500, "x", "p")]))._jdf.queryExecution().toString()
-    assert "hashpartitioning(account_no" in plan
+    """The plan shuffles rows by account, day and slot; only the chunks' summaries meet by account alone."""
+    frame = features.feature_snapshot(txn([("e-1", "a", "2026-07-21T10:00:00", 500, "x", "p")]))
+    lines = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffles = [(line, below) for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning(account_no" in line]
+    assert any("_day" in line and "_slot" in line for line, _ in shuffles)
+    alone = [below for line, below in shuffles if re.search(r"hashpartitioning\(account_no#\d+, \d+\)", line)]
+    assert all("Aggregate" in below for below in alone)

@@ -70,7 +70,7 @@ def test_failures_equal_brute_force(txn, seed):
     times = sorted(rnd.sample(range(0, 20_000), 160))
     events = [(f"e{i:03d}", rnd.choice("aab"), T0 + timedelta(seconds=s), rnd.choice(["FAILED"] * 5 + ["SUCCESS", "UNKNOWN"])) for i, s in enumerate(times)]
     df = txn([(e, a, t.isoformat(), 1, None, None, s) for e, a, t, s in events])
-    for cuts in (None, time_cuts(df, "event_time", 40)):
+    for cuts in (None, time_cuts(df, "event_time", target_rows=4)):
         assert matches(df, cuts) == brute_force(events, timedelta(minutes=30))
 
 
@@ -85,16 +85,27 @@ def test_probes_equal_brute_force(txn, seed):
         if m <= 10_000 and later and later[0][2] - t < timedelta(minutes=10):
             expected.append((e, later[0][0]))
     df = txn([(e, a, t.isoformat(), m) for e, a, t, m in events])
-    for cuts in (None, time_cuts(df, "event_time", 40)):
+    for cuts in (None, time_cuts(df, "event_time", target_rows=4)):
         assert pairs(patterns.probe_then_large(df, cuts=cuts)) == sorted(expected)
 
 
 def test_signals_are_deterministic(txn):
     df = txn([("e1", "a", at(0), 10), ("e2", "a", at(60), 2_000_000)])
     runs = [
-        patterns.signals(patterns.probe_then_large(df), patterns.failed_then_success(df)).collect() for _ in range(2)
+        patterns.signals(patterns.probe_then_large(df), patterns.run_evidence(patterns.failed_then_success(df), patterns.failed_then_success(df, 1))).collect()
+        for _ in range(2)
     ]
     assert runs[0] == runs[1]
     (signal,) = runs[0]
     assert (signal.severity, signal.related_event_ids) == ("HIGH", ["e1", "e2"])
     assert signal.attributes == {"probeAmount": "10", "largeAmount": "2000000"}
+
+
+def test_signal_names_every_failure_of_its_run(txn):
+    kinds = ["FAILED", "FAILED", "UNKNOWN", "FAILED", "FAILED", "FAILED", "FAILED", "UNKNOWN", "SUCCESS", "FAILED"]
+    df = txn([(f"e{i}", "a", at(10 * i), 1, None, None, k) for i, k in enumerate(kinds)])
+    found = patterns.run_evidence(patterns.failed_then_success(df), patterns.failed_then_success(df, 1))
+    assert {r.first_event_id: r.related_event_ids for r in found.collect()} == {
+        "e3": ["e3", "e4", "e5", "e6", "e8"],
+        "e4": ["e4", "e5", "e6", "e8"],
+    }

@@ -91,6 +91,18 @@ def test_write_merged_touches_only_named_partitions(spark, tmp_path):
     fact_ops.write_merged(spark, target, staging, second, fact_ops.KEYS, "day")
     assert sorted(r.v for r in spark.read.parquet(target).collect()) == [1, 3, 5]
     assert sorted((tmp_path / "t" / "day=d1").glob("*.parquet")) == untouched
+    # a key that moves leaves its old partition, also when that empties it
+    moved = spark.createDataFrame([("s", "1", 7, "d2"), ("s", "4", 4, "d3")], schema)
+    fact_ops.write_merged(spark, target, staging, moved, fact_ops.KEYS, "day")
+    assert sorted((r.txn_id, r.v, r.day) for r in spark.read.parquet(target).collect()) == [("1", 7, "d2"), ("2", 5, "d2"), ("3", 3, "d2"), ("4", 4, "d3")]
+
+
+def test_merge_reads_only_touched_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([("s", str(i), i, f"d{i % 5}") for i in range(20)], "source_id string, txn_id string, v int, day string")
+    fact_ops.partitioned(rows, "day").parquet(str(tmp_path / "t"))
+    pruned = spark.read.parquet(str(tmp_path / "t")).filter(F.col("day").isin(["d1", "d2"]))
+    assert "PartitionFilters: [day" in pruned._jdf.queryExecution().toString()
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) == 5  # one file per partition
 
 
 CUSTOMERS = [("C001", 5_000_000, 350, 80, 500.0, 0.7), ("C002", 1_200_000, 60, 10, 8_000.0, 0.2), ("C003", 30_000, 5, 2, 50_000.0, 0.05)]

@@ -12,6 +12,7 @@ from riskloom.sources.sinks import compact, read_latest, write_batch
 from riskloom.streaming import features as sfeatures
 from riskloom.streaming import patterns as spatterns
 from riskloom.streaming import runtime
+from riskloom.streaming.sinks import keyed_sink
 
 from .test_features import COLUMNS, random_events
 
@@ -46,6 +47,42 @@ def test_restart_continues_and_equals_batch(event_files, tmp_path):
     assert values(result) == expected and result.count() == 120
 
 
+@pytest.mark.parametrize("records", ["7", "10000"])
+def test_features_do_not_depend_on_arrow_chunks(spark, txn, tmp_path, records):
+    events = [(e, "a", *rest) for e, _, *rest in random_events(12, n=60)]
+    df = txn([(e, a, t.isoformat(), m, d, c) for e, a, t, m, d, c in events])
+    folder, key = str(tmp_path / "in"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df.orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(folder)
+    runtime.prepare_streaming(spark)
+    before = spark.conf.get(key)
+    spark.conf.set(key, records)
+    try:
+        stream = sfeatures.stream_features(spark.readStream.schema(df.schema).parquet(folder), ttl_days=None)
+        got = runtime.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    finally:
+        spark.conf.set(key, before)
+    assert values(got) == values(features.feature_snapshot(df)) and got.count() == 60
+
+
+def test_late_pattern_event_is_dropped_and_signals_are_filed_once(spark, txn, tmp_path):
+    rows = [("e-1", "a", "2026-07-22T01:00:00", 10), ("e-3", "a", "2026-07-22T02:00:00", 5), ("e-2", "a", "2026-07-22T01:01:00", 5_000_000),
+            ("e-4", "a", "2026-07-22T02:01:00", 2_000_000), ("e-5", "a", "2026-07-22T09:00:00", 20_000)]
+    df = txn(rows)
+    runtime.prepare_streaming(spark)
+    folder, sink, checkpoint = str(tmp_path / "in"), str(tmp_path / "sink"), str(tmp_path / "cp")
+    for event, *_ in rows:
+        df.filter(F.col("event_id") == event).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(df.schema).parquet(folder)
+        signals = spatterns.stream_signals(spatterns.stream_patterns(stream))
+        runtime.run_batches(signals, keyed_sink(sink, ["signal_id"], ["detected_at"]), checkpoint)
+    # e-2 came an hour behind the watermark, so e-1 has no large transfer after it
+    (signal,) = read_latest(spark, sink, ["signal_id"], ["detected_at"]).collect()
+    batch = patterns.probe_then_large(df.filter("event_id <> 'e-2'"))
+    none = patterns.failed_then_success(df)
+    assert signal.related_event_ids == ["e-3", "e-4"]
+    assert signal.signal_id == patterns.signals(batch, patterns.run_evidence(none, none)).first().signal_id
+
+
 def test_streamed_patterns_equal_batch_behind_the_watermark(event_files, spark, tmp_path):
     df, write = event_files
     wide = dict(probe=20, large=80)

@@ -7,7 +7,8 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from riskloom.functions.joins import checked_broadcast, salted_join
+from riskloom.functions.joins import salted_join
+from riskloom.functions.scan import time_cuts, value_ranges
 from riskloom.operators import graph, tags
 
 
@@ -62,15 +63,21 @@ def test_fund_roles(spark):
 def test_salted_join_equals_join(spark):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "id int, k string")
     right = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, v int")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        a = salted_join(left, right, ["k"], ["id"], how).collect()
-        assert sorted(map(tuple, a), key=str) == sorted(map(tuple, left.join(right, "k", how).select(*a[0].asDict()).collect()), key=str)
-
-
-def test_broadcast_is_checked(spark):
-    df = spark.range(10)
-    assert "ResolvedHint" in checked_broadcast(df, 10)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in checked_broadcast(df, 9)._jdf.queryExecution().analyzed().toString()
+    for target in (10, 100, 1000):  # many salts, two, none
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            a = salted_join(left, right, ["k"], ["id"], how, target_rows=target).collect()
+            assert sorted(map(tuple, a), key=str) == sorted(map(tuple, left.join(right, "k", how).select(*a[0].asDict()).collect()), key=str)
+    salted = salted_join(left, right, ["k"], ["id"], target_rows=10)._jdf.queryExecution().analyzed().toString()
+    assert "_salt" in salted and "_salt" not in salted_join(left, right, ["k"], ["id"])._jdf.queryExecution().analyzed().toString()
+
+
+def test_twice_the_rows_give_twice_the_chunks(spark):
+    df = spark.range(400).selectExpr("timestamp_seconds(id) AS t", "id / 3 AS v")
+    for rows in (100, 200, 400):
+        part = df.filter(f"unix_seconds(t) < {rows}")
+        assert len(time_cuts(part, "t", target_rows=50)) + 1 == rows // 50
+        assert value_ranges(part, "v", "r", target_rows=50).select("r").distinct().count() == rows // 50
+    assert time_cuts(df, "t") == []
 
 
 def test_fast_in_out(spark):
