@@ -16,19 +16,21 @@ import mmap
 import os
 import struct
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .tokens import byte_vocabulary, cut_pieces
 from .words import text_slices
 
 #: Words in the lexicon: a bound on its size (a few MB), not on what is counted or encoded.
-LEXICON_WORDS = 50_000
+LEXICON_WORDS = 150_000
 _MAGIC = b"MATX1\0\0\0"
 
 
@@ -138,55 +140,121 @@ class Lexicon:
 class Merger:
     """Exact BPE of one word: join the adjacent pair of the lowest rank until none is left."""
 
+    NONE = 1 << 60
+
     def __init__(self, path: str):
         self.bytes_of, self.added, merges = byte_vocabulary(path)
         special = set(self.added.values())
-        self._id = {b: i for i, b in enumerate(self.bytes_of) if i not in special}
-        self._pair: dict[tuple[int, int], tuple[int, int]] = {}
+        ids = {b: i for i, b in enumerate(self.bytes_of) if i not in special}
+        self._rank: dict[int, int] = {}  # of a pair of ids, as one number
         for rank, (a, b) in enumerate(merges):
-            self._pair.setdefault((self._id[a], self._id[b]), (rank, self._id[a + b]))
-        self._byte = [self._id[bytes([b])] for b in range(256)]
+            self._rank.setdefault(ids[a] << 32 | ids[b], rank)
+        self._made = [ids[a + b] for a, b in merges]
+        self._byte = [ids[bytes([b])] for b in range(256)]
+        pairs = sorted(self._rank.items())
+        self._keys = np.array([k for k, _ in pairs], np.int64)
+        self._ranks = np.array([r for _, r in pairs], np.int64)
+        self._made_array = np.array(self._made, np.int64)
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((self._keys[at] == key) & (a >= 0) & (b >= 0), self._ranks[at], self.NONE)
+
+    def many(self, words: list[bytes], widest: int = 32) -> list[list[int]]:
+        """The ids of many words. Words of similar lengths are rows of a matrix, in which every step joins the
+        first pair of the lowest rank of each row."""
+        out: list[list[int]] = [[] for _ in words]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        low = 0
+        for width in (8, 16, widest):
+            rows = np.flatnonzero((sizes > low) & (sizes <= width))
+            for at in range(0, len(rows), 20_000):
+                part = rows[at : at + 20_000]
+                for i, ids in zip(part.tolist(), self._matrix([words[i] for i in part.tolist()], sizes[part], width)):
+                    out[i] = ids
+            low = width
+        for i in np.flatnonzero(sizes > widest).tolist():
+            out[i] = self(words[i])
+        return out
+
+    def _matrix(self, words: list[bytes], sizes: np.ndarray, width: int) -> Iterator[list[int]]:
+        n, columns = len(words), np.arange(width)
+        parts = np.full((n, width + 1), -1, np.int64)
+        parts[:, :width][columns < sizes[:, None]] = np.array(self._byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = self._ranks_of(parts[:, :-1], parts[:, 1:])
+        done = np.full((n, width + 1), -1, np.int64)
+        row = np.arange(n)
+        while len(row):
+            i = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(row)), i]
+            over = least == self.NONE
+            if over.any():
+                done[row[over]] = parts[over]
+                row, parts, ranks, i, least = row[~over], parts[~over], ranks[~over], i[~over], least[~over]
+                if not len(row):
+                    break
+            each = np.arange(len(row))
+            parts[each, i] = self._made_array[least]
+            parts[:, :width] = np.take_along_axis(parts, columns + (columns > i[:, None]), axis=1)
+            parts[:, width] = -1
+            shifted = np.minimum(columns + (columns >= i[:, None]), width - 1)
+            ranks = np.take_along_axis(ranks, shifted, axis=1)
+            ranks[:, width - 1] = self.NONE
+            ranks[each, i] = self._ranks_of(parts[each, i], parts[each, i + 1])
+            left = np.flatnonzero(i > 0)
+            j = i[left] - 1
+            ranks[left, j] = self._ranks_of(parts[left, j], parts[left, j + 1])
+        counts = (done >= 0).sum(axis=1)
+        flat, ends = done[done >= 0].tolist(), np.cumsum(counts).tolist()
+        for a, b in zip([0, *ends[:-1]], ends):
+            yield flat[a:b]
 
     def __call__(self, word: bytes) -> list[int]:
         parts = [self._byte[b] for b in word]
-        pair = self._pair
         if len(parts) > 64:
             return self._long(parts)
-        while len(parts) > 1:
-            best = min((pair.get(p, (1 << 60, 0)) + (i,) for i, p in enumerate(zip(parts, parts[1:]))), default=None)
-            if best[0] == 1 << 60:
+        rank, made, none = self._rank.get, self._made, self.NONE
+        ranks = [rank(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
                 break
-            parts[best[2] : best[2] + 2] = [best[1]]
+            i = ranks.index(least)
+            parts[i : i + 2] = [made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] << 32 | parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] << 32 | parts[i + 1], none)
         return parts
 
     def _long(self, parts: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list, for very long words."""
-        n, pair = len(parts), self._pair
+        n, rank = len(parts), self._rank.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*pair[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in pair]
-        heap = [(r, i, new, a, b) for r, new, i, a, b in heap]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank(a << 32 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j] = new, -1
+            parts[i], parts[j] = self._made[r], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (parts[x], parts[y]) in pair:
-                    r, made = pair[parts[x], parts[y]]
-                    heapq.heappush(heap, (r, x, made, parts[x], parts[y]))
+                if x >= 0 and y >= 0 and (r := rank(parts[x] << 32 | parts[y])) is not None:
+                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [p for p in parts if p >= 0]
 
 
 class Codec:
     """Encodes batches of texts with a lexicon and decodes ids."""
 
-    #: Unseen words a worker remembers; beyond it the memory starts anew. Results do not depend on it.
-    MEMORY = 200_000
+    #: Pieces beyond the lexicon that a worker remembers; then the older half goes. Results do not depend on it.
+    MEMORY = 300_000
 
     def __init__(self, path: str, lexicon):
         self.merge = Merger(path)
@@ -195,7 +263,7 @@ class Codec:
         marks = self.merge.added
         self._marks = regex.compile("(" + "|".join(regex.escape(m) for m in marks) + ")") if marks else None
         self._lead = os.path.commonprefix(list(marks)) if marks else ""
-        self._unseen: dict[bytes, list[int]] = {}
+        self._unseen: dict[str, list[int]] = {}
         sizes = np.array([len(b) for b in self.merge.bytes_of], np.int64)
         self._byte_starts = np.concatenate([[0], np.cumsum(sizes)])
         self._byte_sizes = sizes
@@ -207,14 +275,18 @@ class Codec:
             return self._pattern.findall(piece)
         return [w for part in self._marks.split(piece) for w in ([part] if part in self.merge.added else self._pattern.findall(part))]
 
-    def _merged(self, word: bytes) -> list[int]:
-        ids = self._unseen.get(word)
-        if ids is None:
-            if len(self._unseen) >= self.MEMORY:
-                self._unseen = {}
-            mark = self.merge.added.get(word.decode("utf-8")) if word.startswith(self._lead.encode()) and self._lead else None
-            ids = self._unseen[word] = self.merge(word) if mark is None else [mark]
-        return ids
+    def _merged(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of pieces that are not in the lexicon."""
+        if len(self._unseen) > self.MEMORY:
+            self._unseen = dict(islice(self._unseen.items(), len(self._unseen) - self.MEMORY // 2, None))
+        known, added = self._unseen, self.merge.added
+        cut = {p: self.words(p) for p in pieces if p not in known}
+        words = list({w for ws in cut.values() for w in ws})
+        ids = dict(zip(words, self.merge.many([w.encode() for w in words])))
+        ids |= {mark: [i] for mark, i in added.items()}
+        for p, ws in cut.items():
+            known[p] = ids[ws[0]] if len(ws) == 1 else [t for w in ws for t in ids[w]]
+        return [known[p] for p in pieces]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the first id of each text."""
@@ -225,8 +297,7 @@ class Codec:
         raw = np.frombuffer(listed.buffers()[2], np.uint8) if len(listed) and listed.buffers()[2] is not None else np.zeros(0, np.uint8)
         rank = self.lexicon.find(raw, offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64))
         rest = np.flatnonzero(rank < 0)
-        cut = [[w.encode() for w in self.words(p)] for p in pieces.take(pa.array(rest)).to_pylist()]
-        ids = [[t for w in words for t in self._merged(w)] for words in cut]
+        ids = self._merged(pieces.take(pa.array(rest)).to_pylist())
         # the ids of all distinct pieces in one array: those of the lexicon, then those just merged
         begins = np.empty(len(rank), np.int64)
         sizes = np.empty(len(rank), np.int64)
@@ -236,19 +307,20 @@ class Codec:
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         sizes[rest] = n
         begins[rest] = len(self.lexicon.flat) + np.concatenate([[0], np.cumsum(n)])[:-1]
-        flat = np.concatenate([self.lexicon.flat, np.array([t for x in ids for t in x], np.int32)])
+        flat = np.concatenate([self.lexicon.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))])
         total = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(total)])
-        shift = np.repeat(begins[codes] - ends[:-1], total)
-        shift += np.arange(ends[-1])
+        # the places of 32 bits suffice for one batch
+        shift = np.repeat((begins[codes] - ends[:-1]).astype(np.int32), total)
+        shift += np.arange(ends[-1], dtype=np.int32)
         return flat[shift], ends[first]
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> Iterator[bytes]:
         """The text of each run of ids as UTF-8; what is not valid becomes U+FFFD."""
         sizes = self._byte_sizes[ids]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        shift = np.repeat(self._byte_starts[ids] - ends[:-1], sizes)
-        shift += np.arange(ends[-1])
+        shift = np.repeat((self._byte_starts[ids] - ends[:-1]).astype(np.int32), sizes)
+        shift += np.arange(ends[-1], dtype=np.int32)
         raw = self._bytes[shift].tobytes()
         at = ends[first].tolist()
         for a, b in zip(at[:-1], at[1:]):
@@ -275,11 +347,21 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return source.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """The words above the lowest count that no more than ``most`` words reach, so words of equal counts are
+    in or out together. Only one row per distinct count is ranked."""
+    per_count = counts.groupBy("n").agg(F.count("*").alias("words"))
+    upto = Window.partitionBy(F.lit(0)).orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    least = per_count.withColumn("_upto", F.sum("words").over(upto)).filter(F.col("_upto") <= most).agg(F.min("n")).first()[0]
+    return counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
+
+
 def fit_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, text: str = "text") -> bytes:
-    """The packed transducer of the most frequent words; ties go to the smaller word."""
-    top = word_counts(docs, text).orderBy(F.col("n").desc(), "word").limit(words).select("word").collect()
+    """The packed transducer of the most frequent words, at most ``words`` of them."""
+    counts = materialize(word_counts(docs, text), "word-counts")
+    top = frequent_words(counts, words).select("word").collect()
     merge = Merger(path)
-    listed = [r.word.encode() for r in top if r.word not in merge.added]
+    listed = sorted(r.word.encode() for r in top if r.word not in merge.added)
     return pack_lexicon(listed, [merge(w) for w in listed])
 
 

@@ -48,6 +48,14 @@ def test_codec_gives_the_ids_and_texts_of_the_library():
         assert back.decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_words_merged_together_are_merged_as_alone():
+    merge = Merger(BYTE)
+    rng = random.Random(4)
+    words = ["".join(rng.choices("aethinsrdo é'.", k=rng.randint(0, 45))).encode() for _ in range(3000)] + [b"a" * n for n in range(1, 80)]
+    assert merge.many(words) == [merge(w) for w in words]
+    assert [merge._long([merge._byte[b] for b in w]) for w in words] == [merge(w) for w in words]
+
+
 def test_automaton_is_minimal_and_ranks_words():
     rng = random.Random(1)
     words = sorted({"".join(rng.choices("ab", k=rng.randint(1, 7))).encode() + b"ing" for _ in range(200)})
