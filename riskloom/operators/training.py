@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.scan import TARGET_ROWS, Running, running
 from ..sources.schemas import MODEL_FEATURES
+from .features import model_columns
 
 KEYS = ["source_id", "txn_id"]
 
@@ -87,6 +88,23 @@ def score(model: PipelineModel, features: DataFrame, out: str = "fraud_score") -
     return scored.drop("features", "rawPrediction", "probability", "prediction")
 
 
+def scorer(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:
+    """The model as a scorer of ``decide``: adds ``fraud_score`` to transactions with features as of their time."""
+
+    def add(as_of: DataFrame) -> DataFrame:
+        zero = F.lit(0).cast("bigint")
+        filled = as_of.withColumn("_row", F.struct(*as_of.columns)).withColumns({c: F.coalesce(c, zero) for c in ("daily_amount", "daily_count")})
+        return score(model, filled.select("_row", *model_columns())).select("_row.*", "fraud_score")
+
+    return add
+
+
+def validation_scores(model: PipelineModel, split: DataFrame, name: str) -> DataFrame:
+    """(model, label, score) of the rows that the model was not trained on, for the metrics."""
+    held = split.filter("is_validation")
+    return score(model, held).select(F.lit(name).alias("model"), F.col("label").cast("int").alias("label"), F.col("fraud_score").alias("score"))
+
+
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
     values = model.stages[-1].featureImportances.toArray().tolist()
     return spark.createDataFrame(list(zip(MODEL_FEATURES, values)), "feature string, importance double")

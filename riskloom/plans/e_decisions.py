@@ -22,9 +22,9 @@ def scored(spark, sf):
     return tables.fixture_score(as_of(spark, sf))
 
 
-def decided(spark, sf, scorer=tables.fixture_score, **settings):
-    """Transactions with their decision."""
-    asked, evaluation = tables.requests(as_of(spark, sf))
+def decided(spark, sf, scorer=tables.fixture_score, asked=None, **settings):
+    """Transactions (all of them unless ``asked`` names some) with their decision."""
+    asked, evaluation = tables.requests(as_of(spark, sf) if asked is None else asked)
     return dec.decide(asked, KEY, scorer, **evaluation, **settings)
 
 

@@ -78,6 +78,21 @@ def profile_90d_approx(spark, sf):
     return shown(incremental(spark, sf, exact=False))
 
 
+@query("profile_90d_approx_check", f"WITH {PROFILE} SELECT count(*) AS customers, count(*) AS close FROM ({_PROFILE_90D})")
+def profile_90d_approx_check(spark, sf):
+    """Sketched distinct counts are within three standard errors (5 % each), or one, of the exact ones; all else is equal."""
+    exact, sketched = shown(incremental(spark, sf)), shown(incremental(spark, sf, exact=False))
+    distinct = [c for c in exact.columns if "counterparty" in c]
+    same = [c for c in exact.columns if c not in distinct and c != "customer_id"]
+    both = exact.alias("e").join(sketched.alias("s"), "customer_id", "full")
+    close = F.lit(True)
+    for c in same:
+        close = close & F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}"))
+    for c in distinct:
+        close = close & (F.abs(F.col(f"e.{c}") - F.col(f"s.{c}")) <= F.greatest(F.lit(1), F.col(f"e.{c}") * 0.15))
+    return both.agg(F.count("*").alias("customers"), F.count_if(close).alias("close"))
+
+
 @query("profile_90d_exact", f"WITH {PROFILE} SELECT * FROM exact")
 def profile_90d_exact(spark, sf):
     return shown(exact_profiles(spark, sf))

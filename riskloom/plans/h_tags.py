@@ -278,6 +278,14 @@ def tags_clusters(spark, sf):
     return tags.clusters(rfm(spark, sf), "customer_id", columns)
 
 
+@query("tags_clusters_check", f"WITH {FACT}, {RFM_SQL} SELECT count(*) AS members, count(*) AS customers, true AS named FROM rfm")
+def tags_clusters_check(spark, sf):
+    """Every customer is in one of four clusters."""
+    return tags_clusters(spark, sf).agg(
+        F.count("*").alias("members"), F.count_distinct("customer_id").alias("customers"), F.every(F.col("cluster").between(0, 3)).alias("named")
+    )
+
+
 @query(
     "tags_stale",
     f"""WITH {TXN}, {FEAT}, l AS (SELECT account_no, max(event_time) AS t FROM feat GROUP BY 1),

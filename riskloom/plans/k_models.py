@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import drift, evaluation, features, training
 from ..session import materialize
 from ..sources import tables
 from .c_features import MODEL_FEATURES_SQL, as_of
-from .e_decisions import records
+from .e_decisions import decided, records
 from .oracle import ASOF, CASE_LABEL, DECISIONS, FEAT, TXN
 from .registry import query
 
@@ -76,6 +78,63 @@ def tree_rules(spark, sf):
     return training.tree_lines(spark, model)
 
 
+@query("forest_importance_check", "SELECT CAST(6 AS BIGINT) AS features, 1.0::DOUBLE AS total, true AS all_valid")
+def forest_importance_check(spark, sf):
+    """Importances are shares of one, one per model feature."""
+    share = F.col("importance")
+    return forest_feature_importance(spark, sf).agg(
+        F.count("*").alias("features"), F.round(F.sum(share), 6).alias("total"), F.every(share.between(0, 1)).alias("all_valid")
+    )
+
+
+@query("tree_rules_check", "SELECT true AS has_branches, true AS names_features")
+def tree_rules_check(spark, sf):
+    lines = tree_rules(spark, sf)
+    named = "|".join(training.MODEL_FEATURES)
+    tests = F.col("rule").rlike(r"(If|Else) \(")
+    return lines.agg((F.count_if(tests) > 0).alias("has_branches"), F.every(~tests | F.col("rule").rlike(named)).alias("names_features"))
+
+
+@query("model_scores_check", f"WITH {TXN} SELECT count(*) AS transactions, count(*) AS in_range FROM txn")
+def model_scores_check(spark, sf):
+    """One score from 0 to 1 for every transaction."""
+    return model_scores(spark, sf).agg(F.count_distinct("event_id").alias("transactions"), F.count_if(F.col("fraud_score").between(0, 1)).alias("in_range"))
+
+
+@query(
+    "decisions_by_forest",
+    f"""WITH {DECISIONS} SELECT decision_id, rule_version, CASE model_version WHEN 'fraud-1' THEN 'forest-1' ELSE model_version END AS model_version,
+      coalesce(list_aggregate(list_filter(string_split(hit_rules, ','), lambda c: c NOT LIKE 'MODEL_%'), 'string_agg', ','), '') AS other_hits,
+      true AS score_valid, true AS model_hits_follow_score FROM decision""",
+)
+def decisions_by_forest(spark, sf):
+    """Decisions with the trained forest as their model: what does not come from the model is as before, and
+    its rules follow its score."""
+    out = decided(spark, sf, training.scorer(_forest(spark, sf)), model_version="forest-1")
+    score, hits = F.col("fraud_score"), F.col("hit_rules")
+    follows = (F.array_contains(hits, "MODEL_HIGH_RISK") == (score > 0.9)) & (F.array_contains(hits, "MODEL_MID_RISK") == ((score > 0.6) & (score <= 0.9)))
+    return out.select(
+        "decision_id", "rule_version", "model_version",
+        F.array_join(F.filter(hits, lambda c: ~c.startswith("MODEL_")), ",").alias("other_hits"),
+        score.between(0, 1).alias("score_valid"), follows.alias("model_hits_follow_score"),
+    )
+
+
+@query(
+    "forest_validation",
+    f"""WITH {_SET}, s AS (SELECT label, count(*) // 5 AS n FROM tset GROUP BY 1)
+      SELECT 'forest-1' AS model, CAST(sum(n) AS BIGINT) AS validation_rows, true AS metrics_finite FROM s""",
+)
+def forest_validation(spark, sf):
+    """Train, score the held-out rows, report: their number, and that every metric is a number from 0 to 1."""
+    rows = trained(spark, sf)
+    scores = training.validation_scores(training.train_forest(rows.filter(~F.col("is_validation"))), rows, "forest-1")
+    report = evaluation.report(scores)
+    metrics = [F.coalesce(F.col(c).between(0, 1), F.lit(False)) for c in ("auc", "ks", "recall_at_fpr", "precision", "recall")]
+    good = reduce(lambda a, b: a & b, metrics)
+    return report.select("model", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("validation_rows"), good.alias("metrics_finite"))
+
+
 _SCORES = f"""{DECISIONS}, {CASE_LABEL}, ev AS (
   SELECT 'fraud-1' AS model, CASE WHEN label = 'FRAUD' THEN 1 ELSE 0 END AS label, fraud_score AS score FROM decision JOIN case_label USING (source_id, txn_id)
   UNION ALL
@@ -98,10 +157,13 @@ def scored(spark, sf):
     """Labelled scores of the decision model and of a plain amount score."""
     labels = tables.case_labels(spark, sf).select("source_id", "txn_id", (F.col("label") == "FRAUD").cast("int").alias("label"))
     keys = ["source_id", "txn_id"]
-    decided = records(spark, sf).join(labels, keys).select(F.lit("fraud-1").alias("model"), "label", F.col("fraud_score").alias("score"))
+    # only labelled transactions are scored and decided; their features still come from all events
+    asked = as_of(spark, sf).join(labels.select(*keys), keys, "left_semi")
+    scores = decided(spark, sf, asked=asked).join(labels, keys)
+    scores = scores.select(F.lit("fraud-1").alias("model"), "label", F.col("fraud_score").alias("score"))
     plain = F.least(F.col("amount_minor") / 40_000_000.0, F.lit(1.0))
     amounts = tables.transactions(spark, sf).join(labels, keys).select(F.lit("amount").alias("model"), "label", plain.alias("score"))
-    return decided.unionByName(amounts)
+    return scores.unionByName(amounts)
 
 
 def _rounded(df, *columns):

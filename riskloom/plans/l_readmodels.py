@@ -182,6 +182,14 @@ def score_quantiles_approx(spark, sf):
     return views.approx_quantiles(records(spark, sf), "fraud_score", (0.5, 0.95))
 
 
+@query("score_quantiles_approx_check", "SELECT true AS p50_close, true AS p95_close")
+def score_quantiles_approx_check(spark, sf):
+    """The sketch is within a hundredth of the exact quantiles."""
+    rows, p = stored(spark, sf), (0.5, 0.95)
+    both = views.quantiles(rows, "fraud_score", p).unionByName(views.approx_quantiles(rows, "fraud_score", p))
+    return both.agg(*[(F.max(c) - F.min(c) <= 0.01).alias(f"{c}_close") for c in ("p50", "p95")])
+
+
 @query(
     "decision_replay",
     f"""WITH {DECISIONS}, r AS (SELECT *, sha256(sha256(decision_id || '|decision.v1') || '|' || '{NOW}') AS event_id FROM decision WHERE risk_level = 'REJECT')

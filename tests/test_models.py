@@ -120,3 +120,23 @@ def test_search_clamps_page_and_size(spark):
     rows = readmodels.search_decisions(df, page=-3, size=500).collect()
     assert len(rows) == 100 and rows[0].decision_id == "d149" and rows[0].total == 150
     assert readmodels.search_decisions(df, level="LOW", txn_id="t1").count() == 0
+
+
+def test_trained_model_decides_and_is_validated(spark):
+    from riskloom.operators import decisions as dec
+
+    split = training.prepared(training_rows(spark))
+    model = training.train_forest(split.filter("NOT is_validation"), trees=5, depth=3)
+    report = evaluation.report(training.validation_scores(model, split, "forest")).first()
+    assert report.tp + report.fp + report.tn + report.fn == split.filter("is_validation").count()
+    asked = spark.createDataFrame(
+        [("MOBILE_TRANSFER", "t1", "a", 100, None, None, "d", None, None, None, None)],
+        "source_id string, txn_id string, account_no string, amount_minor bigint, counterparty string, channel string, device_id string, "
+        "daily_amount bigint, daily_count bigint, txn_count bigint, device_new boolean",
+    ).selectExpr(
+        "*", "timestamp'2026-07-22 10:00:00' AS event_time", "false AS blacklist", "false AS device_blacklist", "true AS features_available", "'TRANSFER' AS biz_type",
+        "CAST(null AS bigint) AS known_device_count", "CAST(null AS bigint) AS unique_counterparty_count", "CAST(null AS date) AS daily_stat_date",
+        "CAST(null AS timestamp) AS feature_event_time",
+    )
+    row = dec.decide(asked, "k", training.scorer(model), model_version="forest").first()
+    assert 0 <= row.fraud_score <= 1 and row.model_version == "forest" and row.daily_amount is None
