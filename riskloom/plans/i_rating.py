@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rating
+from ..session import materialize
 from ..sources import tables
 from .g_profile import PROFILE, exact_profiles
 from .h_tags import RFM_SQL, rfm
 from .registry import query
 
 
-def wide(spark, sf):
-    return rating.feature_wide(exact_profiles(spark, sf), rfm(spark, sf))
+def wide(spark, sf, profiles=None):
+    return rating.feature_wide(exact_profiles(spark, sf) if profiles is None else profiles, rfm(spark, sf))
 
 
-def tags(spark, sf):
+def tags(spark, sf, profiles=None):
+    profiles = exact_profiles(spark, sf) if profiles is None else profiles
     customer = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("cust_id"), F.col("c_acctbal").alias("avg_balance"), "c_mktsegment")
-    night = exact_profiles(spark, sf).select(F.col("customer_id").alias("cust_id"), "night_ratio")
+    night = profiles.select(F.col("customer_id").alias("cust_id"), "night_ratio")
     return customer.join(night, "cust_id", "left")
 
 
 def rated_input(spark, sf):
     """Wide table joined with tags; the rating reads money in major units."""
-    joined = rating.rating_input(wide(spark, sf), tags(spark, sf))
+    profiles = materialize(exact_profiles(spark, sf), "profiles")  # both sides read it
+    joined = rating.rating_input(wide(spark, sf, profiles), tags(spark, sf, profiles))
     return joined.withColumn("amount_90d", F.col("txn_amt_90d") / 100.0).withColumnRenamed("counterparty_cnt", "counterparty")
 
 

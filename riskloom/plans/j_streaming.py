@@ -6,11 +6,13 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ..operators.features import parity_check
 from ..session import shared_path
 from ..sources import tables
 from ..sources.contracts import parse_transactions
 from ..sources.sinks import read_latest
 from ..streaming import features, patterns, runtime, sinks, windows
+from .c_features import snapshot
 from .d_patterns import FAILURES, LARGE, PROBE, PROBES, SIGNALS
 from .e_decisions import records
 from .oracle import DECISIONS, FEAT, TXN
@@ -31,6 +33,21 @@ def stream_features(spark, sf):
     return runtime.run_fresh(out, "features").select("account_no", "event_id", *_COLUMNS)
 
 
+_PARITY = ["daily_stat_date", *_COLUMNS]
+
+
+@query(
+    "feature_parity_stream",
+    f"WITH {TXN} SELECT count(*) AS events, CAST(0 AS BIGINT) AS one_sided, {', '.join(f'CAST(0 AS BIGINT) AS mismatch_{c}' for c in _PARITY)} FROM txn",
+)
+def feature_parity_stream(spark, sf):
+    """All eight features, batch against stream."""
+    out = features.stream_features(txn_stream(spark, sf), window=timedelta(hours=24), ttl_days=None)
+    streamed = runtime.run_fresh(out, "features").select("event_id", *_PARITY)
+    batch = snapshot(spark, sf).withColumn("feature_event_us", F.unix_micros("feature_event_time")).select("event_id", *_PARITY)
+    return parity_check(batch, streamed)
+
+
 @query(
     "stream_feature_sink",
     f"""WITH {TXN}, {FEAT}, r AS (SELECT *, row_number() OVER (PARTITION BY account_no ORDER BY event_time DESC) AS rn FROM feat)
