@@ -7,8 +7,8 @@ far below the limit are dropped. The others are confirmed on their full sets.
 
 Copies (equal sets) are one node. Candidates of a bucket are not all paired: first every node meets the
 bucket's smallest node, which joins groups of near copies; then, in buckets that still hold several
-groups, the nodes outside the largest group meet all others, a block against a block, and only pairs
-that pass the estimate are written. Two linked texts share a bucket with probability
+groups, the nodes outside the largest group meet all others, a block against a block. Of these only everyone's
+likeliest pair is written, for as long as this joins groups, and then all that pass the estimate, each pair once. Two linked texts share a bucket with probability
 1 - (1 - s**5)**40, which is 0.99998 at a similarity s of 0.75 and rises from there.
 """
 
@@ -178,13 +178,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _meet(limit: float):
-    """Pairs of a block of outside nodes and a block of the bucket that may be links."""
+def _meet(limit: float, best: bool):
+    """Pairs of a block of outside nodes and a block of the bucket that may be links.
+
+    ``best`` gives each outside node's likeliest pair only; else all pairs, each in the first bucket that both nodes share.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
+        bucket = rows["bucket"][0].as_py()
         side = rows["outside"].to_numpy(zero_copy_only=False).astype(bool)
         node, comp, n = (rows[c].to_numpy() for c in ("node", "comp", "n"))
         sig = rows["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS, _LONGS)
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        earlier = bands[:, : int(np.flatnonzero(bands[0] == bucket)[0])]
         left, right = np.flatnonzero(side), np.flatnonzero(~side)
         found = []
         chance = 2.0**-BITS
@@ -195,7 +201,12 @@ def _meet(limit: float):
             differ = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
             similar = (1 - differ / K - chance) / (1 - chance)
             least, most = np.minimum(n[right], n[i]), np.maximum(n[right], n[i])
-            hit = right[(similar >= limit - MARGIN) & (comp[right] != comp[i]) & (least >= limit * most)]
+            may = np.flatnonzero((similar >= limit - MARGIN) & (comp[right] != comp[i]) & (least >= limit * most))
+            if best and len(may):
+                may = may[[np.argmax(similar[may])]]
+            hit = right[may]
+            if not best:
+                hit = hit[~(earlier[hit] == earlier[i]).any(axis=1)]
             found.append(np.stack([np.full(len(hit), node[i]), node[hit]], axis=1))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs.min(axis=1) if len(pairs) else pairs[:, 0]), "b": pa.array(pairs.max(axis=1) if len(pairs) else pairs[:, 1])})
@@ -203,6 +214,27 @@ def _meet(limit: float):
     return run
 
 
+def _outside_pairs(buckets: DataFrame, labels: DataFrame, small: DataFrame, limit: float, best: bool) -> DataFrame:
+    """Candidates among the buckets that still hold several groups: the nodes outside a bucket's largest group
+    against all its nodes, a block against a block."""
+    in_group = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("comp"))
+    open_ = in_group.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
+    mixed = materialize(in_group.join(open_, "bucket"), "near-open")
+    groups = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    largest = groups.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    mixed = mixed.join(largest, "bucket").join(small, "node")
+    outer, inner = F.ceil((F.col("all") - F.col("most")) / BLOCK), F.ceil(F.col("all") / (8 * BLOCK))
+    spot, zero = F.xxhash64("node"), F.lit(0).cast("long")
+    columns = ["node", "comp", "n", "sig", "bands"]
+    outside = mixed.filter("comp != main").select(
+        "bucket", F.pmod(spot, outer).alias("o"), F.explode(F.sequence(zero, inner - 1)).alias("i"), F.lit(True).alias("outside"), *columns
+    )
+    others = mixed.select(
+        "bucket", F.explode(F.sequence(zero, outer - 1)).alias("o"), F.pmod(spot, inner).alias("i"), F.lit(False).alias("outside"), *columns
+    )
+    return outside.unionByName(others).groupBy("bucket", "o", "i").applyInArrow(_meet(limit, best), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
     """One row per input row: doc_id, th (hash of the text), n_shingles, component_id, kept.
 
@@ -225,20 +257,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> D
 
     # buckets with several nodes
     keys = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("size"))
-    shared = shared.filter("pivot != last").select("bucket", "pivot", "size")
+    shared = keys.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
+    shared = shared.filter("pivot != last").select("bucket", "pivot")
     buckets = materialize(keys.join(shared, "bucket"), "near-buckets")
     release(spark)
 
     involved = buckets.select("node").distinct()
-    known = materialize(nodes.join(involved, "node", "left_semi").select("node", "doc_id", "th", "n", "sig"), "near-candidates")
+    known = materialize(nodes.join(involved, "node", "left_semi").select("node", "doc_id", "th", "n", "sig", "bands"), "near-candidates")
     found = source.join(
         known.select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th")),
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")),
     ).select("node", "text")
     sets = materialize(found.sortWithinPartitions("node").mapInArrow(_sets(WIDTH), "node long, set array<long>"), "near-sets")
     release(spark)
-    small = known.select("node", "n", "sig")
+    small = known.select("node", "n", "sig", "bands")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
@@ -262,24 +294,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> D
     links = confirmed(stars.groupBy("a").agg(F.max_by("b", F.struct("similar", "b")).alias("b")))
     labels = components(links)
 
-    # buckets that still hold several groups: who is outside the largest group meets all others
-    in_group = buckets.join(labels, "node", "left").select("bucket", "size", "node", F.coalesce("label", "node").alias("comp"))
-    open_ = in_group.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
-    mixed = materialize(in_group.join(open_, "bucket"), "near-open")
-    groups = mixed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    largest = groups.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
-    mixed = mixed.join(largest, "bucket").join(small, "node")
-    outer, inner = F.ceil((F.col("all") - F.col("most")) / BLOCK), F.ceil(F.col("all") / (8 * BLOCK))
-    spot = F.xxhash64("node")
-    outside = mixed.filter("comp != main").select(
-        "bucket", F.pmod(spot, outer).alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), inner - 1)).alias("i"), F.lit(True).alias("outside"), "node", "comp", "n", "sig"
-    )
-    others = mixed.select(
-        "bucket", F.explode(F.sequence(F.lit(0).cast("long"), outer - 1)).alias("o"), F.pmod(spot, inner).alias("i"), F.lit(False).alias("outside"), "node", "comp", "n", "sig"
-    )
-    pairs = outside.unionByName(others).groupBy("bucket", "o", "i").applyInArrow(_meet(limit), "a long, b long").distinct()
-    more = confirmed(pairs)
-    labels = components(links.unionByName(more))
+    # then who is outside a bucket's largest group meets the others: first everyone's likeliest pair, for as
+    # long as that joins groups, and in the end all pairs between the groups that are left
+    while True:
+        more = confirmed(_outside_pairs(buckets, labels, small, limit, best=True))
+        if more.isEmpty():
+            break
+        links = materialize(links.unionByName(more), "near-links")
+        labels = components(links)
+    more = confirmed(_outside_pairs(buckets, labels, small, limit, best=False))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     # back to all rows
     named = of_set.join(labels, "node", "left").select("id1", "id2", F.coalesce("label", "node").alias("comp"))
