@@ -44,13 +44,15 @@ def build_shard(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, planes:
     end = 0
     current = ids
     for plane in range(planes - 1, -1, -1):
-        bits = (current >> np.uint16(plane)) & np.uint16(1) > 0
+        bits = (current & np.uint16(1 << plane)) != 0
         ones = current[bits]
-        raw = np.packbits(bits).tobytes()
+        packed = np.packbits(bits)
+        raw = packed.tobytes()
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
         ends, before = [], np.zeros(len(blocks), "<i8")
-        counts = np.add.reduceat(bits, np.arange(0, n, BLOCK * 8), dtype=np.int64) if n else np.zeros(0, np.int64)
-        before[1:] = np.cumsum(counts)[:-1]
+        if n:
+            counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK), dtype=np.int64)
+            before[1:] = np.cumsum(counts)[:-1]
         for b in blocks:
             small = pack(b)
             body.append(b"z" + small if len(small) < len(b) else b"r" + b)

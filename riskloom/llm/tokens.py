@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import tiktoken
@@ -107,11 +108,11 @@ class PieceEncoder:
         """The ids of all texts in a row (16 bits each), and the first id of each text."""
         pieces, codes, first = cut_pieces(texts)
         codes = self.lookup(pieces.to_pylist())[codes]
-        begins = self._first[codes]
-        sizes = self._first[codes + 1] - begins
+        sizes = np.diff(self._first)[codes]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        shift = np.repeat(begins - ends[:-1], sizes)
-        shift += np.arange(ends[-1])
+        # the places of 32 bits suffice for one batch
+        shift = np.repeat((self._first[codes] - ends[:-1]).astype(np.int32), sizes)
+        shift += np.arange(ends[-1], dtype=np.int32)
         return self._ids[shift], ends[first]
 
 
@@ -179,12 +180,13 @@ class WordBpe:
     def encode(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(pieces)
         odd, cut = [], []
-        for i, p in enumerate(pieces):
-            word = p.strip(" \n")
-            if word.isascii() and word.isalpha():
-                cut.append((i, (word.lower(),)))
+        words = pc.ascii_lower(pc.ascii_trim(pa.array(pieces), " \n"))
+        plain = pc.ascii_is_alpha(words).to_pylist()
+        for i, (word, alone) in enumerate(zip(words.to_pylist(), plain)):
+            if alone:
+                cut.append((i, (word,)))
             elif word.isascii() and "<|" not in word and word.isprintable():
-                cut.append((i, self._pattern.findall(word.lower())))
+                cut.append((i, self._pattern.findall(word)))
             else:  # other letters, control characters and the marks are left to the file's own rules
                 odd.append(i)
         new = list({w for _, words in cut for w in words if w not in self._seen})

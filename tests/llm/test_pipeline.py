@@ -37,14 +37,22 @@ def check_pieces(rows, got, capacity):
             assert offset == at
             at += length
         assert at <= capacity
-    return len(sequences), math.ceil(sum(w[3] for w in want) / capacity)
+    room: list[int] = []  # first-fit decreasing, the plain way
+    for length in sorted((w[3] for w in want), reverse=True):
+        spot = next((i for i, r in enumerate(room) if r >= length), None)
+        if spot is None:
+            room.append(capacity - length)
+        else:
+            room[spot] -= length
+    return len(sequences), len(room)
 
 
 def test_packing_places_every_piece(spark):
     for rows in (ODD, corpus(6, 80)):
-        got = pack_documents(frame(spark, rows), PATH, capacity=256, cell=20).collect()
-        used, least = check_pieces([(d, t) for d, t, _ in rows], got, 256)
-        assert used <= least + 2
+        for cell, slack in ((2000, 1.0), (20, 1.1)):  # all pieces in one cell; many small cells and rounds
+            got = pack_documents(frame(spark, rows), PATH, capacity=256, cell=cell).collect()
+            used, plain = check_pieces([(d, t) for d, t, _ in rows], got, 256)
+            assert used <= plain * slack
     assert pack_documents(frame(spark, []), PATH).count() == 0
 
 
