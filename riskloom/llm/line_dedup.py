@@ -92,7 +92,8 @@ def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = docs.drop("removed_lines").withColumn("_hash", F.xxhash64(body))
     joined = keyed.join(
-        removed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("removed_lines")),
+        # always a sort-merge join, so that the plan is the same at every size
+        removed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("removed_lines")).hint("merge"),
         F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")),
         "left",
     ).drop("_id", "_th", "_hash")
