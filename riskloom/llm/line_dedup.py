@@ -7,6 +7,10 @@ is missed. Fingerprints that occur at several places are joined back to their po
 are extended both ways: every run of ``RUN`` lines around such a position is looked up, and overlapping
 runs that began earlier elsewhere form one maximal repeat. All lines of a later repeat are deleted.
 
+Lines can be whole paragraphs, so a long passage may have fewer than ``RUN`` lines. With ``words`` given, fewer
+lines are a run as well if they have that many words together or are all lines of their document; each of these
+runs is its own fingerprint.
+
 "Earlier" is the order of (doc_id, place in the document). A run that overlaps its own first occurrence in
 the same document loses only the lines beyond it.
 """
@@ -21,6 +25,8 @@ from .common import materialize, release
 GRAM = 2
 WINDOW = 2
 RUN = GRAM + WINDOW - 1
+#: Words that make fewer than ``RUN`` lines a passage.
+PASSAGE = 50
 WORD = r"[^\x20\x09-\x0D]"
 _EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
@@ -30,13 +36,20 @@ def _count_of(n: Column, width: int) -> Column:
     return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
-def line_profile(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per distinct (doc_id, text): its line hashes and where the lines stand among all lines."""
+def line_profile(docs: DataFrame, text: str = "text", counted: bool = False) -> DataFrame:
+    """One row per distinct (doc_id, text): its line hashes and where the lines stand among all lines.
+
+    If ``counted``, also the lines' numbers of words.
+    """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), F.split(body, "\n", -1).alias("_all"))
-    placed = F.transform("_all", lambda x, i: F.struct(F.xxhash64(F.regexp_replace(x, _EDGES, "")).alias("h"), i.alias("at"), x.rlike(WORD).alias("word")))
-    rows = rows.select("doc_id", "th", F.filter(placed, lambda x: x["word"]).alias("_lines"))
-    return rows.select("doc_id", "th", F.transform("_lines", lambda x: x["h"]).alias("h"), F.transform("_lines", lambda x: x["at"]).alias("at"))
+
+    def place(x: Column, i: Column) -> Column:
+        words = F.regexp_count(x, F.lit(WORD + "+")) if counted else x.rlike(WORD).cast("int")
+        return F.struct(F.xxhash64(F.regexp_replace(x, _EDGES, "")).alias("h"), i.alias("at"), words.alias("words"))
+
+    rows = rows.select("doc_id", "th", F.filter(F.transform("_all", place), lambda x: x["words"] > 0).alias("_lines"))
+    return rows.select("doc_id", "th", *[F.col(f"_lines.{c}").alias(c) for c in ("h", "at", *(["words"] if counted else []))])
 
 
 def fingerprints(profiles: DataFrame) -> DataFrame:
@@ -52,7 +65,43 @@ def fingerprints(profiles: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", F.explode(chosen).alias("f")).select("doc_id", "th", (-F.col("f.pos")).alias("pos"), F.col("f.fp").alias("fp"))
 
 
-def repeated_lines(profiles: DataFrame) -> DataFrame:
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"), F.col("pos"))
+
+
+def _gone(runs: DataFrame, by: list[str], width: Column) -> DataFrame:
+    """Lines of the runs that began earlier elsewhere: doc_id, th, line."""
+    place = _place()
+    first = runs.groupBy(*by).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = runs.join(first, by).filter(place != F.col("first"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    skip = F.when(own, F.greatest(F.lit(0), F.col("first.pos") + width - F.col("pos"))).otherwise(F.lit(0))
+    return later.select("doc_id", "th", F.explode(F.slice("at", skip + 1, width)).alias("line"))
+
+
+def short_runs(profiles: DataFrame, words: int) -> DataFrame:
+    """Runs of fewer than ``RUN`` lines: doc_id, th, pos, width, at, fp.
+
+    They are the lines and groups of lines of ``words`` words, and all lines of documents that have no more;
+    the latter meet only each other unless they have the words.
+    """
+    lines = F.size("h")
+
+    def of(width: int) -> Column:
+        def run(i: Column) -> Column:
+            long = sum((F.get("words", i + k) for k in range(1, width)), F.get("words", i)) >= words
+            fp = F.xxhash64(F.lit(width), long, *[F.get("h", i + k) for k in range(width)])
+            return F.struct(
+                i.alias("pos"), F.lit(width).alias("width"), F.slice("at", i + 1, width).alias("at"), fp.alias("fp"), (long | (lines == width)).alias("run")
+            )
+
+        return F.filter(F.transform(_count_of(lines, width), run), lambda r: r["run"])
+
+    found = profiles.select("doc_id", "th", F.explode(F.concat(*[of(w) for w in range(1, RUN)])).alias("r"))
+    return found.select("doc_id", "th", "r.pos", "r.width", "r.at", "r.fp")
+
+
+def repeated_lines(profiles: DataFrame, words: int | None = None) -> DataFrame:
     """Lines of later repeats, per document: doc_id, th, removed (places among all lines, ascending)."""
     prints = fingerprints(profiles)
     # a fingerprint found at one place only has no match
@@ -68,26 +117,23 @@ def repeated_lines(profiles: DataFrame) -> DataFrame:
         runs.select("doc_id", "th", "pos", F.slice("at", F.col("pos") + 1, RUN).alias("at"), *[F.get("h", F.col("pos") + k).alias(f"h{k}") for k in range(RUN)]),
         "line-runs",
     )
-    lines = [f"h{k}" for k in range(RUN)]
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"), F.col("pos"))
-    first = runs.groupBy(*lines).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = runs.join(first, lines).filter(place != F.col("first"))
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    skip = F.when(own, F.greatest(F.lit(0), F.col("first.pos") + RUN - F.col("pos"))).otherwise(F.lit(0))
-    gone = later.select("doc_id", "th", F.explode(F.slice("at", skip + 1, F.lit(RUN))).alias("line"))
+    gone = _gone(runs, [f"h{k}" for k in range(RUN)], F.lit(RUN))
+    if words is not None:
+        gone = gone.unionByName(_gone(materialize(short_runs(profiles, words), "line-short"), ["fp", "width"], F.col("width")))
     return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", words: int | None = None) -> DataFrame:
     """The input rows without the lines of later repeats, and with ``removed_lines`` (places, from 0).
 
-    A repeat is a run of at least ``RUN`` lines that began earlier in the order of (doc_id, place); null
+    A repeat is a run of at least ``RUN`` lines that began earlier in the order of (doc_id, place); with ``words``,
+    also a run of fewer lines that has so many words, and all lines of a document if another of these lines alone was earlier. Null
     ids come last, different texts of one id in the order of their hashes. Rows that repeat id and text are one document and get the
     same result. Lines without a word are never deleted and do not break a run. Null texts stay null;
     an empty table gives no rows. Input columns named ``removed_lines`` are replaced.
     """
-    profiles = materialize(line_profile(docs, text).dropDuplicates(["doc_id", "th"]), "line-profiles")
-    removed = materialize(repeated_lines(profiles), "line-removed")
+    profiles = materialize(line_profile(docs, text, words is not None).dropDuplicates(["doc_id", "th"]), "line-profiles")
+    removed = materialize(repeated_lines(profiles, words), "line-removed")
     release(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = docs.drop("removed_lines").withColumn("_hash", F.xxhash64(body))
@@ -115,10 +161,10 @@ def line_digest(deduped: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def drop_repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, text: str = "text", words: int | None = None) -> DataFrame:
     """The documents without the lines of later repeats, columns as in the input.
 
     Documents of which nothing is left, though they had text, are repeats as a whole and go.
     """
-    deduped = line_dedup(docs, text)
+    deduped = line_dedup(docs, text, words)
     return deduped.filter((F.size("removed_lines") == 0) | F.col(text).rlike(WORD)).select(*docs.columns)

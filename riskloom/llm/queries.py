@@ -11,7 +11,7 @@ from .bpe_codec import bpe_codec
 from .common import prepare, table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
-from .line_dedup import RUN, line_dedup, line_digest
+from .line_dedup import PASSAGE, RUN, line_dedup, line_digest
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality_rules import MAX_SHARE, MIN_DOCS, MIN_LEFT, quality_rules
@@ -180,6 +180,39 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(line_dedup(table(spark, sf_dir, "documents")))
 
 
+def _long_lines_sql() -> str:
+    """Runs of every width up to ``RUN``: shorter ones need ``PASSAGE`` words, or to be all lines of their document."""
+    runs = " UNION ALL ".join(
+        f"""SELECT doc_id, pos, {k} AS width, list(norm) OVER o AS run, list(ln) OVER o AS lns, sum(words) OVER o >= {PASSAGE} AS long, total FROM w
+            WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)"""
+        for k in range(1, RUN + 1)
+    )
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln, unnest(string_split(text, chr(10))) AS line FROM d),
+    w AS (SELECT doc_id, ln, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS total,
+          regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS norm,
+          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+          FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    r AS (SELECT doc_id, pos, width, run, lns, width = {RUN} OR long AS long FROM ({runs})
+          WHERE len(run) = width AND (width = {RUN} OR long OR total = width)),
+    f AS (SELECT run, long, min(struct_pack(d := doc_id, p := pos)) AS head FROM r GROUP BY run, long),
+    g AS (SELECT r.doc_id, unnest(r.lns) AS ln, unnest(range(pos, pos + width)) AS line_pos, width, head
+          FROM r JOIN f ON r.run = f.run AND r.long = f.long WHERE doc_id <> head.d OR pos <> head.p),
+    gone AS (SELECT DISTINCT doc_id, ln FROM g WHERE doc_id <> head.d OR line_pos >= head.p + width),
+    k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY ln) AS text FROM l ANTI JOIN gone USING (doc_id, ln) GROUP BY l.doc_id),
+    c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(c.n, 0) AS n_removed, regexp_matches(coalesce(k.text, ''), '[^\x20\x09-\x0D]') AS kept,
+           sha256(coalesce(k.text, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+    """
+
+
+@_query("op10_line_dedup_long", _long_lines_sql())
+def op10_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(line_dedup(table(spark, sf_dir, "documents"), words=PASSAGE))
+
+
 @_query(
     "op1_substring_dedup",
     """

@@ -12,7 +12,7 @@ import pytest
 from riskloom.llm import minhash
 from riskloom.llm.exact_dedup import exact_dedup
 from riskloom.llm.html_text import extract_text, main_text
-from riskloom.llm.line_dedup import RUN, drop_repeated_lines, line_dedup, line_digest
+from riskloom.llm.line_dedup import PASSAGE, RUN, drop_repeated_lines, line_dedup, line_digest
 from riskloom.llm.minhash import drop_near_duplicates, near_duplicates
 from riskloom.llm.quality_rules import quality_filter, quality_rules
 from riskloom.llm.secret_scan import BASE_RULES, redact, secret_scan, span_digest, trigrams
@@ -245,6 +245,62 @@ def test_line_dedup(spark, rows):
     )
 
 
+def brute_long_lines(rows, long):
+    """As ``brute_lines``, and shorter runs if they have ``long`` words or are a whole document."""
+    docs = sorted({(r[0], r[1] or "") for r in rows}, key=lambda d: rank(d[0]))
+    first, runs = {}, []
+    for doc_id, text in docs:
+        real = [(i, x.strip("\x20\t\n\x0b\x0c\r")) for i, x in enumerate(text.split("\n")) if words_of(x)]
+        for width in range(1, RUN + 1):
+            for p in range(len(real) - width + 1):
+                part = real[p : p + width]
+                enough = width == RUN or len(words_of(" ".join(x for _, x in part))) >= long
+                if enough or len(real) == width:
+                    k = (enough, *(x for _, x in part))
+                    first.setdefault(k, (doc_id, text, p))
+                    runs.append((k, doc_id, text, p, [i for i, _ in part]))
+    gone = defaultdict(set)
+    for k, doc_id, text, p, places in runs:
+        d, t, q = first[k]
+        if (d, t, q) != (doc_id, text, p):
+            gone[doc_id, text] |= set(places[max(0, q + len(places) - p) if (d, t) == (doc_id, text) else 0 :])
+    return {d: "\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in gone[d]) for d in docs}, gone
+
+
+_P = ["a" + " word" * 49, "b" + " word" * 29, "c" + "  word" * 19, "d" + " word" * 19]
+LONG_LINES = [
+    (1, f"x\n{_P[0]}\ny", "x"),
+    (2, f"one\n\n {_P[0]}\t\ntwo\nthree", "x"),  # a lone line of 50 words
+    (3, f"{_P[1]}\n{_P[2]}", "x"),
+    (4, f"four\n{_P[1]}\n\n{_P[2]}\nfive", "x"),  # two lines of 50 words together
+    (5, f"six\n{_P[2]}\n{_P[3]}\nseven", "x"),
+    (6, f"{_P[2]}\n{_P[3]}", "x"),  # 40 words, inside another document only
+    (7, "short\ncopy", "x"),
+    (8, "short\ncopy", "x"),
+    (9, "short", "x"),
+    (10, " short ", "x"),
+    (10, " short ", "x"),
+    (11, f"{_P[0]}\n{_P[0]}\n{_P[0]}", "x"),
+    (12, f"e{_P[0]}\ne{_P[0]}\ne{_P[0]}\ne{_P[0]}", "x"),
+    (13, None, "x"),
+    (None, "short\ncopy", None),
+    (14, "", "x"),
+]
+
+
+@pytest.mark.parametrize("rows", [LONG_LINES, LINES, ODD, corpus(4), []])
+def test_line_dedup_of_long_lines_and_short_documents(spark, rows):
+    kept_of, gone = brute_long_lines(rows, PASSAGE)
+    got = line_dedup(frame(spark, rows), words=PASSAGE).select("doc_id", "text", "removed_lines").collect()
+    assert key(got) == key((d, None if t is None else kept_of[d, t], sorted(gone[d, t or ""])) for d, t, _ in rows)
+    left = drop_repeated_lines(frame(spark, rows), words=PASSAGE).select("doc_id", "text").collect()
+    assert key(left) == key((d, None if t is None else kept_of[d, t]) for d, t, _ in rows if not gone[d, t or ""] or words_of(kept_of[d, t or ""]))
+    if rows is LONG_LINES:
+        text = {r.doc_id: r.text for r in got}
+        assert text[2] == "one\n\ntwo\nthree" and text[4] == "four\n\nfive" and text[6] == f"{_P[2]}\n{_P[3]}"
+        assert not text[8] and not text[10] and not text[11] and text[9] == "short"
+
+
 def brute_base(text):
     w = words_of(text)
     n = len(w)
