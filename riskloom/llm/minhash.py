@@ -1,7 +1,7 @@
 """Near duplicates by b-bit MinHash.
 
 Every document's set of word shingles gets ``K`` minima. Bands of ``ROWS`` minima name the buckets in
-which candidates meet; of each minimum only the low ``BITS`` bits are kept, packed as bit planes. Counting
+which candidates meet; of each minimum only ``BITS`` mixed bits are kept, packed as bit planes. Counting
 equal positions and correcting for chance collisions estimates the similarity of a candidate pair, and pairs
 far below the limit are dropped. The others are confirmed on their full sets.
 
@@ -79,10 +79,13 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     minima = np.empty((len(starts), K), np.uint32)
     for k in range(K):
         minima[:, k] = np.minimum.reduceat(x * _MULTIPLY[k] + _ADD[k], starts)
+    # an odd multiple keeps in its low bits which values agree there, at every position alike; mixed bits agree by chance
+    mixed = (minima ^ (minima >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    mixed ^= mixed >> np.uint32(15)
     planes = []
     for b in range(BITS):
         bits = np.zeros((len(starts), _LONGS * 64), np.uint8)
-        bits[:, :K] = (minima >> np.uint32(b)) & np.uint32(1)
+        bits[:, :K] = (mixed >> np.uint32(b)) & np.uint32(1)
         planes.append(np.packbits(bits, axis=1).view(np.int64))
     rows = minima.reshape(len(starts), BANDS, ROWS).astype(np.uint64)
     keys = mix((rows * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))

@@ -184,6 +184,15 @@ def test_near_duplicates_meet_beyond_the_first_of_a_bucket(spark, monkeypatch):
     test_near_duplicates(spark, rows)
 
 
+def test_near_duplicates_of_few_shingles_are_not_lost(spark):
+    rows = []
+    for i in range(4000):  # 3 shingles, and 4 that hold them: similarity 0.75
+        own = [f"p{i}w{k}" for k in range(8)]
+        rows += [(2 * i, " ".join(own[:7]), "a"), (2 * i + 1, " ".join(own), "a")]
+    got = near_duplicates(frame(spark, rows)).collect()
+    assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
 def test_one_of_each_near_group_stays_in_the_pipeline(spark):
     rows = corpus(3)
     docs = frame(spark, rows)
