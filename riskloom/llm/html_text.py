@@ -4,8 +4,8 @@ The standard library's parser streams events of a page. They become lines (block
 the number of tags that came with it and the container it stands in. Lines of parts that are never
 the article (scripts, navigation, forms, adverts, comments and so on) are set aside. The text-to-tag
 ratios of the other lines are smoothed with a Gaussian kernel and split into two clusters; the
-high cluster marks the content. The container that holds most marked text is the content region, and
-all its lines are kept, so that short paragraphs between long ones are not lost.
+high cluster marks the content. The article, or else the smallest container of all marked text, is the content
+region, and all its lines are kept, so that short paragraphs between long ones are not lost.
 """
 
 from __future__ import annotations
@@ -196,11 +196,11 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     if named:
         top = [c for c in named if not any(c in x.path and set(x.path[: x.path.index(c)]) & set(named) for x in lines)]
         region = set(top)
-    elif weight:
-        # the innermost container with at least half of the marked text
-        total = max(weight.values())
-        region = {max((c for c in weight if 2 * weight[c] >= total), key=lambda c: c)}
     else:
+        # the innermost container with all marked text, so that no sibling part of the article is lost
+        total = sum(len(x.text) for x, hit in zip(lines, marked.tolist()) if hit)
+        region = {max((c for c in weight if weight[c] == total), default=-1)}
+    if region == {-1}:
         return "\n".join(x.text for x in lines)
     return "\n".join(x.text for x in lines if region & set(x.path))
 

@@ -412,6 +412,19 @@ PAGE = (
 TEXT = "Title here\nA first long paragraph of text with several words in it, really.\nShort.\nAnother long paragraph of article text & more words to read."
 
 
+def test_main_text_keeps_all_parts_of_a_page_without_article():
+    long = [f"Sentence {i} of a long passage goes on for many more words than a title has, " * 3 for i in range(10)]
+    texts = "\n".join(x.strip() for x in long)
+    p = [f"<p>{x}</p>" for x in long]
+    for tag in ("div", "section", "td"):
+        body = f"<{tag}>{''.join(p[:6])}</{tag}><{tag}>{''.join(p[6:])}</{tag}>"
+        assert main_text(f"<body><div><a>Home</a></div><div>{body}</div></body>") == texts
+    for tag in ("blockquote", "section"):
+        body = f"{''.join(p[:2])}<{tag}>{''.join(p[2:8])}</{tag}>{''.join(p[8:])}"
+        assert main_text(f"<body><div><a>Home</a></div><div>{body}</div></body>") == texts
+    assert main_text(f"<body>{p[0]}</body>{p[1]}") == "\n".join(x.strip() for x in long[:2])
+
+
 def test_main_text(spark):
     assert main_text(PAGE) == TEXT
     article = "<nav><a>x</a></nav><article><h1>T</h1><p><b>First line.<br><p>Second &lt;one&gt;</p></article><footer>f</footer>"
