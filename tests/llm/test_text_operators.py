@@ -15,7 +15,7 @@ from riskloom.llm.html_text import extract_text, main_text
 from riskloom.llm.line_dedup import PASSAGE, RUN, drop_repeated_lines, line_dedup, line_digest
 from riskloom.llm.minhash import drop_near_duplicates, near_duplicates
 from riskloom.llm.quality_rules import quality_filter, quality_rules
-from riskloom.llm.secret_scan import BASE_RULES, redact, secret_scan, span_digest, trigrams
+from riskloom.llm.secret_scan import BASE_RULES, RULES, redact, secret_scan, span_digest, trigrams
 from riskloom.llm.substring_dedup import _floor, bucket_of, pack, substring_dedup, unpack
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, removed string, h int, _text string"
@@ -366,6 +366,36 @@ SECRETS = [
 ]
 
 
+def match_of(tree, rng) -> str:
+    """A random match of a parsed pattern."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value) if str(kind) == "LITERAL" else chr(rng.randint(*value))
+        elif op == "MAX_REPEAT":
+            out += "".join(match_of(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        elif op == "SUBPATTERN":
+            out += match_of(arg[3], rng)
+        elif op == "BRANCH":
+            out += match_of(rng.choice(arg[1]), rng)
+        else:
+            raise ValueError(op)
+    return out
+
+
+@pytest.mark.parametrize("rule", RULES, ids=lambda r: r.kind)
+def test_matches_hold_the_literals_of_their_rule(rule):
+    rng = random.Random(9)
+    for _ in range(500):
+        hit = match_of(re._parser.parse(rule.pattern), rng)
+        assert re.fullmatch(rule.pattern, hit)
+        assert not rule.query or any(all(t in hit.lower() for t in alternative) for alternative in rule.query), hit
+
+
 def brute_spans(text):
     found = []
     for order, (kind, pattern, group, least) in enumerate(
