@@ -12,6 +12,7 @@ from .common import prepare, table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .line_dedup import PASSAGE, RUN, line_dedup, line_digest
+from .merkle import FAN, merkle_manifest
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality_rules import MAX_SHARE, MIN_DOCS, MIN_LEFT, quality_rules
@@ -231,3 +232,67 @@ def op10_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _manifest_sql(levels: int = 7) -> str:
+    """The trees level by level, as many as ``levels`` (2**28 rows of a source), and every leaf folded upwards."""
+    texts = {"leaf": "text", "tampered": "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"}
+    digests = {}
+    for name, text in texts.items():
+        parts = ", ".join(
+            f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen({c}::VARCHAR), ':', {c}::VARCHAR) END"
+            for c in ("doc_id", "source", "lang", "n_chars", f"({text})")
+        )
+        digests[name] = f"sha256(concat({parts}))"
+    # the checksum bit by bit: a byte enters with the first of its eight shifts
+    shifts = "list_transform(range(8 * length(doc_id::VARCHAR)), lambda i: CASE WHEN i % 8 = 0 THEN ascii((doc_id::VARCHAR)[1 + i // 8]) ELSE 0 END)"
+    step = "xor(xor(c, s) >> 1, CASE WHEN xor(c, s) % 2 = 1 THEN 3988292384 ELSE 0 END)"
+    crc = f"xor(list_reduce(list_concat([4294967295], {shifts}), lambda c, s: {step}), 4294967295)"
+
+    def tree(t: str) -> str:
+        ctes = []
+        for k in range(levels):
+            ctes.append(
+                f"""{t}s{k} AS (SELECT tree, pos, coalesce(string_agg(d, '') OVER (PARTITION BY tree, pos // {FAN} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+                coalesce(string_agg(d, '') OVER (PARTITION BY tree, pos // {FAN} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+                FROM {t}{k} WHERE n > 1)"""
+            )
+            ctes.append(
+                f"""{t}{k + 1} AS (SELECT tree, pos // {FAN} AS pos, (n + {FAN - 1}) // {FAN} AS n, sha256(string_agg(d, '' ORDER BY pos)) AS d
+                FROM {t}{k} WHERE n > 1 GROUP BY ALL)"""
+            )
+        ends = " UNION ALL ".join(f"SELECT tree, d FROM {t}{k} WHERE n = 1" for k in range(levels + 1))
+        return ", ".join([*ctes, f"{t}end AS ({ends})"])
+
+    def fold(t: str, source: str, key: str) -> tuple[str, str]:
+        ctes = []
+        for k in range(levels):
+            ctes.append(
+                f"""{t}f{k} AS (SELECT f.* REPLACE (CASE WHEN s.pos IS NULL THEN cur ELSE sha256(concat(lft, cur, rgt)) END AS cur,
+                concat(proof, lft, rgt) AS proof) FROM {source} f LEFT JOIN {t}s{k} s ON s.tree IS NOT DISTINCT FROM f.{key} AND s.pos = f.{t}pos // {FAN**k})"""
+            )
+            source = f"{t}f{k}"
+        return ", ".join(ctes), source
+
+    first, folded = fold("l", "start", "source")
+    second, done = fold("t", "topped", "top")
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, {digests["leaf"]} AS leaf,
+         CASE WHEN {crc} % 5 = 0 THEN {digests["tampered"]} ELSE {digests["leaf"]} END AS tampered FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS lpos, count(*) OVER (PARTITION BY source) AS n FROM d),
+    l0 AS (SELECT source AS tree, lpos AS pos, n, leaf AS d FROM p),
+    {tree("l")},
+    u AS (SELECT tree AS source, d, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lend),
+    t0 AS (SELECT '' AS tree, pos, n, d FROM u),
+    {tree("t")},
+    start AS (SELECT p.*, '' AS top, u.pos AS tpos, u.d AS subroot, tampered AS cur, '' AS proof FROM p JOIN u ON u.source IS NOT DISTINCT FROM p.source),
+    {first},
+    topped AS (SELECT * FROM {folded}),
+    {second}
+    SELECT doc_id, leaf, subroot, tend.d AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = tend.d AS verified FROM {done}, tend
+    """
+
+
+@_query("op11_merkle_manifest", _manifest_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
