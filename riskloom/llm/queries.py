@@ -11,6 +11,7 @@ from .bpe_codec import bpe_codec
 from .common import prepare, table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .lexical_search import lexical_search
 from .line_dedup import PASSAGE, RUN, line_dedup, line_digest
 from .merkle import FAN, merkle_manifest
 from .minhash import near_duplicates
@@ -296,3 +297,27 @@ def _manifest_sql(levels: int = 7) -> str:
 @_query("op11_merkle_manifest", _manifest_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@_query(
+    "op13_lexical_search",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+    q AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS terms FROM benchmark),
+    s AS (SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+    p AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * max(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+    m AS (SELECT row, doc_id, 100 - 75 + (75 * len(terms) * n) // l AS m FROM d, s),
+    t AS (SELECT item, item_id, unnest(terms) AS term FROM q),
+    r AS (SELECT item, item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+          FROM t JOIN w USING (term) JOIN p USING (term) JOIN m USING (row) GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
+    FROM r WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) <= 10
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
