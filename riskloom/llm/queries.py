@@ -12,6 +12,8 @@ from .common import prepare, table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .lexical_search import lexical_search
+from .license_rules import BASE, KINDS, RULES as SIGNATURES, WORTH
+from .license_scan import license_scan
 from .line_dedup import PASSAGE, RUN, line_dedup, line_digest
 from .merkle import FAN, merkle_manifest
 from .minhash import near_duplicates
@@ -321,3 +323,47 @@ _TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _licenses_sql() -> str:
+    """Every signature on every text, ungated; base phrases by comparing words."""
+    rules = ", ".join(f"({i}, '{r.label}', {r.kind}, {WORTH[r.kind]}::DOUBLE, '{r.pattern}')" for i, r in enumerate(SIGNATURES))
+
+    def place(phrase: str) -> str:
+        return " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split(" ")))
+
+    base = " UNION ALL ".join(
+        f"SELECT row, i - 1 AS start, '{label}' AS label FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM d) WHERE {place(phrase)}"
+        for label, phrase in BASE
+    )
+    wider = " OR ".join(
+        f"(kind = {k} AND coalesce(max(CASE WHEN kind <= {k} THEN stop END) OVER o >= stop, false))" for k in range(len(KINDS))
+    )
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    n AS (SELECT row, concat(' ', array_to_string(words, '  '), ' ') AS t FROM d),
+    r AS (SELECT * FROM (VALUES {rules}) AS v(rule, label, kind, worth, pattern)),
+    m AS (SELECT row, rule, label, kind, worth, regexp_extract_all(t, pattern) AS hit, string_split_regex(t, pattern) AS gap
+          FROM n, r WHERE regexp_matches(t, pattern)),
+    i AS (SELECT *, unnest(range(1, len(hit) + 1)) AS k FROM m),
+    p AS (SELECT row, rule, label, kind, worth, (list_sum(list_transform(gap[1:k], lambda x: length(x)))
+          + coalesce(list_sum(list_transform(hit[1:k-1], lambda x: length(x))), 0))::BIGINT AS place, hit[k] AS hit FROM i),
+    q AS (SELECT p.* EXCLUDE (place, hit), (length(t[1:place]) - length(replace(t[1:place], ' ', ''))) // 2 AS start,
+          (length(hit) - length(replace(hit, ' ', ''))) // 2 AS size FROM p JOIN n USING (row)),
+    s AS (SELECT *, start + size AS stop FROM q),
+    x AS (SELECT *, {wider} AS inside FROM s
+          WINDOW o AS (PARTITION BY row ORDER BY start, stop DESC, kind, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    b AS ({base}),
+    bg AS (SELECT row, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY row),
+    g AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(worth) AS score
+          FROM (SELECT row, label, worth FROM x WHERE NOT inside UNION ALL SELECT row, label, 0 FROM b) GROUP BY row)
+    SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+           coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+    FROM d LEFT JOIN bg USING (row) LEFT JOIN g USING (row)
+    """
+
+
+@_query("op12_license_scan", _licenses_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
