@@ -99,6 +99,17 @@ def cut_points(counted: int, target_rows: int) -> list[float]:
     return [i / parts for i in range(1, parts)]
 
 
+def heavy_keys(df: DataFrame, key: str, target_rows: int = TARGET_ROWS) -> list[str]:
+    """Values of a key column with more than ``target_rows`` rows: at most one per that many rows of the table.
+
+    Tables below the target have none and cost one count; others are counted by key with partial sums.
+    """
+    if df.count() <= target_rows:
+        return []
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    return sorted(r[key] for r in counts.filter(F.col("rows") > target_rows).select(key).collect())
+
+
 def time_cuts(df: DataFrame, ts: str, window: timedelta | None = None, target_rows: int = TARGET_ROWS) -> list[float]:
     """Instants (in microseconds) that cut the rows into time ranges of about ``target_rows`` rows.
 

@@ -13,9 +13,10 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import Running, running, with_slot
+from ..functions.scan import TARGET_ROWS, Running, running, with_slot
 from ..functions.text import non_blank
 from .common import first_per, latest_per
+from .snapshots import BEFORE, account_features, window_counts
 
 KEYS = ["account_no"]
 ORDER = ["event_time", "event_id"]
@@ -59,30 +60,12 @@ def daily_running(df: DataFrame, zone: str = "UTC", cuts: Cuts = None) -> DataFr
     return running(_chunked(df, zone, cuts), KEYS, CHUNK, ORDER, values).drop(*CHUNK)
 
 
-def _with_expiry(df: DataFrame, window: timedelta) -> DataFrame:
-    """Each event and, as a second slim row, the moment it leaves the window.
-
-    The window's lower bound is inclusive, so at equal times arrivals come before departures.
-    """
-    arrivals = df.withColumn("_gone", F.lit(0)).withColumn("_delta", F.lit(1).cast("bigint"))
-    departures = df.select(
-        *KEYS,
-        (F.col("event_time") + F.lit(window)).alias("event_time"),
-        "event_id",
-        F.lit(1).alias("_gone"),
-        F.lit(-1).cast("bigint").alias("_delta"),
-    )
-    return arrivals.unionByName(departures, allowMissingColumns=True)
-
-
-def velocity(df: DataFrame, window: timedelta = VELOCITY, cuts: Cuts = None) -> DataFrame:
+def velocity(df: DataFrame, window: timedelta = VELOCITY, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Add ``txn_count``: the account's events in the window ending at the row.
 
     Arrivals count up and departures count down, so the cost does not grow with the window.
     """
-    both = _chunked(_with_expiry(df, window), "UTC", cuts)
-    out = running(both, KEYS, CHUNK, ["event_time", "_gone", "event_id"], [Running("txn_count", F.col("_delta"))])
-    return out.filter(F.col("_gone") == 0).select(*df.columns, "txn_count")
+    return window_counts(df, {"txn_count": window}, target_rows)
 
 
 def first_sight(df: DataFrame, col: str) -> DataFrame:
@@ -116,44 +99,19 @@ def distinct_running(df: DataFrame, col: str, out: str, cuts: Cuts = None) -> Da
 
 
 def feature_snapshot(
-    df: DataFrame, zone: str = "UTC", window: timedelta = VELOCITY, cuts: Cuts = None
+    df: DataFrame, zone: str = "UTC", window: timedelta = VELOCITY, cuts: Cuts = None, target_rows: int = TARGET_ROWS
 ) -> DataFrame:
-    """Add all account features as they stand right after each event, in one scan."""
-    marks = {"_dev": "device_id", "_cp": "counterparty"}
-    rows = _marked(df, marks).withColumn("_gone", F.lit(0))
-    row_kind = len(marks)
-    departures = df.select(
-        *KEYS,
-        (F.col("event_time") + F.lit(window)).alias("event_time"),
-        "event_id",
-        F.lit(1).alias("_gone"),
-        F.lit(row_kind + 1).alias("_kind"),
-    )
-    rows = _chunked(rows.unionByName(departures, allowMissingColumns=True), zone, cuts)
-
-    kind = F.col("_kind")
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    arrival = kind == row_kind
-    values = [
-        Running("daily_amount", F.when(arrival, F.col("amount_minor")).otherwise(none), within=("_day",)),
-        Running("daily_count", F.when(arrival, one).otherwise(none), within=("_day",)),
-        Running("txn_count", F.when(arrival, one).when(F.col("_gone") == 1, -one).otherwise(none)),
-        Running("known_device_count", F.coalesce("_dev", none)),
-        Running("unique_counterparty_count", F.coalesce("_cp", none)),
-        Running("_new_device_event", F.when(F.col("_dev") == 1, F.col("event_id")), how="last"),
-    ]
-    out = running(rows, KEYS, CHUNK, ["event_time", "_gone", "event_id", "_kind"], values).filter(arrival)
-    return out.select(
-        *df.columns,
-        F.col("_day").alias("daily_stat_date"),
-        "daily_amount",
-        "daily_count",
-        "txn_count",
-        F.col("_new_device_event").eqNullSafe(F.col("event_id")).alias("device_new"),
-        "known_device_count",
-        "unique_counterparty_count",
-        F.col("event_time").alias("feature_event_time"),
-    )
+    """Add all account features as they stand right after each event (see ``snapshots``)."""
+    return account_features(df, zone, window, cuts, target_rows).drop(*BEFORE)
+
+
+def features_before(
+    df: DataFrame, zone: str = "UTC", window: timedelta = VELOCITY, cuts: Cuts = None, target_rows: int = TARGET_ROWS
+) -> DataFrame:
+    """Add to each event the features stored after its account's previous event, without storing them first:
+    the same as ``features_as_of`` over ``feature_snapshot``, in the same scan."""
+    scanned = account_features(df, zone, window, cuts, target_rows)
+    return scanned.select(*df.columns, *[F.col(f"stored_{c}").alias(c) for c in SNAPSHOT])
 
 
 def latest_features(snapshot: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from ..operators import features
+from ..operators.snapshots import window_counts
 from ..sources import tables
 from .oracle import ASOF, FEAT, TXN
 from .registry import query
@@ -16,13 +17,11 @@ WIDE = timedelta(hours=24)
 
 
 def snapshot(spark, sf):
-    return features.feature_snapshot(tables.transactions(spark, sf), window=WIDE, cuts=tables.event_cuts(spark, sf, WIDE))
+    return features.feature_snapshot(tables.transactions(spark, sf), window=WIDE)
 
 
 def as_of(spark, sf):
-    cuts = tables.event_cuts(spark, sf, WIDE)
-    stored = features.feature_snapshot(tables.transactions(spark, sf), window=WIDE, cuts=cuts)
-    return features.features_as_of(stored, cuts)
+    return features.features_before(tables.transactions(spark, sf), window=WIDE)
 
 
 def _shown(df):
@@ -57,8 +56,8 @@ def feat_daily_running(spark, sf):
 )
 def feat_velocity(spark, sf):
     txn = tables.transactions(spark, sf).select("event_id", "account_no", "event_time")
-    short = features.velocity(txn, cuts=tables.event_cuts(spark, sf, features.VELOCITY)).withColumnRenamed("txn_count", "txn_count_5m")
-    return features.velocity(short, WIDE, tables.event_cuts(spark, sf, WIDE)).select("event_id", "txn_count_5m", F.col("txn_count").alias("txn_count_24h"))
+    both = window_counts(txn, {"txn_count_5m": features.VELOCITY, "txn_count_24h": WIDE})
+    return both.select("event_id", "txn_count_5m", "txn_count_24h")
 
 
 @query("feat_device_new", f"WITH {TXN}, {FEAT} SELECT event_id, device_new FROM feat")

@@ -132,11 +132,62 @@ def test_model_features_use_major_units(txn):
     assert (row.amount, row.daily_amount, row.hour, row.cross_bank, row.device_new) == (5.0, 0.0, 10.0, 1.0, 0.0)
 
 
-def test_hot_account_is_cut_into_chunks(txn):
-    """The plan shuffles rows by account, day and slot; only the chunks' summaries meet by account alone."""
-    frame = features.feature_snapshot(txn([("e-1", "a", "2026-07-21T10:00:00", 500, "x", "p")]))
-    lines = frame._jdf.queryExecution().executedPlan().toString().splitlines()
-    shuffles = [(line, below) for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning(account_no" in line]
+def plan_lines(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def hash_shuffles(frame):
+    """The shuffles by key of the initial plan, each with the operator that feeds it."""
+    lines = plan_lines(frame)
+    return [(line, below) for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning(" in line]
+
+
+def test_accounts_of_usual_size_take_one_shuffle(txn):
+    frame = features.features_before(txn([("e-1", "a", "2026-07-21T10:00:00", 500, "x", "p")]))
+    shuffles = hash_shuffles(frame)
+    assert len(shuffles) == 1 and re.search(r"hashpartitioning\(account_no#\d+, \d+\)", shuffles[0][0])
+    assert not any("SortAggregate" in line for line in plan_lines(frame))
+
+
+def test_hot_account_is_cut_into_ranges(txn):
+    """Rows of a heavy account are dealt by account, day and range; by account alone only the sums of ranges meet."""
+    events = random_events(11)
+    df = txn([(e, a, t.isoformat(), m, d, c) for e, a, t, m, d, c in events])
+    frame = features.feature_snapshot(df, target_rows=60)
+    shuffles = hash_shuffles(frame)
     assert any("_day" in line and "_slot" in line for line, _ in shuffles)
     alone = [below for line, below in shuffles if re.search(r"hashpartitioning\(account_no#\d+, \d+\)", line)]
-    assert all("Aggregate" in below for below in alone)
+    lines = "\n".join(plan_lines(frame))
+    light = [below for below in alone if "Aggregate" not in below]
+    assert len(light) == 1 and re.search(r"Filter .*NOT .*account_no#\d+ *(=|IN).*hot", lines)  # the others alone
+
+
+@pytest.mark.parametrize("seed,target_rows", [(4, 10_000), (5, 60), (6, 7)])
+def test_values_before_equal_stored_snapshots(txn, seed, target_rows):
+    events = random_events(seed)
+    df = txn([(e, a, t.isoformat(), m, d, c) for e, a, t, m, d, c in events])
+    window = timedelta(minutes=47)
+    snapshot = features.feature_snapshot(df, window=window, target_rows=target_rows)
+    assert {r["event_id"]: tuple(r[c] for c in COLUMNS) for r in snapshot.collect()} == accumulate(events, window)
+    stored = features.features_as_of(features.feature_snapshot(df, window=window), [])
+    before = features.features_before(df, window=window, target_rows=target_rows)
+    assert before.columns == stored.columns
+    assert sorted(before.collect(), key=repr) == sorted(stored.collect(), key=repr)
+
+
+def test_velocity_of_hot_accounts(txn):
+    events = random_events(8)
+    df = txn([(e, a, t.isoformat(), m, d, c) for e, a, t, m, d, c in events])
+    for target_rows in (10_000, 50):
+        expected = accumulate(events)
+        got = features.velocity(df, target_rows=target_rows).collect()
+        assert {r.event_id: r.txn_count for r in got} == {e: v[2] for e, v in expected.items()}
+
+
+def test_decisions_read_the_events_once(spark):
+    import __spark_entry__ as entry
+
+    frame = entry.queries()["decisions"](spark, "/root/testdata/sf0.001")
+    scans = [line for line in plan_lines(frame) if "FileScan" in line or "Scan parquet" in line]
+    assert len(scans) <= 4 and len(hash_shuffles(frame)) <= 5
+    assert (len(scans), len(hash_shuffles(frame))) == (1, 1)
