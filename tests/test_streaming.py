@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from riskloom.streaming import patterns as spatterns
 from riskloom.streaming import runtime
 from riskloom.streaming.sinks import keyed_sink
 
-from .test_features import COLUMNS, random_events
+from .test_features import COLUMNS, accumulate, random_events
 
 
 @pytest.fixture
@@ -57,7 +59,7 @@ def test_features_do_not_depend_on_arrow_chunks(spark, txn, tmp_path, records):
     before = spark.conf.get(key)
     spark.conf.set(key, records)
     try:
-        stream = sfeatures.stream_features(spark.readStream.schema(df.schema).parquet(folder), ttl_days=None)
+        stream = sfeatures.stream_features(spark.readStream.schema(df.schema).parquet(folder), ttl_days=None, chunk_rows=9)
         got = runtime.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     finally:
         spark.conf.set(key, before)
@@ -121,3 +123,71 @@ def test_late_event_of_a_past_day_counts_for_devices_only(spark, txn, tmp_path):
         out = runtime.run_to_table(sfeatures.stream_features(stream, ttl_days=None), str(tmp_path / "out"), str(tmp_path / "cp"))
     row = out.filter("event_id = 'e-3'").first()
     assert (str(row.daily_stat_date), row.daily_amount, row.daily_count, row.known_device_count, row.txn_count) == ("2026-07-22", 200, 1, 2, 1)
+
+
+class Map(dict):
+    """A map state without Spark."""
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.get, dict.__setitem__, dict.pop
+
+
+class Value:
+    held = None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+class Handle:
+    """The states of one account without Spark."""
+
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Map())
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, Value())
+
+
+@pytest.mark.parametrize("arrow_rows", [7, 10_000])
+@pytest.mark.parametrize("batches", [1, 13])
+def test_rows_in_memory_are_bounded(arrow_rows, batches):
+    """Many rows of one account, dealt to one or many micro-batches and to small or large Arrow batches."""
+    rnd = random.Random(batches)
+    events = [(f"e{i:05d}", "a", *rest) for i, (_, _, *rest) in enumerate(random_events(13, n=4000, spread=900_000))]
+    events += rnd.sample(events, 50)  # delivered twice
+    window, chunk = timedelta(hours=30), 100
+    expected = accumulate(sorted(events, key=lambda r: (r[2], r[0])), window)
+    by_time = sorted(events, key=lambda r: r[2])
+    times = sorted({r[2] for r in events})
+    cuts = [times[len(times) * k // batches] for k in range(batches)] + [times[-1] + timedelta(1)]
+    handle, got, peak = Handle(), {}, 0
+    for low, high in zip(cuts, cuts[1:]):
+        part = [r for r in by_time if low <= r[2] < high]
+        rnd.shuffle(part)
+        frame = pd.DataFrame(
+            {
+                "event_id": [r[0] for r in part],
+                "amount_minor": [r[3] for r in part],
+                "device_id": [r[4] for r in part],
+                "counterparty": [r[5] for r in part],
+                "event_us": [int(r[2].timestamp()) * 1_000_000 for r in part],
+                "event_day": [r[2].toordinal() for r in part],
+            }
+        )
+        processor = sfeatures.AccountFeatures(window, None, chunk)
+        processor.init(handle)
+        chunks = (frame.iloc[i : i + arrow_rows] for i in range(0, len(frame), arrow_rows))
+        for out in processor.handleInputRows(("a",), chunks, None):
+            assert len(out) <= 2 * chunk
+            got |= {r.event_id: tuple(getattr(r, c) for c in COLUMNS) for r in out.itertuples()}
+        peak = max(peak, processor.peak - min(arrow_rows, len(frame)))
+        assert not handle.states["blocks"]  # nothing stays behind
+    assert got == expected
+    assert peak <= 2 * chunk  # beside the Arrow batch that is being read
+    assert max(len(v[0]) // 8 for v in handle.states["times"].values()) <= chunk
