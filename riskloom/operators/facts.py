@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..sources.versioned import PART, part_name, parts_of, read_version, replace_parts, version
 from .features import model_columns
 
 KEYS = ["source_id", "txn_id"]
@@ -24,43 +24,24 @@ def merge_replace(target: DataFrame, incoming: DataFrame, keys: Sequence[str]) -
     return kept.unionByName(incoming)
 
 
-def _stored_table(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def write_merged(spark: SparkSession, target: str, incoming: DataFrame, keys: Sequence[str], partition: str) -> None:
+    """Merge an increment into a versioned table with a part per value of ``partition``, nulls included.
 
-
-def write_merged(spark: SparkSession, target: str, staging: str, incoming: DataFrame, keys: Sequence[str], partition: str) -> None:
-    """Merge an increment into a table stored by partition column, rewriting only the partitions it touches.
-
-    Touched are the partitions of the incoming rows and those that hold an incoming key so far, so a key
-    that moved leaves its old partition. Partitions are few and named by the table's layout, so their
-    list goes to the driver and back as a filter that prunes the scan. The merged rows are staged first,
-    since a table cannot be overwritten while it is read; a partition that becomes empty is overwritten by an empty one.
+    Rows whose key comes again are replaced. Touched are the parts of the incoming rows and those that hold an
+    incoming key so far, so a key that moved leaves its old part; only these are read as a whole and written
+    anew. The merged table appears in one step: a failure before it leaves the table as it was.
     """
     incoming = materialize(incoming, "merge-increment")
-    current = _stored_table(spark, target)
-    if current is None:
-        partitioned(incoming, partition).parquet(target)
-        return
-    held = current.join(incoming.select(*keys), list(keys), "left_semi").select(partition)
-    touched = [r[0] for r in held.union(incoming.select(partition)).distinct().collect()]
-    merged = merge_replace(current.filter(F.col(partition).isin(touched)), incoming.select(*current.columns), keys)
-    merged.write.mode("overwrite").parquet(staging)
-    staged = spark.read.parquet(staging)
-    left = {r[0] for r in staged.select(partition).distinct().collect()}
-    partitioned(staged, partition).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
-    for gone in sorted(set(touched) - left, key=str):
-        current.limit(0).drop(partition).write.mode("overwrite").parquet(f"{target}/{partition}={gone}")
-
-
-def partitioned(df: DataFrame, partition: str) -> DataFrameWriter:
-    """A writer by partition column. Rows are rebalanced on it first: a partition goes to one task, and a
-    busy one to as many tasks as its size asks for, instead of every task writing to every partition."""
-    return df.hint("rebalance", partition).write.partitionBy(partition)
+    base = version(spark, target)
+    rows = incoming.withColumn(PART, part_name(F.col(partition)))
+    touched = set(parts_of(rows))
+    current = read_version(spark, target, base)
+    if current is not None:
+        held = current.join(incoming.select(*keys), list(keys), "left_semi")
+        touched |= set(parts_of(held.select(part_name(F.col(partition)).alias(PART))))
+        merged = merge_replace(read_version(spark, target, base, sorted(touched)), incoming.select(*current.columns), keys)
+        rows = merged.withColumn(PART, part_name(F.col(partition)))
+    replace_parts(rows, target, base, sorted(touched))
 
 
 def decision_features(txn: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import non_blank
+from ..sources.versioned import upsert
 from .facts import KEYS
 
 WINDOW = timedelta(days=90)
@@ -107,6 +108,14 @@ def merge_profiles(target: DataFrame, updates: DataFrame, affected: DataFrame) -
     return kept.unionByName(updates)
 
 
+def write_profiles(spark: SparkSession, path: str, updates: DataFrame, affected: DataFrame | None = None) -> None:
+    """Merge profiles into a keyed table: affected customers are replaced, or go where they have no profile any more.
+
+    Only the buckets of these customers are rewritten, in one step. The later profile of a customer stays.
+    """
+    upsert(spark, path, updates, ["customer_id"], ["profile_as_of"], removed=affected)
+
+
 def incremental_parity(
     facts: DataFrame, labels: DataFrame, before: Column, as_of: Column, zone: str = "UTC"
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from ..operators.common import latest_per
+from ..session import shared_path
 from ..sources import tables
 from ..sources.changes import current_state, increment, retention_tier
 from ..sources.contracts import (
@@ -17,7 +18,7 @@ from ..sources.contracts import (
     request_reasons,
     validate_contract,
 )
-from ..sources.sinks import daily_index
+from ..sources.sinks import read_daily_partitions, write_daily_partitions
 from .oracle import FACT, TXN
 from .registry import query
 
@@ -144,7 +145,12 @@ def fact_increment(spark, sf):
       CAST(sum(amount_minor) AS BIGINT) AS amount_minor FROM txn GROUP BY 1""",
 )
 def txn_daily_index(spark, sf):
-    days = daily_index(tables.transactions(spark, sf)).groupBy(F.col("event_date").cast("string").alias("event_date"))
+    """Written by day, the last day again as a repeated delivery would; read back and counted."""
+    path, txn = shared_path(spark, "daily"), tables.transactions(spark, sf)
+    write_daily_partitions(txn, path, ["event_id", "amount_minor"])
+    last = txn.agg(F.max(F.to_date("event_time"))).first()[0]
+    write_daily_partitions(txn.filter(F.to_date("event_time") == F.lit(last)), path, ["event_id", "amount_minor"])
+    days = read_daily_partitions(spark, path).groupBy(F.col("event_date").cast("string").alias("event_date"))
     return days.agg(F.count(F.lit(1)).alias("txn_count"), F.sum("amount_minor").alias("amount_minor"))
 
 

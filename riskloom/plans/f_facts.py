@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import facts
 from ..session import shared_path
 from ..sources import tables
+from ..sources.versioned import read_version
 from .e_decisions import records
 from .oracle import CASE_LABEL, DECISIONS, FACT, TXN
 from .registry import query
@@ -24,8 +25,8 @@ def merge_immutable(spark, sf):
     incoming = fact.filter(F.col("event_time") >= F.lit("2001-01-01").cast("timestamp")).withColumn("amount_minor", F.col("amount_minor") + 1)
     path, year = shared_path(spark, "facts"), F.year("event_time")
     for part in (stored, incoming):
-        facts.write_merged(spark, path, shared_path(spark, "facts-staging"), part.withColumn("event_year", year), facts.KEYS, "event_year")
-    return spark.read.parquet(path).select("txn_id", "customer_id", "amount_minor")
+        facts.write_merged(spark, path, part.withColumn("event_year", year), facts.KEYS, "event_year")
+    return read_version(spark, path).select("txn_id", "customer_id", "amount_minor")
 
 
 @query(

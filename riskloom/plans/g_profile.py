@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile
+from ..session import materialize, shared_path
 from ..sources import tables
-from ..sources.sinks import json_documents
+from ..sources.sinks import read_latest, write_documents
 from .oracle import FACT, FACT_LABEL
 from .registry import query
 
@@ -113,16 +114,24 @@ def profile_incremental_parity(spark, sf):
       UNION ALL SELECT customer_id, amount_90d, txn_cnt_90d FROM exact WHERE customer_id NOT IN (SELECT customer_id FROM affected)""",
 )
 def merge_profiles(spark, sf):
-    updates = incremental(spark, sf)
-    merged = profile.merge_profiles(exact_profiles(spark, sf), updates, updates)
-    return merged.select("customer_id", "amount_90d", "txn_cnt_90d")
+    """All profiles are stored, then those of the affected customers are merged in, twice; the table is read back."""
+    path, updates = shared_path(spark, "profiles"), materialize(incremental(spark, sf), "profile-updates")
+    profile.write_profiles(spark, path, exact_profiles(spark, sf))
+    for _ in range(2):
+        profile.write_profiles(spark, path, updates, updates.select("customer_id"))
+    return read_latest(spark, path).select("customer_id", "amount_90d", "txn_cnt_90d")
 
 
 @query(
     "profile_json_projection",
     f"""WITH {PROFILE} SELECT customer_id AS doc_id, '{{"customer_id":' || customer_id || ',"amount_90d":' || amount_90d || ',"txn_cnt_90d":' || txn_cnt_90d
-      || ',"unique_counterparty_90d":' || unique_counterparty_90d || ',"recency_days":' || recency_days || ',"fraud_count_90d":' || fraud_count_90d || '}}' AS document
+      || ',"unique_counterparty_90d":' || unique_counterparty_90d || ',"recency_days":' || recency_days || ',"night_ratio":' || night_ratio
+      || ',"fraud_count_90d":' || fraud_count_90d || ',"profile_as_of":"' || strftime(make_timestamp(profile_as_of_us), '%Y-%m-%dT%H:%M:%S.%g') || 'Z"}}' AS document
       FROM exact""",
 )
 def profile_json_projection(spark, sf):
-    return json_documents(exact_profiles(spark, sf).drop("night_ratio", "profile_as_of"), "customer_id")
+    """The documents as filed; filing the later half again, as a retried job would, changes nothing."""
+    path, rows = shared_path(spark, "profile-documents"), exact_profiles(spark, sf)
+    write_documents(spark, path, rows, "customer_id", ["profile_as_of"])
+    write_documents(spark, path, rows.filter(F.col("profile_as_of") > F.lit("2001-07-01").cast("timestamp")), "customer_id", ["profile_as_of"])
+    return read_latest(spark, path).select("doc_id", "document")

@@ -14,7 +14,7 @@ from ..sources.sinks import read_latest
 from ..streaming import features, patterns, runtime, sinks, windows
 from .c_features import snapshot
 from .d_patterns import FAILURES, LARGE, PROBE, PROBES, SIGNALS
-from .e_decisions import records
+from .e_decisions import records, reissued
 from .oracle import DECISIONS, FEAT, TXN
 from .registry import query
 
@@ -57,7 +57,7 @@ def stream_feature_sink(spark, sf):
     path, order = shared_path(spark, "feature-sink"), ["feature_event_us", "event_id"]
     out = features.stream_features(txn_stream(spark, sf), window=timedelta(hours=24), ttl_days=None)
     runtime.run_batches(out, sinks.keyed_sink(path, ["account_no"], order), shared_path(spark, "feature-sink-checkpoint"))
-    return read_latest(spark, path, ["account_no"], order).select("account_no", "event_id", *_COLUMNS)
+    return read_latest(spark, path).select("account_no", "event_id", *_COLUMNS)
 
 
 @query("stream_dedup", f"WITH {TXN} SELECT event_id, account_no, amount_minor FROM txn")
@@ -94,7 +94,7 @@ def stream_signals(spark, sf):
     found = patterns.stream_patterns(txn_stream(spark, sf), PROBE, LARGE, timedelta(hours=24), 3, timedelta(hours=72))
     runtime.run_batches(patterns.stream_signals(found), sinks.keyed_sink(path, ["signal_id"], ["detected_at"]), shared_path(spark, "signals-checkpoint"))
     pairs = F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return read_latest(spark, path, ["signal_id"], ["detected_at"]).select(
+    return read_latest(spark, path).select(
         "signal_id", "severity", "signal_type", "account_no",
         F.concat_ws("|", "related_event_ids").alias("related"), F.concat_ws(",", pairs).alias("attributes"),
     )
@@ -118,6 +118,17 @@ def stream_decision_metrics(spark, sf):
     return found.select(F.unix_micros("window_start").alias("window_start_us"), "risk_level", "action", "decisions", "cost_ms", "with_hits")
 
 
+@query("stream_search_projection", f"WITH {DECISIONS} SELECT decision_id, txn_id, account_token, risk_level, action, cost_ms * 2 AS cost_ms FROM decision")
+def stream_search_projection(spark, sf):
+    """Decision events, each delivered twice, projected for search: one row per decision, the later delivery wins."""
+    runtime.prepare_streaming(spark)
+    topic, path = shared_path(spark, "decisions"), shared_path(spark, "search")
+    reissued(spark, sf).select("decision_id", "txn_id", "account_token", "risk_level", "action", "cost_ms", "created_at").write.parquet(topic)
+    stream = spark.readStream.schema(spark.read.parquet(topic).schema).option("maxFilesPerTrigger", 8).parquet(topic)
+    runtime.run_batches(stream, sinks.keyed_sink(path, ["decision_id"], ["created_at", "cost_ms"]), shared_path(spark, "search-checkpoint"))
+    return read_latest(spark, path).drop("created_at")
+
+
 @query(
     "stream_tumbling_totals",
     f"""WITH {TXN} SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, event_time)) AS window_start_us, account_no,
@@ -138,4 +149,4 @@ def stream_dead_letters(spark, sf):
     valid, dead = shared_path(spark, "valid"), shared_path(spark, "dead")
     parsed = parse_transactions(tables.envelopes(txn_stream(spark, sf)))
     runtime.run_batches(parsed, sinks.dead_letter_split(valid, dead), shared_path(spark, "dead-checkpoint"))
-    return read_latest(spark, dead, ["event_id"], ["source_offset"]).select("event_id", "message_key", "status")
+    return read_latest(spark, dead).select("event_id", "message_key", "status")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.common import latest_per
+from .versioned import BUCKETS, read_version, upsert
 
 
 def daily_index(df: DataFrame, ts: str = "event_time") -> DataFrame:
@@ -24,24 +24,37 @@ def write_daily_partitions(df: DataFrame, path: str, columns: Sequence[str], ts:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
 
 
-def json_documents(df: DataFrame, key: str) -> DataFrame:
-    """One JSON document per key."""
-    return df.select(F.col(key).alias("doc_id"), F.to_json(F.struct(*df.columns)).alias("document"))
+def json_documents(df: DataFrame, key: str, beside: Sequence[str] = ()) -> DataFrame:
+    """One JSON document per key; columns named in ``beside`` are also given on their own."""
+    return df.select(F.col(key).alias("doc_id"), F.to_json(F.struct(*df.columns)).alias("document"), *beside)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, keys: Sequence[str], order: Sequence[str]) -> None:
-    """File one batch of a keyed sink: its last row per key, under ``batch=<id>``.
+def read_daily_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """The rows filed by day, with the day as ``event_date``."""
+    return spark.read.parquet(path)
 
-    A batch that is delivered again replaces its own folder, so replays change nothing.
+
+def write_batch(
+    df: DataFrame, path: str, batch_id: int, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS
+) -> None:
+    """Put one batch of a stream into a keyed table: its last row per key, unless a later one is stored.
+
+    Only the buckets of the batch's keys are rewritten, and a batch that is delivered again changes nothing.
     """
-    latest_per(df, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    upsert(df.sparkSession, path, df, keys, order, buckets, batch=("stream", batch_id))
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The current row of each key over all batches filed so far."""
-    return latest_per(spark.read.parquet(path), keys, [*order, "batch"]).drop("batch")
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The current row of each key: the newest version as it is stored."""
+    rows = read_version(spark, path)
+    if rows is None:
+        raise FileNotFoundError(path)
+    return rows
 
 
-def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], order: Sequence[str]) -> None:
-    """Fold the filed batches into one folder of a new sink."""
-    read_latest(spark, path, keys, order).write.mode("overwrite").parquet(f"{target}/batch=-1")
+def write_documents(spark: SparkSession, path: str, rows: DataFrame, key: str, order: Sequence[str]) -> None:
+    """File one JSON document per key; a document replaces the one of its key unless that is later by ``order``.
+
+    The columns of ``order`` are kept beside the document. Filing the same rows again changes no document.
+    """
+    upsert(spark, path, json_documents(rows, key, order), ["doc_id"], order)

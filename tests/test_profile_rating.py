@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import facts as fact_ops
 from riskloom.operators import profile, rating
+from riskloom.sources import versioned
+from riskloom.sources.versioned import read_version, version
 
 
 def ts(text):
@@ -81,28 +83,117 @@ def test_merge_replaces_by_key(spark):
     assert sorted(r.v for r in fact_ops.merge_replace(a, b, fact_ops.KEYS).collect()) == [1, 3, 9]
 
 
+FACT = "source_id string, txn_id string, v int, day string"
+
+
+def stored(spark, target):
+    return sorted((r.txn_id, r.v, r.day) for r in read_version(spark, target).collect())
+
+
 def test_write_merged_touches_only_named_partitions(spark, tmp_path):
-    schema = "source_id string, txn_id string, v int, day string"
-    target, staging = str(tmp_path / "t"), str(tmp_path / "s")
-    first = spark.createDataFrame([("s", "1", 1, "d1"), ("s", "2", 2, "d2")], schema)
-    fact_ops.write_merged(spark, target, staging, first, fact_ops.KEYS, "day")
-    untouched = sorted((tmp_path / "t" / "day=d1").glob("*.parquet"))
-    second = spark.createDataFrame([("s", "2", 5, "d2"), ("s", "3", 3, "d2")], schema)
-    fact_ops.write_merged(spark, target, staging, second, fact_ops.KEYS, "day")
-    assert sorted(r.v for r in spark.read.parquet(target).collect()) == [1, 3, 5]
-    assert sorted((tmp_path / "t" / "day=d1").glob("*.parquet")) == untouched
+    target = str(tmp_path / "t")
+    first = spark.createDataFrame([("s", "1", 1, "d1"), ("s", "2", 2, "d2")], FACT)
+    fact_ops.write_merged(spark, target, first, fact_ops.KEYS, "day")
+    untouched = version(spark, target).parts["pd1"]
+    second = spark.createDataFrame([("s", "2", 5, "d2"), ("s", "3", 3, "d2")], FACT)
+    fact_ops.write_merged(spark, target, second, fact_ops.KEYS, "day")
+    assert [v for _, v, _ in stored(spark, target)] == [1, 5, 3]
+    assert version(spark, target).parts["pd1"] == untouched
     # a key that moves leaves its old partition, also when that empties it
-    moved = spark.createDataFrame([("s", "1", 7, "d2"), ("s", "4", 4, "d3")], schema)
-    fact_ops.write_merged(spark, target, staging, moved, fact_ops.KEYS, "day")
-    assert sorted((r.txn_id, r.v, r.day) for r in spark.read.parquet(target).collect()) == [("1", 7, "d2"), ("2", 5, "d2"), ("3", 3, "d2"), ("4", 4, "d3")]
+    moved = spark.createDataFrame([("s", "1", 7, "d2"), ("s", "4", 4, "d3")], FACT)
+    fact_ops.write_merged(spark, target, moved, fact_ops.KEYS, "day")
+    assert stored(spark, target) == [("1", 7, "d2"), ("2", 5, "d2"), ("3", 3, "d2"), ("4", 4, "d3")]
+    assert set(version(spark, target).parts) == {"pd2", "pd3"}
 
 
 def test_merge_reads_only_touched_partitions(spark, tmp_path):
-    rows = spark.createDataFrame([("s", str(i), i, f"d{i % 5}") for i in range(20)], "source_id string, txn_id string, v int, day string")
-    fact_ops.partitioned(rows, "day").parquet(str(tmp_path / "t"))
-    pruned = spark.read.parquet(str(tmp_path / "t")).filter(F.col("day").isin(["d1", "d2"]))
-    assert "PartitionFilters: [day" in pruned._jdf.queryExecution().toString()
-    assert len(list((tmp_path / "t").rglob("*.parquet"))) == 5  # one file per partition
+    rows = spark.createDataFrame([("s", str(i), i, f"d{i % 5}") for i in range(20)], FACT)
+    target = str(tmp_path / "t")
+    fact_ops.write_merged(spark, target, rows, fact_ops.KEYS, "day")
+    assert len(read_version(spark, target).inputFiles()) == 5  # one file per partition
+    some = read_version(spark, target, parts=["pd1", "pd2", "absent"])
+    assert len(some.inputFiles()) == 2 and sorted({r.day for r in some.collect()}) == ["d1", "d2"]
+
+
+def test_merge_keeps_null_and_odd_partitions(spark, tmp_path):
+    target = str(tmp_path / "t")
+    rows = [("s", "1", 1, None), ("s", "2", 2, None), ("s", "3", 3, ""), ("s", "4", 4, "a/b=c %*+~"), ("s", "5", 5, "null")]
+    fact_ops.write_merged(spark, target, spark.createDataFrame(rows, FACT), fact_ops.KEYS, "day")
+    again = [("s", "6", 6, None), ("s", "2", 22, None), ("s", "4", 44, "a/b=c %*+~")]
+    fact_ops.write_merged(spark, target, spark.createDataFrame(again, FACT), fact_ops.KEYS, "day")
+    assert stored(spark, target) == [
+        ("1", 1, None), ("2", 22, None), ("3", 3, ""), ("4", 44, "a/b=c %*+~"), ("5", 5, "null"), ("6", 6, None),
+    ]
+    assert len(version(spark, target).parts) == 4
+
+
+@pytest.mark.parametrize("step", ["_names", "_commit"])
+def test_merge_that_stops_between_its_writes_changes_nothing(spark, tmp_path, monkeypatch, step):
+    target = str(tmp_path / "t")
+    rows = spark.createDataFrame([("s", str(i), i, f"d{i % 3}") for i in range(9)], FACT)
+    fact_ops.write_merged(spark, target, rows, fact_ops.KEYS, "day")
+    before = stored(spark, target)
+    moved = spark.createDataFrame([("s", "0", 100, "d1"), ("s", "50", 50, "d9")], FACT)
+
+    def fail(*_):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        # after the new folders are written, or just before the new version appears; the table's own version is read as ever
+        newest = version(spark, target)
+        m.setattr(fact_ops, "version", lambda *_: newest)
+        m.setattr(versioned, step, fail)
+        fact_ops.write_merged(spark, target, moved, fact_ops.KEYS, "day")
+    assert stored(spark, target) == before
+    fact_ops.write_merged(spark, target, moved, fact_ops.KEYS, "day")
+    assert sorted([*before[1:], ("0", 100, "d1"), ("50", 50, "d9")]) == stored(spark, target)
+    # what the failed merge left is deleted with the versions that are no longer kept
+    rows_before = stored(spark, target)
+    assert versioned.vacuum(spark, target, keep=1) >= 2 and stored(spark, target) == rows_before
+    assert len(list((tmp_path / "t" / "data").iterdir())) <= 2
+
+
+def test_second_writer_of_a_version_fails(spark, tmp_path):
+    target = str(tmp_path / "t")
+    rows = spark.createDataFrame([("s", "1", 1, "d1")], FACT).withColumn("_part", F.lit("pd1"))
+    base = version(spark, target)
+    versioned.replace_parts(rows, target, base, ["pd1"])
+    with pytest.raises(versioned.ConflictError):
+        versioned.replace_parts(rows.withColumn("v", F.lit(2)), target, base, ["pd1"])
+    assert stored(spark, target) == [("1", 1, "d1")]
+
+
+def test_keyed_table_rewrites_only_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(i, 1, f"v{i}") for i in range(200)] + [(None, 1, "null key")], "k int, t int, v string")
+    versioned.upsert(spark, path, rows, ["k"], ["t"], buckets=8)
+    first = version(spark, path)
+    late = spark.createDataFrame([(7, 0, "late"), (8, 2, "new"), (9, 1, "same time")], "k int, t int, v string")
+    versioned.upsert(spark, path, late, ["k"], ["t"])
+    second = version(spark, path)
+    changed = [p for p in second.parts if second.parts[p] != first.parts[p]]
+    assert 1 <= len(changed) <= 3 and second.buckets == 8
+    found = {r.k: r.v for r in read_version(spark, path).collect()}
+    assert len(found) == 201 and (found[7], found[8], found[9], found[None]) == ("v7", "new", "same time", "null key")
+    # keys can go, and a table can be dealt anew
+    versioned.upsert(spark, path, late.limit(0), ["k"], ["t"], removed=late)
+    assert read_version(spark, path).count() == 198
+    versioned.rebucket(spark, path, str(tmp_path / "u"), ["k"], 3)
+    assert read_version(spark, str(tmp_path / "u")).count() == 198 and len(version(spark, str(tmp_path / "u")).parts) == 3
+    # an earlier version can still be read
+    assert read_version(spark, path, first).count() == 201
+
+
+def test_profile_merge_drops_customers_without_profile(spark, tmp_path):
+    path, schema = str(tmp_path / "p"), "customer_id string, amount_90d bigint, profile_as_of timestamp"
+    at = datetime(2026, 7, 1)
+    profile.write_profiles(spark, path, spark.createDataFrame([(f"c{i}", i, at) for i in range(5)], schema))
+    updates = spark.createDataFrame([("c1", 100, at)], schema)
+    affected = spark.createDataFrame([("c1",), ("c2",)], "customer_id string")
+    for _ in range(2):  # merging again changes nothing
+        profile.write_profiles(spark, path, updates, affected)
+        got = {r.customer_id: r.amount_90d for r in read_version(spark, path).collect()}
+        assert got == {"c0": 0, "c1": 100, "c3": 3, "c4": 4}
 
 
 CUSTOMERS = [("C001", 5_000_000, 350, 80, 500.0, 0.7), ("C002", 1_200_000, 60, 10, 8_000.0, 0.2), ("C003", 30_000, 5, 2, 50_000.0, 0.05)]
