@@ -8,7 +8,7 @@ yields the values a window over the whole key would, with one shuffle of the row
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -42,6 +42,17 @@ def _over(how: str, c: Column, w) -> Column:
     return (F.max(c) if how == "max" else F.sum(c)).over(w)
 
 
+def _windowed(df: DataFrame, keys: list[str], order: list[str], values: Sequence[Running], descending: bool) -> DataFrame:
+    def value(v: Running) -> Column:
+        w = Window.partitionBy(*([*keys, *v.within] or [F.lit(0)]))
+        if v.how != "total":
+            w = w.orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in order])
+            w = w.rowsBetween(Window.unboundedPreceding, -1 if v.prior else Window.currentRow)
+        return _over(v.how, v.value, w).alias(v.name)
+
+    return df.select("*", *[value(v) for v in values])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -51,8 +62,13 @@ def running(
     descending: bool = False,
 ) -> DataFrame:
     """Add the running values. ``order`` columns must not be null and must identify a row within its
-    key; a later chunk must hold only later rows. ``descending`` runs from the last row to the first."""
+    key; a later chunk must hold only later rows. ``descending`` runs from the last row to the first.
+
+    Without chunk columns a key is one task's, as is right for keys of usual size (see ``by_weight``): one shuffle.
+    """
     keys, chunk, order = list(keys), list(chunk), list(order)
+    if not chunk:
+        return _windowed(df, keys, order, values, descending)
     rows = df.select("*", *[v.value.alias(f"_in_{v.name}") for v in values])
 
     def c_name(v: Running) -> str:
@@ -137,14 +153,46 @@ def with_slot(df: DataFrame, ts: str, out: str = "_slot", cuts: Sequence[float]
     return Bucketizer(splits=splits, inputCol="_micros", outputCol=out).transform(timed).drop("_micros")
 
 
-def value_ranges(df: DataFrame, col: str, out: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def value_cuts(df: DataFrame, col: str, target_rows: int = TARGET_ROWS) -> list[float]:
+    """Values that cut a numeric column into ranges of about ``target_rows`` rows; none for a table below the target."""
+    probs = cut_points(df.count(), target_rows)
+    return sorted(set(df.approxQuantile(col, probs, 0.5 / (len(probs) + 1)))) if probs else []
+
+
+def chunks(cuts: Sequence[float] | None, *names: str) -> list[str]:
+    """The chunk columns of a scan: those named, or none where nothing is cut."""
+    return [] if cuts is not None and not cuts else list(names)
+
+
+def by_weight(
+    df: DataFrame,
+    key: str,
+    ts: str,
+    scan: Callable[[DataFrame, list[float]], DataFrame],
+    window: timedelta | None = None,
+    target_rows: int = TARGET_ROWS,
+) -> DataFrame:
+    """Scan the keys of usual size whole and cut only the heavy ones, which have more than ``target_rows`` rows each.
+
+    ``scan`` takes rows and time cuts; without cuts every key is one task's.
+    """
+    heavy = heavy_keys(df, key, target_rows)
+    if not heavy:
+        return scan(df, [])
+    chosen = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    large = df.filter(chosen)
+    return scan(df.filter(~chosen), []).unionByName(scan(large, time_cuts(large, ts, window, target_rows)))
+
+
+def value_ranges(
+    df: DataFrame, col: str, out: str, target_rows: int = TARGET_ROWS, cuts: Sequence[float] | None = None
+) -> DataFrame:
     """Cut a numeric column into ranges of about ``target_rows`` rows, numbered upward.
 
     The cuts are taken over all rows; a key with few values lies in few ranges, none of which exceeds the target. The driver sees only the cut points, which
     are then constants of the plan, so every evaluation cuts alike.
     """
-    probs = cut_points(df.count(), target_rows)
-    cuts = sorted(set(df.approxQuantile(col, probs, 0.5 / (len(probs) + 1)))) if probs else []
+    cuts = value_cuts(df, col, target_rows) if cuts is None else cuts
     if not cuts:
         return df.withColumn(out, F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]

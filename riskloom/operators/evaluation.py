@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import Running, running, value_ranges
+from ..functions.scan import Running, chunks, running, value_cuts, value_ranges
 from ..session import materialize
 
 MODEL = "model"
@@ -21,14 +21,15 @@ def cumulative(scored: DataFrame) -> DataFrame:
     positive = (F.col("label") == 1).cast("bigint")
     counts = scored.groupBy(MODEL, "score").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
     counts = materialize(counts, "score-counts")
-    ranged = value_ranges(counts, "score", "_range")
+    cuts = value_cuts(counts, "score")
+    ranged = value_ranges(counts, "score", "_range", cuts=cuts)
     values = [
         Running("cum_pos", F.col("pos")),
         Running("cum_neg", F.col("neg")),
         Running("all_pos", F.col("pos"), how="total"),
         Running("all_neg", F.col("neg"), how="total"),
     ]
-    return running(ranged, [MODEL], ["_range"], ["score"], values)
+    return running(ranged, [MODEL], chunks(cuts, "_range"), ["score"], values)
 
 
 def _auc() -> Column:

@@ -13,7 +13,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import TARGET_ROWS, Running, running, with_slot
+from ..functions.scan import TARGET_ROWS, Running, chunks, running, with_slot
 from ..functions.text import non_blank
 from .common import first_per, latest_per
 from .snapshots import BEFORE, account_features, window_counts
@@ -57,7 +57,7 @@ def daily_running(df: DataFrame, zone: str = "UTC", cuts: Cuts = None) -> DataFr
         Running("daily_amount", F.col("amount_minor"), within=("_day",)),
         Running("daily_count", F.lit(1).cast("bigint"), within=("_day",)),
     ]
-    return running(_chunked(df, zone, cuts), KEYS, CHUNK, ORDER, values).drop(*CHUNK)
+    return running(_chunked(df, zone, cuts), KEYS, chunks(cuts, *CHUNK), ORDER, values).drop(*CHUNK)
 
 
 def velocity(df: DataFrame, window: timedelta = VELOCITY, target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -94,7 +94,7 @@ def distinct_running(df: DataFrame, col: str, out: str, cuts: Cuts = None) -> Da
     """Add the number of distinct non-blank values the account has shown so far."""
     rows = _chunked(_marked(df, {"_first": col}), "UTC", cuts)
     value = F.coalesce("_first", F.lit(0).cast("bigint"))
-    res = running(rows, KEYS, CHUNK, [*ORDER, "_kind"], [Running(out, value)])
+    res = running(rows, KEYS, chunks(cuts, *CHUNK), [*ORDER, "_kind"], [Running(out, value)])
     return res.filter(F.col("_kind") == 1).select(*df.columns, out)
 
 
@@ -127,7 +127,7 @@ def features_as_of(snapshot: DataFrame, cuts: Cuts = None) -> DataFrame:
     """
     chunked = _chunked(snapshot, "UTC", cuts)
     stored = Running("_stored", F.struct(*SNAPSHOT), how="last", prior=True)
-    out = running(chunked, KEYS, CHUNK, ORDER, [stored])
+    out = running(chunked, KEYS, chunks(cuts, *CHUNK), ORDER, [stored])
     payload = [c for c in snapshot.columns if c not in SNAPSHOT]
     return out.select(*payload, *[F.col(f"_stored.{c}").alias(c) for c in SNAPSHOT])
 

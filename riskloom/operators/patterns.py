@@ -12,18 +12,20 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import Running, running, with_slot
+from ..functions.scan import Running, chunks, running, with_slot
 from .common import first_per
 
 KEY = "account_no"
 TS = "event_time"
 ORDER = [TS, "event_id"]
+#: Failures of an account that are stored together as evidence.
+EVIDENCE_CHUNK = 64
 
 
-def _following(df: DataFrame, marks: dict[str, Column]) -> DataFrame:
+def _following(df: DataFrame, marks: dict[str, Column], chunk: Sequence[str]) -> DataFrame:
     """Add for each mark the nearest later row of the account that carries it."""
     values = [Running(name, mark, how="last", prior=True) for name, mark in marks.items()]
-    return running(df, [KEY], ["_slot"], ORDER, values, descending=True)
+    return running(df, [KEY], chunk, ORDER, values, descending=True)
 
 
 def _inside(first: str, last: str, within: timedelta):
@@ -42,7 +44,7 @@ def probe_then_large(
         (F.col("amount_minor") <= probe) | (F.col("amount_minor") >= large)
     )
     mark = F.when(F.col("amount_minor") >= large, F.struct(*ORDER, "amount_minor", "source_id", "txn_id"))
-    found = _following(with_slot(slim, TS, "_slot", cuts), {"next_large": mark})
+    found = _following(with_slot(slim, TS, "_slot", cuts), {"next_large": mark}, chunks(cuts, "_slot"))
     return (
         found.filter((F.col("amount_minor") <= probe) & F.col("next_large").isNotNull())
         .select(
@@ -76,16 +78,18 @@ def failed_then_success(
     """
     slim = with_slot(txn.select(KEY, *ORDER, "status", "source_id", "txn_id"), TS, "_slot", cuts)
     failed = F.col("status") == "FAILED"
-    counted = running(slim, [KEY], ["_slot"], ORDER, [Running("failures_so_far", failed.cast("bigint"))])
+    chunk = chunks(cuts, "_slot")
+    counted = running(slim, [KEY], chunk, ORDER, [Running("failures_so_far", failed.cast("bigint"))])
     marks = {
         "run_end": F.when(~failed, F.struct(*ORDER, "failures_so_far")),
         "next_success": F.when(F.col("status") == "SUCCESS", F.struct(*ORDER, "source_id", "txn_id")),
     }
-    found = _following(counted, marks).filter(failed & F.col("next_success").isNotNull())
+    found = _following(counted, marks, chunk).filter(failed & F.col("next_success").isNotNull())
     starts = found.select(
         KEY,
         F.col("event_id").alias("first_event_id"),
         F.col(TS).alias("first_time"),
+        F.col("failures_so_far").alias("first_number"),
         (F.col("run_end.failures_so_far") - F.col("failures_so_far") + 1).alias("failure_count"),
         F.col("next_success.event_id").alias("success_event_id"),
         F.col(f"next_success.{TS}").alias("success_time"),
@@ -106,20 +110,26 @@ def expand_matches(matches: DataFrame, min_failures: int = 3) -> DataFrame:
     return matches.withColumn("failure_count", F.explode(F.sequence(F.lit(min_failures).cast("bigint"), "failure_count"))).drop("match_count")
 
 
-def run_evidence(matches: DataFrame, every_failure: DataFrame) -> DataFrame:
+def run_evidence(matches: DataFrame, every_failure: DataFrame, chunk: int = EVIDENCE_CHUNK) -> DataFrame:
     """Add ``related_event_ids`` to each match of ``failed_then_success``: every failure of its run from the first one
     on, then the success, in order.
 
-    ``every_failure`` is ``failed_then_success`` over the same window with ``min_failures=1``: one row per
-    failure that a success follows. They are listed once per success and each match takes its part, so no pairs of
-    failures are formed; the window bounds a list.
+    An account's failures are numbered, so a match refers to its evidence by ``first_number`` and ``failure_count``.
+    ``every_failure`` is ``failed_then_success`` over the same window with ``min_failures=1``: one row per failure that a
+    success follows. Failures are stored once, in chunks of ``chunk`` numbers; a match is joined to the chunks that
+    its range of numbers meets and takes its part of each. No row ever holds a run beyond the match's own evidence.
     """
-    group = [KEY, "success_event_id"]
-    listed = every_failure.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("first_time", "first_event_id"))).alias("run"))
-    own = F.filter("run", lambda e: e >= F.struct("first_time", "first_event_id"))
-    taken = F.transform(F.slice(own, F.lit(1), F.col("failure_count").cast("int")), lambda e: e["first_event_id"])
-    joined = matches.join(listed, group)
-    return joined.withColumn("related_event_ids", F.concat(taken, F.array("success_event_id"))).drop("run")
+    number = F.col("first_number")
+    stored = every_failure.groupBy(KEY, F.floor(number / chunk).alias("_chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("first_number", "first_event_id"))).alias("_held")
+    )
+    last = number + F.col("failure_count") - 1
+    asked = matches.withColumn("_chunk", F.explode(F.sequence(F.floor(number / chunk), F.floor(last / chunk))))
+    own = F.filter("_held", lambda e: (e["first_number"] >= number) & (e["first_number"] <= last))
+    parts = asked.join(stored, [KEY, "_chunk"]).withColumn("_ids", F.transform(own, lambda e: e["first_event_id"]))
+    per_match = parts.groupBy(*matches.columns).agg(F.sort_array(F.collect_list(F.struct("_chunk", "_ids"))).alias("_parts"))
+    ids = F.flatten(F.transform("_parts", lambda p: p["_ids"]))
+    return per_match.withColumn("related_event_ids", F.concat(ids, F.array("success_event_id"))).drop("_parts")
 
 
 def signals(probes: DataFrame, failures: DataFrame) -> DataFrame:
@@ -150,6 +160,13 @@ def signals(probes: DataFrame, failures: DataFrame) -> DataFrame:
     return with_signal_ids(a.unionByName(b))
 
 
+def detections(probes: DataFrame, failures: DataFrame) -> DataFrame:
+    """Type, account and time of every signal, without evidence."""
+    a = probes.select(F.lit("PROBE_THEN_LARGE").alias("signal_type"), KEY, F.col("large_time").alias("detected_at"))
+    b = failures.select(F.lit("FAILED_THEN_SUCCESS").alias("signal_type"), KEY, F.col("success_time").alias("detected_at"))
+    return a.unionByName(b)
+
+
 def with_signal_ids(parts: DataFrame) -> DataFrame:
     """Put the id, a hash of the signal's type, account and events, and the severity in front."""
     ids = F.sha2(F.concat_ws("|", "signal_type", KEY, F.concat_ws("|", "related_event_ids")), 256)
@@ -157,6 +174,7 @@ def with_signal_ids(parts: DataFrame) -> DataFrame:
 
 
 def signal_summary(signals: DataFrame) -> DataFrame:
-    """Signals per type, account and UTC day."""
+    """Signals per type, account and UTC day. Only type, account and time are read, so rows from ``detections`` do as well
+    as signals with their evidence."""
     day = F.to_date("detected_at").alias("signal_date")
     return signals.groupBy("signal_type", KEY, day).agg(F.count(F.lit(1)).alias("signals"))

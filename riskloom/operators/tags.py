@@ -15,7 +15,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scan import Running, running, with_slot
+from ..functions.scan import Running, chunks, running, with_slot
 from ..functions.text import non_blank
 from .common import first_per
 
@@ -162,7 +162,7 @@ def fast_in_out(
     moved = flows.filter(F.col("signed_amount") != 0).withColumn("_leg", F.when(incoming, 0).otherwise(1))
     rows = with_slot(moved, TS, "_slot", cuts)
     last_in = Running("_last_in", F.when(incoming, F.col(TS)), how="max")
-    out = running(rows, [key], ["_slot"], [TS, "_leg", "event_id"], [last_in]).filter(~incoming)
+    out = running(rows, [key], chunks(cuts, "_slot"), [TS, "_leg", "event_id"], [last_in]).filter(~incoming)
     fast = F.coalesce(F.col(TS) - F.col("_last_in") <= F.lit(within), F.lit(False))
     paid = -F.col("signed_amount")
     return out.groupBy(key).agg((F.sum(F.when(fast, paid).otherwise(0)) / F.sum(paid)).alias("fast_in_out_ratio"))
@@ -172,14 +172,14 @@ def network_change(df: DataFrame, key: str, cuts: Sequence[float] | None = None)
     """Add ``geo_anomaly``: the network prefix differs from that of the previous event."""
     prefix = F.substring_index("ip", ".", 2)
     rows = with_slot(df.withColumn("_prefix", prefix), TS, "_slot", cuts)
-    out = running(rows, [key], ["_slot"], [TS, "event_id"], [Running("_before", F.col("_prefix"), how="last", prior=True)])
+    out = running(rows, [key], chunks(cuts, "_slot"), [TS, "event_id"], [Running("_before", F.col("_prefix"), how="last", prior=True)])
     return out.select(*df.columns, F.coalesce(F.col("_prefix") != F.col("_before"), F.lit(False)).alias("geo_anomaly"))
 
 
 def trend(df: DataFrame, key: str, as_of: Column, period: int = 7, cuts: Sequence[float] | None = None) -> DataFrame:
     """Gaps between events, slope of the amount over days, and the last period against the one before."""
     rows = with_slot(df, TS, "_slot", cuts)
-    spaced = running(rows, [key], ["_slot"], [TS, "event_id"], [Running("_before", F.col(TS), how="last", prior=True)])
+    spaced = running(rows, [key], chunks(cuts, "_slot"), [TS, "event_id"], [Running("_before", F.col(TS), how="last", prior=True)])
     gap = F.unix_seconds(TS) - F.unix_seconds("_before")
     day = F.datediff(F.to_date(TS), as_of).cast("double")
     yuan = F.col("amount_minor") / 100.0

@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ..functions.scan import by_weight
 from ..operators import features
 from ..operators.snapshots import window_counts
 from ..sources import tables
@@ -43,7 +44,7 @@ def dedup_events(spark, sf):
 
 @query("feat_daily_running", f"WITH {TXN}, {FEAT} SELECT event_id, daily_amount, daily_count FROM feat")
 def feat_daily_running(spark, sf):
-    out = features.daily_running(tables.transactions(spark, sf), cuts=tables.event_cuts(spark, sf))
+    out = by_weight(tables.transactions(spark, sf), "account_no", "event_time", lambda txn, cuts: features.daily_running(txn, cuts=cuts))
     return out.select("event_id", "daily_amount", "daily_count")
 
 
@@ -69,13 +70,13 @@ def feat_device_new(spark, sf):
 @query("feat_known_devices", f"WITH {TXN}, {FEAT} SELECT event_id, known_device_count FROM feat")
 def feat_known_devices(spark, sf):
     txn = tables.transactions(spark, sf).select("event_id", "account_no", "device_id", "event_time")
-    return features.distinct_running(txn, "device_id", "known_device_count", tables.event_cuts(spark, sf)).select("event_id", "known_device_count")
+    return by_weight(txn, "account_no", "event_time", lambda rows, cuts: features.distinct_running(rows, "device_id", "known_device_count", cuts)).select("event_id", "known_device_count")
 
 
 @query("feat_unique_counterparties", f"WITH {TXN}, {FEAT} SELECT event_id, unique_counterparty_count FROM feat")
 def feat_unique_counterparties(spark, sf):
     txn = tables.transactions(spark, sf).select("event_id", "account_no", "counterparty", "event_time")
-    out = features.distinct_running(txn, "counterparty", "unique_counterparty_count", tables.event_cuts(spark, sf))
+    out = by_weight(txn, "account_no", "event_time", lambda rows, cuts: features.distinct_running(rows, "counterparty", "unique_counterparty_count", cuts))
     return out.select("event_id", "unique_counterparty_count")
 
 

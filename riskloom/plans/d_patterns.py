@@ -6,7 +6,9 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ..functions.scan import by_weight
 from ..operators import patterns
+from ..session import materialize
 from ..sources import tables
 from .oracle import TXN
 from .registry import query
@@ -52,17 +54,23 @@ signal AS (
   FROM failures JOIN evidence USING (account_no, first_event_id))"""
 
 
+def by_account(spark, sf, scan):
+    return by_weight(tables.transactions(spark, sf), "account_no", "event_time", scan)
+
+
 def probes(spark, sf):
-    return patterns.probe_then_large(tables.transactions(spark, sf), PROBE, LARGE, timedelta(hours=24), tables.event_cuts(spark, sf))
+    return by_account(spark, sf, lambda txn, cuts: patterns.probe_then_large(txn, PROBE, LARGE, timedelta(hours=24), cuts))
 
 
 def failures(spark, sf, least=3):
-    return patterns.failed_then_success(tables.transactions(spark, sf), least, timedelta(hours=72), cuts=tables.event_cuts(spark, sf))
+    return by_account(spark, sf, lambda txn, cuts: patterns.failed_then_success(txn, least, timedelta(hours=72), cuts=cuts))
 
 
 def signals(spark, sf):
-    runs = patterns.run_evidence(failures(spark, sf), failures(spark, sf, 1))
-    return patterns.signals(probes(spark, sf), runs)
+    # one scan gives all failures; those of runs long enough are the matches
+    every = materialize(failures(spark, sf, 1), "failures")
+    matches = every.filter(F.col("failure_count") >= 3).withColumn("match_count", F.col("failure_count") - 2)
+    return patterns.signals(probes(spark, sf), patterns.run_evidence(matches, every))
 
 
 @query(
@@ -99,5 +107,5 @@ def risk_signals(spark, sf):
       count(*) AS signals FROM signal GROUP BY 1, 2, 3""",
 )
 def risk_signal_daily(spark, sf):
-    daily = patterns.signal_summary(signals(spark, sf))
+    daily = patterns.signal_summary(patterns.detections(probes(spark, sf), failures(spark, sf)))
     return daily.withColumn("signal_date", F.col("signal_date").cast("string"))

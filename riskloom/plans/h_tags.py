@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ..functions.scan import by_weight
 from ..operators import graph, tags
 from ..operators.features import latest_features
 from ..sources import tables
@@ -160,7 +161,8 @@ def tags_net_flow(spark, sf):
       FROM o WHERE amount < 0 GROUP BY 1""",
 )
 def tags_fast_in_out(spark, sf):
-    return tags.fast_in_out(tables.flows(tables.transactions(spark, sf)), within=timedelta(hours=2), cuts=tables.event_cuts(spark, sf))
+    flows = tables.flows(tables.transactions(spark, sf))
+    return by_weight(flows, "account", "event_time", lambda rows, cuts: tags.fast_in_out(rows, within=timedelta(hours=2), cuts=cuts))
 
 
 @query(
@@ -170,7 +172,8 @@ def tags_fast_in_out(spark, sf):
 )
 def tags_ip_change(spark, sf):
     txn = tables.transactions(spark, sf).select("event_id", "account_no", "event_time", "ip")
-    return tags.network_change(txn, "account_no", tables.event_cuts(spark, sf)).select("event_id", "geo_anomaly")
+    changes = by_weight(txn, "account_no", "event_time", lambda rows, cuts: tags.network_change(rows, "account_no", cuts))
+    return changes.select("event_id", "geo_anomaly")
 
 
 GROUPS_SQL = """
@@ -244,7 +247,8 @@ def graph_two_hop(spark, sf):
 )
 def tags_trend(spark, sf):
     txn = tables.transactions(spark, sf).select("event_id", "account_no", "event_time", "amount_minor")
-    return tags.trend(txn, "account_no", ts(TXN_AS_OF), cuts=tables.event_cuts(spark, sf)).withColumn("amount_slope", F.round("amount_slope", 4))
+    trends = by_weight(txn, "account_no", "event_time", lambda rows, cuts: tags.trend(rows, "account_no", ts(TXN_AS_OF), cuts=cuts))
+    return trends.withColumn("amount_slope", F.round("amount_slope", 4))
 
 
 @query(

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scan import time_cuts
 from ..session import prepare
 
 
@@ -51,12 +48,6 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions_from_events(table(spark, sf_dir, "events"))
 
 
-def event_cuts(spark: SparkSession, sf_dir: str, window: timedelta | None = None) -> list[float]:
-    """Time cuts of the transactions, read from the time column alone."""
-    times = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("event_time"))
-    return time_cuts(times, "event_time", window=window)
-
-
 def flows(txn: DataFrame) -> DataFrame:
     """Two legs per transfer: out of the account, and into the counterparty where there is one."""
     out = txn.select(

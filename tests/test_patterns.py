@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from riskloom.functions.scan import time_cuts
+from riskloom.functions.scan import by_weight, time_cuts
 from riskloom.operators import patterns
 
 T0 = datetime(2026, 7, 22, 1)
@@ -109,3 +109,45 @@ def test_signal_names_every_failure_of_its_run(txn):
         "e3": ["e3", "e4", "e5", "e6", "e8"],
         "e4": ["e4", "e5", "e6", "e8"],
     }
+
+
+@pytest.mark.parametrize("chunk", [2, 64])
+def test_evidence_is_fetched_by_ranges_of_numbers(txn, chunk):
+    rnd = random.Random(9)
+    events = [(f"e{i:03d}", rnd.choice("aab"), T0 + timedelta(seconds=20 * i), rnd.choice(["FAILED"] * 6 + ["SUCCESS", "UNKNOWN"])) for i in range(150)]
+    df = txn([(e, a, t.isoformat(), 1, None, None, s) for e, a, t, s in events])
+    matches, every = patterns.failed_then_success(df), patterns.failed_then_success(df, 1)
+    got = {r.first_event_id: r.related_event_ids for r in patterns.run_evidence(matches, every, chunk).collect()}
+    expected = {}
+    for first, length, success in brute_force(events, timedelta(minutes=30)):
+        account = next(e[1] for e in events if e[0] == first)
+        own = [e[0] for e in events if e[1] == account and e[0] >= first and e[3] == "FAILED"]
+        if length >= len(expected.get(first, [])):
+            expected[first] = [*own[:length], success]
+    assert got == expected and got
+
+
+def test_summary_needs_no_evidence(txn):
+    df = statuses(txn, "FFFFSFFFS")
+    probes, failures = patterns.probe_then_large(df), patterns.failed_then_success(df)
+    daily = patterns.signal_summary(patterns.detections(probes, failures))
+    full = patterns.signal_summary(patterns.signals(probes, patterns.run_evidence(failures, patterns.failed_then_success(df, 1))))
+    assert daily.collect() == full.collect() and daily.first().signals == 3
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_heavy_accounts_alone_are_cut(txn):
+    rnd = random.Random(10)
+    events = [(f"e{i:03d}", rnd.choice("aaab"), T0 + timedelta(seconds=30 * i), rnd.choice(["FAILED"] * 4 + ["SUCCESS"])) for i in range(120)]
+    df = txn([(e, a, t.isoformat(), 1, None, None, s) for e, a, t, s in events])
+    seen = []
+
+    def scan(rows, cuts):
+        seen.append((sorted({r.account_no for r in rows.select("account_no").collect()}), len(cuts)))
+        return patterns.failed_then_success(rows, cuts=cuts)
+
+    found = by_weight(df, "account_no", "event_time", scan, target_rows=55)
+    got = sorted((r.first_event_id, r.failure_count, r.success_event_id) for r in patterns.expand_matches(found).collect())
+    assert got == brute_force(events, timedelta(minutes=30))
+    assert seen[0] == (["b"], 0) and seen[1][0] == ["a"] and seen[1][1] > 0
