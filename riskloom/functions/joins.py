@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 TARGET_ROWS = 2_000_000
 
 
+def heavy_salts(counts: DataFrame, on: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+    """The keys with more than ``target_rows`` rows, from a count ``_rows`` per key, with the salts each needs."""
+    salts = F.ceil(F.col("_rows") / target_rows).cast("int").alias("_salts")
+    return counts.filter(F.col("_rows") > target_rows).select(*on, salts)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -18,16 +24,22 @@ def salted_join(
     spread_by: Sequence[str],
     how: str = "inner",
     target_rows: int = TARGET_ROWS,
+    heavy: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join a left side that may have hot keys to a right side that has one row per key.
 
     The rows per key are counted first (with partial sums, so a hot key does not travel). Without a key
     above ``target_rows`` this is a plain join, and the planner may broadcast. Otherwise the rows of
     every heavy key are spread over as many salts as it has targets, by a hash of ``spread_by``, and only
-    the right rows of heavy keys are repeated. ``how`` is inner, left, left_semi or left_anti.
+    the right rows of heavy keys are repeated. ``how`` is inner, left, left_semi or left_anti. A caller that has
+    counted already passes ``heavy`` (``heavy_salts``), and the left side is not read for it; one that knows
+    the left side's ``rows`` saves the count by key where they are below the target.
     """
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = counts.filter(F.col("_rows") > target_rows).select(*on, F.ceil(F.col("_rows") / target_rows).cast("int").alias("_salts"))
+    if rows is not None and rows <= target_rows:
+        return left.join(right, list(on), how)
+    if heavy is None:
+        heavy = heavy_salts(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), on, target_rows)
     if heavy.isEmpty():
         return left.join(right, list(on), how)
     # at most one heavy key per target_rows rows, so this side is small beside either input

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import salted_join
+from ..functions.joins import heavy_salts, salted_join
 from ..functions.text import is_blank
-from ..session import enable_checkpoints
+from ..session import discard, materialize
 
 
 def device_edges(txn: DataFrame) -> DataFrame:
@@ -16,38 +19,94 @@ def device_edges(txn: DataFrame) -> DataFrame:
     return seen.select("account_no", "device_id").distinct()
 
 
-def _nearest(edges: DataFrame, labels: DataFrame, by: str, to: str) -> DataFrame:
-    """The smallest label among the ``by`` neighbours of each ``to`` node. ``by`` nodes with very many
-    edges are spread over salts, and the minimum is taken before the shuffle."""
-    return salted_join(edges, labels, [by], [to]).groupBy(to).agg(F.min("label").alias("label"))
+def _turn(round_number: int) -> int:
+    """Bits that turn the order of the node ids; any fixed sequence of mixed bits does."""
+    return int.from_bytes(hashlib.sha256(str(round_number).encode()).digest()[:8], "big", signed=True)
+
+
+@dataclass
+class Contraction:
+    """Where a contraction ended: a stored table ``u``, ``p`` of nodes and their roots, and the number of edges before each round."""
 
+    stored: DataFrame
+    edges: list[int]
 
-def shared_device_groups(txn: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Connected groups of accounts that share devices, named by their smallest account.
+    @property
+    def roots(self) -> DataFrame:
+        return self.stored.select(F.col("u").alias("node"), F.col("p").alias("root"))
 
-    Labels travel account -> device -> account; besides, every account adopts the label its own
-    label has (pointer jumping), so long chains need few rounds. Rounds end when no label changes.
+
+def contract(edges: DataFrame, max_rounds: int = 200) -> Contraction:
+    """Contract the components of an undirected graph, given as edges ``u``, ``v`` of 64-bit node ids, to one node each.
+
+    In each round every node goes into the smallest of itself and its neighbours. Edges are renamed to these nodes,
+    and what became equal or a loop is dropped, so edges shrink from round to round; the order of the ids is
+    turned each time, so long chains lose a fixed share of their nodes per round, and rounds grow with the
+    logarithm of the longest chain. The renamings are then composed backwards. Minima are taken before
+    the shuffle; nodes with very many edges are spread when the edges are renamed. Nodes without edges do not appear.
     """
-    spark = txn.sparkSession
-    enable_checkpoints(spark)
-    edges = device_edges(txn).checkpoint()
-    labels = edges.select("account_no").distinct().withColumn("label", F.col("account_no")).checkpoint()
-    for _ in range(max_rounds):
-        devices = _nearest(edges, labels, "account_no", "device_id")
-        pulled = _nearest(edges, devices, "device_id", "account_no")
-        # an account may take over the label its label has by now
-        jump = pulled.select(F.col("account_no").alias("label"), F.col("label").alias("further"))
-        moved = (
-            salted_join(pulled, jump, ["label"], ["account_no"], "left")
-            .select("account_no", F.least("label", "further").alias("label"))
-            .checkpoint()
-        )
-        changed = moved.join(labels.withColumnRenamed("label", "before"), "account_no").filter(F.col("label") != F.col("before"))
-        done = changed.isEmpty()
-        labels = moved
-        if done:
-            return labels.select("account_no", F.col("label").alias("group_id"))
-    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
+    spark = edges.sparkSession
+    current = materialize(_tidy(edges), "edges-0")
+    counts, moves = [current.count()], []
+    while counts[-1]:
+        if len(moves) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        turn = F.lit(_turn(len(moves)))
+        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        nearest = both.groupBy("u").agg(F.min(F.col("v").bitwiseXOR(turn)).alias("m"), F.count(F.lit(1)).alias("_rows"))
+        into = F.least(F.col("m"), F.col("u").bitwiseXOR(turn)).bitwiseXOR(turn)
+        move = materialize(nearest.select("u", into.alias("p"), "_rows"), f"moves-{len(moves)}")
+        heavy, to = heavy_salts(move.select("u", "_rows"), ["u"]), move.select("u", "p")
+        renamed = salted_join(current, to, ["u"], ["v"], heavy=heavy, rows=counts[-1]).select("v", F.col("p").alias("a"))
+        other, heavy = to.select(F.col("u").alias("v"), F.col("p").alias("b")), heavy.withColumnRenamed("u", "v")
+        renamed = salted_join(renamed, other, ["v"], ["a"], heavy=heavy, rows=counts[-1]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        following = materialize(_tidy(renamed), f"edges-{len(moves) + 1}")
+        discard(current)
+        moves.append(move)
+        current = following
+        counts.append(current.count())
+    if not moves:
+        return Contraction(current.select("u", F.col("v").alias("p")), counts)
+    final = moves.pop()
+    for k, move in enumerate(reversed(moves)):
+        further = final.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        composed = salted_join(move.select("u", "p"), further, ["p"], ["u"], "left", rows=counts[len(moves) - k - 1] * 2).select("u", F.coalesce("q", "p").alias("p"))
+        composed = materialize(composed, f"roots-{k}")
+        discard(final)
+        discard(move)
+        final = composed
+    discard(current)
+    return Contraction(final, counts)
+
+
+def _tidy(edges: DataFrame) -> DataFrame:
+    """Each edge once, the smaller end first, no loops."""
+    return edges.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def shared_device_groups(txn: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Connected groups of accounts that share devices, named by their smallest account."""
+    pairs = materialize(device_edges(txn), "device-edges")
+    sides = {"account_no": 0, "device_id": 1}
+
+    def named(column: str) -> DataFrame:
+        # a count makes ids unique, and a one-to-one hash of it puts them in no particular order
+        nodes = pairs.select(column).distinct()
+        number = F.monotonically_increasing_id() * 2 + sides[column]
+        return materialize(nodes.select(column, F.xxhash64(number).alias(f"{column}_node")), f"nodes-{column}")
+
+    accounts, devices, rows = named("account_no"), named("device_id"), pairs.count()
+    edges = salted_join(pairs, accounts, ["account_no"], ["device_id"], rows=rows)
+    edges = salted_join(edges, devices, ["device_id"], ["account_no"], rows=rows)
+    found = contract(edges.select(F.col("account_no_node").alias("u"), F.col("device_id_node").alias("v")), max_rounds)
+    # every account has a device, so every account has a root
+    rooted = accounts.join(found.roots, F.col("account_no_node") == F.col("node")).select("account_no", "root")
+    least = rooted.groupBy("root").agg(F.min("account_no").alias("group_id"))
+    groups = salted_join(rooted, least, ["root"], ["account_no"], rows=rows).select("account_no", "group_id")
+    out = materialize(groups, "account-groups")
+    for used in (pairs, accounts, devices, found.stored):
+        discard(used)
+    return out
 
 
 def gang_risk(groups: DataFrame, txn: DataFrame, labels: DataFrame, density: float = 0.05, min_accounts: int = 2) -> DataFrame:

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of the intermediate tables that ``materialize`` has made in this process.
+_MADE: list[str] = []
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the session options the operators rely on: event times are UTC instants."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -45,4 +49,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     often it is used, and a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _MADE.append(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete an intermediate table once nothing reads it any more; other frames are left alone."""
+    path = getattr(stored, "_stored_at", None)
+    if path in _MADE:
+        _MADE.remove(path)
+        _delete(stored.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all intermediate tables that this process has made and not discarded; returns their number.
+
+    For the end of a job: results that still read them are gone then, unless they have been written elsewhere.
+    """
+    count = len(_MADE)
+    while _MADE:
+        _delete(spark, _MADE.pop())
+    return count

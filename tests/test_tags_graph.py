@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from riskloom import session
 from riskloom.functions.joins import salted_join
 from riskloom.functions.scan import time_cuts, value_ranges
 from riskloom.operators import graph, tags
@@ -46,6 +48,22 @@ def test_groups_of_random_edges(spark):
     assert out == components(pairs)
 
 
+def test_contraction_shrinks_and_takes_few_rounds(spark):
+    """A chain of 3,000 nodes and a star: rounds follow the logarithm, edges fall in every round, no table stays but the result."""
+    chain = [(i, i + 1) for i in range(3000)]
+    star = [(10_000, 20_000 + i) for i in range(500)]
+    before = len(session._MADE)
+    edges = spark.createDataFrame(chain + star, "u long, v long")
+    spread = edges.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))
+    found = graph.contract(spread)
+    sizes = [r["n"] for r in found.roots.groupBy("root").agg(F.count("*").alias("n")).collect()]
+    assert sorted(sizes) == [501, 3001]
+    assert len(found.edges) <= 2 * math.log2(3000) and found.edges[-1] == 0
+    assert all(b < a for a, b in zip(found.edges, found.edges[1:]))
+    assert len(session._MADE) - before == 1
+    assert graph.contract(spread.limit(0)).roots.count() == 0
+
+
 def test_hops_from_seeds(spark):
     pairs = [("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("c", "3"), ("d", "3"), ("e", "9")]
     edges = graph.device_edges(edges_txn(spark, pairs))
