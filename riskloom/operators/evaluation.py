@@ -7,19 +7,51 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scan import Running, chunks, running, value_cuts, value_ranges
 from ..session import materialize
+from ..sources.versioned import read_version, upsert
 
 MODEL = "model"
 
 
+def score_counts(scored: DataFrame) -> DataFrame:
+    """Positives and negatives per model and distinct score: all that the ranking metrics need, and it adds up."""
+    positive = (F.col("label") == 1).cast("bigint")
+    return scored.groupBy(MODEL, "score").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
+
+
+def merged_counts(stored: DataFrame, increment: DataFrame) -> DataFrame:
+    """The counts of two disjoint sets of scored rows together."""
+    return stored.unionByName(increment).groupBy(MODEL, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def update_counts(spark: SparkSession, path: str, scored: DataFrame, batch: tuple[str, int]) -> None:
+    """Add newly scored rows to a stored table of counts, bucketed by model and score.
+
+    Only the buckets of the scores that occur are rewritten; a batch that is delivered again adds nothing.
+    """
+    increment = materialize(score_counts(scored), "score-increment")
+    stored = read_version(spark, path)
+    if stored is not None:
+        held = stored.join(increment.select(MODEL, "score"), [MODEL, "score"], "left_semi")
+        increment = merged_counts(held, increment)
+    upsert(spark, path, increment, [MODEL, "score"], ["pos", "neg"], batch=batch)
+
+
+def metrics(counts: DataFrame, limit: float = 0.01) -> DataFrame:
+    """All ranking metrics per model from its counts, in one pass."""
+    return accumulated(counts).groupBy(MODEL).agg(_auc().alias("auc"), _ks().alias("ks"), _recall_at(limit).alias("recall_at_fpr"))
+
+
 def cumulative(scored: DataFrame) -> DataFrame:
     """Per model and distinct score: counts of both classes at it, up to it, and in all."""
-    positive = (F.col("label") == 1).cast("bigint")
-    counts = scored.groupBy(MODEL, "score").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
+    return accumulated(score_counts(scored))
+
+
+def accumulated(counts: DataFrame) -> DataFrame:
     counts = materialize(counts, "score-counts")
     cuts = value_cuts(counts, "score")
     ranged = value_ranges(counts, "score", "_range", cuts=cuts)
@@ -88,12 +120,11 @@ def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 def report(scored: DataFrame, threshold: float = 0.5, limit: float = 0.01) -> DataFrame:
     """All metrics per model and the release gate: every metric finite, auc from 0.5 to 1."""
     scored = materialize(scored.select(MODEL, "label", "score"), "scores")
-    ranked = cumulative(scored).groupBy(MODEL).agg(_auc().alias("auc"), _ks().alias("ks"), _recall_at(limit).alias("recall_at_fpr"))
-    joined = ranked.join(confusion(scored, threshold), MODEL)
-    metrics = ["auc", "ks", "recall_at_fpr", "precision", "recall"]
+    joined = metrics(score_counts(scored), limit).join(confusion(scored, threshold), MODEL)
+    shown = ["auc", "ks", "recall_at_fpr", "precision", "recall"]
 
     def finite(c: str) -> Column:
         return F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
 
-    passed = reduce(lambda a, b: a & b, [finite(c) for c in metrics]) & F.col("auc").between(0.5, 1.0)
+    passed = reduce(lambda a, b: a & b, [finite(c) for c in shown]) & F.col("auc").between(0.5, 1.0)
     return joined.withColumn("gate_passed", passed)

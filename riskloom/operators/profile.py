@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import salted_join
 from ..functions.text import non_blank
-from ..sources.versioned import upsert
+from ..session import discard, materialize
+from ..sources.versioned import PART, part_name, parts_of, read_version, replace_parts, upsert, version
 from .facts import KEYS
 
 WINDOW = timedelta(days=90)
@@ -81,13 +83,75 @@ def _completed(customers: DataFrame, stats: DataFrame, frauds: DataFrame, as_of:
 def profile_90d(
     facts: DataFrame, labels: DataFrame, watermark: Column, as_of: Column, zone: str = "UTC", exact: bool = False
 ) -> DataFrame:
-    """Profiles of the affected customers. The facts are aggregated before they meet the customer list,
-    so a busy customer is shuffled as a few partial rows."""
-    recent = window_facts(facts, as_of)
+    """Profiles of the affected customers. Only their facts are aggregated, and these as partial rows before they are
+    shuffled, so a busy customer costs no more than any other."""
+    customers = affected_customers(facts, labels, watermark, as_of)
+    recent = salted_join(window_facts(facts, as_of), customers, ["customer_id"], KEYS, "left_semi")
     distinct = F.count_distinct(F.col("counterparty_id")) if exact else F.approx_count_distinct("counterparty_id")
     recency = F.datediff(as_of, F.max(F.to_date("event_time")))
     stats = _aggregate(recent, as_of, zone, distinct, recency)
-    customers = affected_customers(facts, labels, watermark, as_of)
+    return _completed(customers, stats, _fraud_counts(recent, labels), as_of)
+
+
+#: What a partial holds beside customer, day and counterparty; all of it adds up or is a maximum.
+PARTIAL = ["amount", "txns", "nights", "latest"]
+
+
+def daily_partials(facts: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Facts summed by customer, UTC day and counterparty: rows that can be merged into profiles of any run of days."""
+    return facts.groupBy("customer_id", F.to_date("event_time").alias("day"), "counterparty_id").agg(
+        F.sum("amount_minor").alias("amount"),
+        F.count(F.lit(1)).alias("txns"),
+        F.count_if(night(F.col("event_time"), zone)).alias("nights"),
+        F.max("event_time").alias("latest"),
+    )
+
+
+def write_partials(spark: SparkSession, path: str, facts: DataFrame, zone: str = "UTC") -> None:
+    """Put the partials of some days into a versioned table with a part per day.
+
+    ``facts`` are all facts of these days; days that are stored already are replaced, others are left as they are.
+    """
+    rows = daily_partials(facts, zone).withColumn(PART, part_name(F.col("day")))
+    rows = materialize(rows, "profile-partials")
+    replace_parts(rows, path, version(spark, path), parts_of(rows))
+    discard(rows)
+
+
+def profile_90d_partials(
+    spark: SparkSession, path: str, facts: DataFrame, labels: DataFrame, watermark: Column, as_of: Column, zone: str = "UTC"
+) -> DataFrame:
+    """``profile_90d`` with exact distinct counts, from stored partials.
+
+    Whole days of the window are read from their parts, of affected customers only; the facts themselves are
+    read for the days that the window's ends cut. From one day to the next a window thus adds the parts of
+    one day and drops those of another.
+    """
+    end = spark.range(1).select(_seconds(as_of)).first()[0]
+    start = end - WINDOW
+    midnight = datetime(start.year, start.month, start.day)
+    first = midnight if start == midnight else midnight + timedelta(days=1)
+    whole = [first.date() + timedelta(days=i) for i in range((end.date() - first.date()).days)]
+    names = [r[0] for r in spark.createDataFrame([(d,) for d in whole], "d date").select(part_name(F.col("d"))).collect()]
+    stored = read_version(spark, path, parts=names)
+    t = F.col("event_time")
+    cut = (t < F.lit(first)) | (t >= F.lit(datetime(end.year, end.month, end.day)))
+    rest = daily_partials(window_facts(facts, as_of).filter(cut), zone)
+    customers = materialize(affected_customers(facts, labels, watermark, as_of), "affected")
+    rows = rest if stored is None else stored.select(*rest.columns).unionByName(rest)
+    own = salted_join(rows, customers, ["customer_id"], ["day", "counterparty_id"], "left_semi")
+    by_party = own.groupBy("customer_id", "counterparty_id").agg(
+        *[F.sum(c).alias(c) for c in PARTIAL[:3]], F.max("latest").alias("latest")
+    )
+    stats = by_party.groupBy("customer_id").agg(
+        F.sum("amount").alias("amount_90d"),
+        F.sum("txns").alias("txn_cnt_90d"),
+        F.count("counterparty_id").alias("unique_counterparty_90d"),
+        F.datediff(as_of, F.to_date(F.max("latest"))).alias("recency_days"),
+        (F.sum("nights") / F.sum("txns")).alias("night_ratio"),
+        F.max("latest").alias("profile_as_of"),
+    )
+    recent = salted_join(window_facts(facts, as_of), customers, ["customer_id"], KEYS, "left_semi")
     return _completed(customers, stats, _fraud_counts(recent, labels), as_of)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import timedelta
 from decimal import Decimal
@@ -105,6 +106,44 @@ def latency_quantiles(decisions: DataFrame, window: str = "5 minutes", probabili
     )
 
 
+def _growth(error: float) -> float:
+    return (1 + error) / (1 - error)
+
+
+def latency_sketch(decisions: DataFrame, window: str = "5 minutes", error: float = 0.01) -> DataFrame:
+    """Mergeable quantile sketches of the latencies per window: decisions per bucket of values.
+
+    Buckets grow by a fixed factor, so any value of a bucket is within the relative ``error`` of its middle; values
+    below one count as zero, in bucket null. Sketches of parts, of shorter windows or of micro-batches add up
+    (``rolled_up``). Works on tables and, with a watermark set, on streams.
+    """
+    bucket = F.when(F.col("cost_ms") >= 1, F.ceil(F.log("cost_ms") / math.log(_growth(error))).cast("int"))
+    return (
+        decisions.filter(F.col("cost_ms").isNotNull())
+        .groupBy(F.window("created_at", window), bucket.alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("decisions"))
+        .select(F.col("window.start").alias("window_start"), "bucket", "decisions")
+    )
+
+
+def rolled_up(sketch: DataFrame, window: str) -> DataFrame:
+    """Sketches of windows put together into those of longer ones, or of repeated ones."""
+    start = F.window("window_start", window)["start"].alias("window_start")
+    return sketch.groupBy(start, "bucket").agg(F.sum("decisions").alias("decisions"))
+
+
+def sketch_quantiles(sketch: DataFrame, probabilities: Sequence[float] = (0.99, 0.999), error: float = 0.01) -> DataFrame:
+    """Lower quantiles per window, each within the relative ``error``: a window has few buckets, whatever it has counted."""
+    growth, whole = _growth(error), Window.partitionBy("window_start")
+    upto = whole.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.coalesce(2 * F.pow(F.lit(growth), F.col("bucket")) / (growth + 1), F.lit(0.0))
+    counted = sketch.select("window_start", "decisions", middle.alias("_value"), F.sum("decisions").over(upto).alias("_upto"), F.sum("decisions").over(whole).alias("_all"))
+    return counted.groupBy("window_start").agg(
+        F.sum("decisions").alias("decisions"),
+        *[F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * p), F.col("_value"))).alias(f"{percent_name(p)}_ms") for p in probabilities],
+    )
+
+
 def latency_alerts(latencies: DataFrame, window: timedelta = timedelta(minutes=5), held: timedelta = timedelta(minutes=10)) -> DataFrame:
     """Add ``p99_alert`` and ``p999_alert``: the quantile is over its limit in this window and in all that
     began in the ``held`` time before it. A window without decisions ends an alert."""
@@ -160,10 +199,20 @@ def replay(outbox: DataFrame, decision_ids: DataFrame, now: Column) -> DataFrame
     newest = latest_per(wanted, ["aggregate_id"], ["created_at", "event_id"])
     new_id = F.sha2(F.concat_ws("|", "event_id", now.cast("string")), 256)
     iso = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    # only the metadata is new; unknown fields of a message would be lost, so its schema is the event's
-    event = F.from_json("payload", DECISION_EVENT)
-    metadata = event["metadata"].withField("eventId", new_id).withField("occurredAt", iso)
-    fresh = F.to_json(event.withField("metadata", metadata))
+    # only two fields of the metadata are new; all else, known to the event's schema or not, is kept as it is
+    kind = "map<string,variant>"
+    event = F.from_json("payload", kind)
+    metadata = F.from_json(F.to_json(F.struct(event["metadata"].alias("m"))), f"m {kind}")["m"]
+
+    def with_entries(held: Column, entries: dict[str, Column]) -> Column:
+        fresh = F.create_map(*[x for name, value in entries.items() for x in (F.lit(name), F.parse_json(value))])
+        return F.map_concat(F.map_filter(held, lambda k, _: ~k.isin(*entries)), fresh)
+
+    def text(value: Column) -> Column:
+        return F.concat(F.lit('"'), value, F.lit('"'))  # ids and times need no escapes
+
+    renewed = with_entries(metadata, {"eventId": text(new_id), "occurredAt": text(iso)})
+    fresh = F.to_json(with_entries(event, {"metadata": F.to_json(renewed)}))
     return newest.select(
         new_id.alias("event_id"), "aggregate_type", "aggregate_id", "topic", "message_key", fresh.alias("payload"), now.alias("created_at")
     )

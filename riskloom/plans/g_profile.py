@@ -73,6 +73,15 @@ def profile_90d(spark, sf):
     return shown(incremental(spark, sf))
 
 
+@query("profile_90d_partials", f"WITH {PROFILE} {_PROFILE_90D}")
+def profile_90d_partials(spark, sf):
+    """The daily partials are stored, those of July a second time; the profile is merged from them."""
+    path, facts = shared_path(spark, "partials"), tables.facts(spark, sf)
+    profile.write_partials(spark, path, facts.filter(F.col("event_time") >= ts("2001-04-01")))
+    profile.write_partials(spark, path, facts.filter((F.col("event_time") >= ts("2001-07-01")) & (F.col("event_time") < ts("2001-08-01"))))
+    return shown(profile.profile_90d_partials(spark, path, facts, tables.fact_labels(spark, sf), ts(WATERMARK), ts(AS_OF)))
+
+
 @query("profile_90d_approx")
 def profile_90d_approx(spark, sf):
     """The default form with sketched distinct counts; rows only."""

@@ -140,6 +140,21 @@ def stream_tumbling_totals(spark, sf):
     return found.select(F.unix_micros("window_start").alias("window_start_us"), "account_no", "amount_minor", "txn_count")
 
 
+@query(
+    "stream_session_totals",
+    f"""WITH {TXN}, g AS (SELECT *, coalesce(event_time - lag(event_time) OVER w > INTERVAL 6 HOURS, true) AS opens FROM txn WINDOW w AS (PARTITION BY account_no ORDER BY event_time)),
+      s AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY account_no ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS session FROM g)
+      SELECT epoch_us(min(event_time)) AS session_start_us, epoch_us(max(event_time) + INTERVAL 6 HOURS) AS session_end_us, account_no,
+        CAST(sum(amount_minor) AS BIGINT) AS amount_minor, count(*) AS txn_count FROM s GROUP BY account_no, session
+      HAVING max(event_time) + INTERVAL 6 HOURS <= (SELECT max(event_time) - INTERVAL 2 MINUTES FROM txn)""",
+)
+def stream_session_totals(spark, sf):
+    found = runtime.run_fresh(windows.session_totals(txn_stream(spark, sf), "6 hours"), "sessions")
+    return found.select(
+        F.unix_micros("session_start").alias("session_start_us"), F.unix_micros("session_end").alias("session_end_us"), "account_no", "amount_minor", "txn_count"
+    )
+
+
 @query(
     "stream_dead_letters",
     f"""WITH {TXN} SELECT 'dlt-transaction.v1.DLT-' || (n % 4) || '-' || (n // 4) AS event_id, account_no AS message_key, 'DEAD' AS status

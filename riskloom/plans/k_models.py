@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import drift, evaluation, features, training
-from ..session import materialize
+from ..session import materialize, shared_path
 from ..sources import tables
+from ..sources.versioned import read_version
 from .c_features import MODEL_FEATURES_SQL, as_of
 from .e_decisions import decided, records
 from .oracle import ASOF, CASE_LABEL, DECISIONS, FEAT, TXN
@@ -18,13 +19,15 @@ _SET = f"""{TXN}, {FEAT}, {ASOF}, {MODEL_FEATURES_SQL}, {CASE_LABEL}, tset AS (
   SELECT m.* EXCLUDE (event_id), CASE WHEN label = 'FRAUD' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM modelf m JOIN case_label USING (source_id, txn_id))"""
 
 
-def training_rows(spark, sf):
-    return training.training_set(features.model_features(as_of(spark, sf)).drop("event_id"), tables.case_labels(spark, sf))
+def training_rows(spark, sf, inputs=None):
+    """Labelled model inputs; ``inputs`` are those of all transactions, where they are stored already."""
+    inputs = features.model_features(as_of(spark, sf)) if inputs is None else inputs
+    return training.training_set(inputs.drop("event_id"), tables.case_labels(spark, sf))
 
 
-def trained(spark, sf):
+def trained(spark, sf, inputs=None):
     """The split training rows. The labelled set is stored once; tree building passes over the cached split."""
-    return training.prepared(materialize(training_rows(spark, sf), "training-set")).persist()
+    return training.prepared(materialize(training_rows(spark, sf, inputs), "training-set")).persist()
 
 
 @query("training_set", f"WITH {_SET} SELECT * FROM tset")
@@ -51,8 +54,8 @@ def stratified_split(spark, sf):
     return split.groupBy("label", "is_validation").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _forest(spark, sf):
-    rows = trained(spark, sf)
+def _forest(spark, sf, inputs=None):
+    rows = trained(spark, sf, inputs)
     model = training.train_forest(rows.filter(~F.col("is_validation")))
     rows.unpersist()
     return model
@@ -66,7 +69,8 @@ def forest_feature_importance(spark, sf):
 @query("model_scores")
 def model_scores(spark, sf):
     """The trained forest over every transaction."""
-    scored = training.score(_forest(spark, sf), features.model_features(as_of(spark, sf)))
+    inputs = materialize(features.model_features(as_of(spark, sf)), "model-inputs")
+    scored = training.score(_forest(spark, sf, inputs), inputs)
     return scored.select("event_id", "fraud_score")
 
 
@@ -185,6 +189,16 @@ def metric_recall_at_fpr(spark, sf):
     return _rounded(evaluation.recall_at_fpr(scored(spark, sf)), "recall_at_fpr")
 
 
+@query("metric_by_increment", f"WITH {_SCORES}, a AS ({_AUC}), k AS ({_KS}), r AS ({_RECALL}) SELECT * FROM a JOIN k USING (model) JOIN r USING (model)")
+def metric_by_increment(spark, sf):
+    """The scores arrive in three increments, the last one twice; the metrics come from the stored counts."""
+    path, rows = shared_path(spark, "score-counts"), materialize(scored(spark, sf), "scores")
+    part = F.pmod(F.xxhash64("model", "score", "label"), F.lit(3))
+    for number in (0, 1, 2, 2):
+        evaluation.update_counts(spark, path, rows.filter(part == number), ("scores", number))
+    return _rounded(evaluation.metrics(read_version(spark, path)), "auc", "ks", "recall_at_fpr")
+
+
 @query("metric_confusion", f"WITH {_SCORES} {_CONFUSION}")
 def metric_confusion(spark, sf):
     return _rounded(evaluation.confusion(scored(spark, sf)), "precision", "recall")

@@ -140,6 +140,24 @@ def latency_quantiles(spark, sf):
     return out.select(us("window_start"), "decisions", "p99_ms", "p999_ms")
 
 
+@query(
+    "latency_sketch_check",
+    f"""WITH {DECISIONS}, w AS (SELECT {_WINDOW} FROM decision GROUP BY 1) SELECT count(*) AS windows, count(*) AS p50_close, count(*) AS p99_close, count(*) AS p999_close FROM w""",
+)
+def latency_sketch_check(spark, sf):
+    """Sketches of five minutes rolled up to hours: every quantile is within one percent of the exact lower one."""
+    rows, probabilities = materialize(records(spark, sf).select("created_at", "cost_ms"), "latencies"), (0.5, 0.99, 0.999)
+    hours = views.sketch_quantiles(views.rolled_up(views.latency_sketch(rows), "1 hour"), probabilities)
+    start = F.window("created_at", "1 hour")["start"].alias("window_start")
+    names = {p: views.percent_name(p) for p in probabilities}
+    exact = rows.groupBy(start).agg(F.sort_array(F.collect_list("cost_ms")).alias("v")).select(
+        "window_start", *[F.element_at("v", F.greatest(F.ceil(F.size("v") * p), F.lit(1)).cast("int")).alias(n) for p, n in names.items()]
+    )
+    both = hours.join(exact, "window_start")
+    close = [F.count_if(F.abs(F.col(f"{n}_ms") - F.col(n)) <= F.col(n) * 0.01 + 1e-9).alias(f"{n}_close") for n in names.values()]
+    return both.agg(F.count("*").alias("windows"), *close)
+
+
 @query(
     "latency_alerts",
     f"""WITH {DECISIONS}, q AS (SELECT {_WINDOW}, quantile_cont(cost_ms, 0.99) AS p99_ms, quantile_cont(cost_ms, 0.999) AS p999_ms FROM decision GROUP BY 1)

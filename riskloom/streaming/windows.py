@@ -37,3 +37,17 @@ def tumbling_totals(txn: DataFrame, window: str = "1 hour", lateness: str = LATE
         .agg(F.sum("amount_minor").alias("amount_minor"), F.count(F.lit(1)).alias("txn_count"))
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "account_no", "amount_minor", "txn_count")
     )
+
+
+def session_totals(txn: DataFrame, gap: str = "30 minutes", lateness: str = LATENESS) -> DataFrame:
+    """Amount and count per account and session: events less than or just ``gap`` apart belong together.
+
+    A session ends ``gap`` after its last event and is given out once the watermark has passed its end. An event
+    behind the watermark is dropped, unless it falls into a session that is still open.
+    """
+    return (
+        txn.withWatermark("event_time", lateness)
+        .groupBy(F.session_window("event_time", gap), "account_no")
+        .agg(F.sum("amount_minor").alias("amount_minor"), F.count(F.lit(1)).alias("txn_count"))
+        .select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "account_no", "amount_minor", "txn_count")
+    )

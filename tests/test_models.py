@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import drift, evaluation, readmodels, training
 from riskloom.sources.schemas import MODEL_FEATURES
+from riskloom.sources.versioned import read_version
 
 
 def scored(spark, rows):
@@ -140,3 +142,53 @@ def test_trained_model_decides_and_is_validated(spark):
     )
     row = dec.decide(asked, "k", training.scorer(model), model_version="forest").first()
     assert 0 <= row.fraud_score <= 1 and row.model_version == "forest" and row.daily_amount is None
+
+
+def test_counts_of_increments_add_up(spark, tmp_path):
+    """Metrics from stored counts equal those from all rows, whatever the increments, and a repeated one adds nothing."""
+    rnd = random.Random(21)
+    rows = [(m, rnd.randrange(2), round(rnd.random(), 2)) for m in ("a", "b") for _ in range(300)]
+    everything = spark.createDataFrame(rows, "model string, label int, score double")
+    path = str(tmp_path / "counts")
+    for number, (low, high) in enumerate([(0, 100), (100, 450), (450, 600), (450, 600)]):
+        part = spark.createDataFrame(rows[low:high], everything.schema)
+        evaluation.update_counts(spark, path, part, ("scores", min(number, 2)))
+    counts = read_version(spark, path)
+    assert counts.agg({"pos": "sum"}).first()[0] + counts.agg({"neg": "sum"}).first()[0] == 600
+    got = {r.model: (r.auc, r.ks, r.recall_at_fpr) for r in evaluation.metrics(counts).collect()}
+    for model, (auc, ks, recall) in got.items():
+        own = everything.filter(F.col("model") == model)
+        assert math.isclose(auc, evaluation.auc(own).first().auc) and math.isclose(ks, evaluation.ks(own).first().ks)
+        assert math.isclose(recall, evaluation.recall_at_fpr(own).first().recall_at_fpr)
+
+
+@pytest.mark.parametrize("error", [0.01, 0.05])
+def test_sketched_quantiles_stay_within_their_error(spark, error):
+    """Sketches of five-minute windows, rolled up to hours, against the exact lower quantiles."""
+    rnd = random.Random(4)
+    rows = [(f"2026-07-22 {h:02d}:{rnd.randrange(60):02d}:00", int(rnd.lognormvariate(3, 2)) - 1) for h in range(3) for _ in range(400)]
+    df = spark.createDataFrame(rows, "created_at string, cost_ms bigint").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    fine = readmodels.latency_sketch(df, "5 minutes", error)
+    halves = [readmodels.latency_sketch(df.filter(F.pmod("cost_ms", F.lit(2)) == k), "5 minutes", error) for k in (0, 1)]
+    probabilities = (0.5, 0.99, 0.999)
+    for sketch in (fine, readmodels.rolled_up(halves[0].unionByName(halves[1]), "5 minutes")):
+        hours = readmodels.sketch_quantiles(readmodels.rolled_up(sketch, "1 hour"), probabilities, error).collect()
+        assert len(hours) == 3
+        for row in hours:
+            own = sorted(v for t, v in rows if t.startswith(row.window_start.strftime("%Y-%m-%d %H")))
+            assert row.decisions == len(own)
+            for p in probabilities:
+                exact = max(own[math.ceil(p * len(own)) - 1], 0)
+                assert abs(row[f"{readmodels.percent_name(p)}_ms"] - exact) <= error * exact + 1e-9
+
+
+def test_replay_keeps_the_whole_payload(spark):
+    payload = '{"metadata":{"eventId":"old","occurredAt":"then","schemaVersion":1,"trace":{"a":[1,2.5,null]}},"decisionId":"d1","added":{"x":"1","y":1},"big":12345678901234567890}'
+    row = (("m1", "Decision", "d1", "decision.v1", "k", payload, "2026-07-22 00:00:00"),)
+    schema = "event_id string, aggregate_type string, aggregate_id string, topic string, message_key string, payload string, created_at string"
+    wanted = spark.createDataFrame([("d1",)], "decision_id string")
+    out = readmodels.replay(spark.createDataFrame(row, schema), wanted, F.lit("2026-07-23 01:02:03").cast("timestamp")).first()
+    before, after = json.loads(payload), json.loads(out.payload)
+    assert (after["metadata"].pop("eventId"), after["metadata"].pop("occurredAt")) == (out.event_id, "2026-07-23T01:02:03.000000Z")
+    assert (before["metadata"].pop("eventId"), before["metadata"].pop("occurredAt")) == ("old", "then")
+    assert after == before

@@ -77,6 +77,35 @@ def test_incremental_equals_full(frames):
     assert (row.only_incremental, row.only_full) == (0, 0) and row.customers == 7
 
 
+@pytest.mark.parametrize("as_of", ["2026-07-28 00:00:00", "2026-07-28 13:45:10"])
+def test_partials_give_the_same_profiles(spark, frames, tmp_path, as_of):
+    facts = [
+        ("s", str(i), f"c{i % 7}", None if i % 11 == 0 else f"p{i % 5}", i, f"2026-0{4 + i % 4}-{1 + i % 28:02d} {i % 24:02d}:{i % 60:02d}:10")
+        for i in range(300)
+    ]
+    labels = [("s", str(i), "FRAUD" if i % 3 else "NORMAL", "2026-07-25 00:00:00") for i in range(0, 300, 10)]
+    f, lab = frames(facts, labels)
+    path = str(tmp_path / "p")
+    # the last month arrives in two deliveries, the second one whole
+    profile.write_partials(spark, path, f.filter("event_time < '2026-07-10'"))
+    profile.write_partials(spark, path, f.filter("event_time >= '2026-07-01'"))
+    got = profile.profile_90d_partials(spark, path, f, lab, ts("2026-07-10"), ts(as_of), "Asia/Shanghai")
+    exact = profile.profile_90d(f, lab, ts("2026-07-10"), ts(as_of), "Asia/Shanghai", exact=True)
+    # nights follow the zone that the partials were made with
+    columns = [c for c in exact.columns if c != "night_ratio"]
+    assert sorted(got.select(*columns).collect()) == sorted(exact.select(*columns).collect())
+    same = profile.profile_90d_partials(spark, path, f, lab, ts("2026-07-10"), ts(as_of))
+    utc = profile.profile_90d(f, lab, ts("2026-07-10"), ts(as_of), exact=True)
+    assert sorted(same.collect()) == sorted(utc.collect())
+
+
+def test_profile_reads_the_facts_of_affected_customers(frames):
+    f, lab = frames([("s", "1", "c1", "p", 5, "2026-07-20 00:00:00")], [("s", "1", "FRAUD", "2026-07-25 00:00:00")])
+    plan = profile.profile_90d(f, lab, ts("2026-07-10"), ts("2026-07-28"))._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = plan.index("Aggregate [customer_id")
+    assert "LeftSemi" in plan[aggregates:]
+
+
 def test_merge_replaces_by_key(spark):
     a = spark.createDataFrame([("s", "1", 1), ("s", "2", 2)], "source_id string, txn_id string, v int")
     b = spark.createDataFrame([("s", "2", 9), ("s", "3", 3)], "source_id string, txn_id string, v int")

@@ -14,7 +14,7 @@ from riskloom.sources.sinks import read_latest, write_batch
 from riskloom.sources.versioned import rebucket, version
 from riskloom.streaming import features as sfeatures
 from riskloom.streaming import patterns as spatterns
-from riskloom.streaming import runtime
+from riskloom.streaming import runtime, windows
 from riskloom.streaming.sinks import keyed_sink
 
 from .test_features import COLUMNS, accumulate, random_events
@@ -127,6 +127,23 @@ def test_late_event_of_a_past_day_counts_for_devices_only(spark, txn, tmp_path):
     assert (str(row.daily_stat_date), row.daily_amount, row.daily_count, row.known_device_count, row.txn_count) == ("2026-07-22", 200, 1, 2, 1)
 
 
+def test_sessions_merge_and_drop_what_is_late(spark, txn, tmp_path):
+    """Sessions grow over micro-batches; an event behind the watermark counts only in a session that is still open."""
+    rows = [("e-1", "a", "2026-07-22T01:00:00", 1), ("e-2", "a", "2026-07-22T01:30:00", 2), ("e-3", "a", "2026-07-22T02:00:01", 4),
+            ("e-4", "b", "2026-07-22T02:10:00", 8), ("e-5", "b", "2026-07-22T02:05:00", 16), ("e-6", "a", "2026-07-22T00:00:00", 32),
+            ("e-7", "b", "2026-07-22T09:00:00", 64), ("e-8", "b", "2026-07-22T19:00:00", 128)]
+    df = txn(rows)
+    runtime.prepare_streaming(spark)
+    folder = str(tmp_path / "in")
+    for event, *_ in rows:
+        df.filter(F.col("event_id") == event).coalesce(1).write.mode("append").parquet(folder)
+        stream = windows.session_totals(spark.readStream.schema(df.schema).parquet(folder))
+        out = runtime.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((r.account_no, r.session_start.strftime("%H:%M:%S"), r.session_end.strftime("%H:%M:%S"), r.amount_minor) for r in out.collect())
+    # just the gap apart is together, a second more is not; e-5 came late but into an open session; e-6 was dropped
+    assert got == [("a", "01:00:00", "02:00:00", 3), ("a", "02:00:01", "02:30:01", 4), ("b", "02:05:00", "02:40:00", 24), ("b", "09:00:00", "09:30:00", 64)]
+
+
 class Map(dict):
     """A map state without Spark."""
 
