@@ -7,9 +7,10 @@ far below the limit are dropped. The others are confirmed on their full sets.
 
 Copies (equal sets) are one node. Candidates of a bucket are not all paired: first every node meets the
 bucket's smallest node, which joins groups of near copies; then, in buckets that still hold several
-groups, the nodes outside the largest group meet all others, a block against a block. Of these only everyone's
-likeliest pair is written, for as long as this joins groups, and then all that pass the estimate, each pair once. Two linked texts share a bucket with probability
-1 - (1 - s**5)**40, which is 0.99998 at a similarity s of 0.75 and rises from there.
+groups, the nodes outside the largest group meet all others, a block against a block. Pairs that pass the
+estimate are tested inside the block, on their sets of half hashes, and only links that join groups of the block are
+written, fewer than it has nodes. This is repeated until no link joins anything. Two linked texts share a bucket with
+probability 1 - (1 - s**5)**40, which is 0.99998 at a similarity s of 0.75 and rises from there.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BITS = 2
 _LONGS = -(-K // 64)
 #: Estimates have a standard deviation below 0.04, so pairs this far below the limit are no links.
 MARGIN = 0.18
+#: Sets below this size are compared whatever their estimate says.
+FEW = 30
 BLOCK = 512
 
 _rng = np.random.default_rng(7)
@@ -152,8 +155,11 @@ def _sets(width: int):
                 values = own.to_pylist()
                 keep = [v != u for u, v in zip([last, *values[:-1]], values)]
                 last = values[-1]
-                sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                out = pa.RecordBatch.from_arrays([own, sets], names=["node", "set"])
+                offsets = pa.array(first.astype(np.int32))
+                sets = pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))
+                # the sets are sorted, so their upper halves are as well
+                folded = pa.ListArray.from_arrays(offsets, pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                out = pa.RecordBatch.from_arrays([own, sets, folded], names=["node", "set", "folded"])
                 yield out.filter(pa.array(keep))
 
     return run
@@ -181,10 +187,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _meet(limit: float, best: bool):
-    """Pairs of a block of outside nodes and a block of the bucket that may be links.
+def _linked(a: np.ndarray, b: np.ndarray, limit: float) -> bool:
+    """Whether two sorted sets of 32-bit hashes are as similar as linked sets are; hashes that collide can only add to it."""
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both >= limit * (len(a) + len(b) - both) - 1e-9
 
-    ``best`` gives each outside node's likeliest pair only; else all pairs, each in the first bucket that both nodes share.
+
+def _meet(limit: float, spanning: bool):
+    """Links between a block of outside nodes and a block of the bucket, tested on their sets of 32-bit hashes.
+
+    ``spanning`` gives only links that join groups of this block that no earlier one has joined, so a block writes fewer
+    rows than it has nodes; else all links between groups, each in the first bucket that both nodes share.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -193,8 +206,19 @@ def _meet(limit: float, best: bool):
         node, comp, n = (rows[c].to_numpy() for c in ("node", "comp", "n"))
         sig = rows["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS, _LONGS)
         bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        folded = rows["folded"].combine_chunks()
+        ends = folded.offsets.to_numpy() - folded.offsets[0].as_py()
+        values = folded.flatten().to_numpy().view(np.uint32)
         earlier = bands[:, : int(np.flatnonzero(bands[0] == bucket)[0])]
         left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        group: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := group.get(c, c)) != c:
+                group[c] = group.get(up, up)
+                c = up
+            return c
+
         found = []
         chance = 2.0**-BITS
         for i in left.tolist():
@@ -204,21 +228,25 @@ def _meet(limit: float, best: bool):
             differ = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
             similar = (1 - differ / K - chance) / (1 - chance)
             least, most = np.minimum(n[right], n[i]), np.maximum(n[right], n[i])
-            may = np.flatnonzero((similar >= limit - MARGIN) & (comp[right] != comp[i]) & (least >= limit * most))
-            if best and len(may):
-                may = may[[np.argmax(similar[may])]]
-            hit = right[may]
-            if not best:
-                hit = hit[~(earlier[hit] == earlier[i]).any(axis=1)]
-            found.append(np.stack([np.full(len(hit), node[i]), node[hit]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            # the estimate says little about sets of few shingles; these are cheap to compare
+            may = ((similar >= limit - MARGIN) | (least < FEW)) & (comp[right] != comp[i]) & (least >= limit * most)
+            own = values[ends[i] : ends[i + 1]]
+            for j in right[may][np.argsort(-similar[may], kind="stable")].tolist():
+                if spanning:
+                    a, b = root(int(comp[i])), root(int(comp[j]))
+                    if a != b and _linked(own, values[ends[j] : ends[j + 1]], limit):
+                        group[a] = b
+                        found.append((node[i], node[j]))
+                elif not (earlier[i] == earlier[j]).any() and _linked(own, values[ends[j] : ends[j + 1]], limit):
+                    found.append((node[i], node[j]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs.min(axis=1) if len(pairs) else pairs[:, 0]), "b": pa.array(pairs.max(axis=1) if len(pairs) else pairs[:, 1])})
 
     return run
 
 
-def _outside_pairs(buckets: DataFrame, labels: DataFrame, small: DataFrame, limit: float, best: bool) -> DataFrame:
-    """Candidates among the buckets that still hold several groups: the nodes outside a bucket's largest group
+def _outside_links(buckets: DataFrame, labels: DataFrame, small: DataFrame, limit: float, spanning: bool) -> DataFrame:
+    """Links among the buckets that still hold several groups: the nodes outside a bucket's largest group
     against all its nodes, a block against a block."""
     in_group = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("comp"))
     open_ = in_group.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
@@ -228,14 +256,14 @@ def _outside_pairs(buckets: DataFrame, labels: DataFrame, small: DataFrame, limi
     mixed = mixed.join(largest, "bucket").join(small, "node")
     outer, inner = F.ceil((F.col("all") - F.col("most")) / BLOCK), F.ceil(F.col("all") / (8 * BLOCK))
     spot, zero = F.xxhash64("node"), F.lit(0).cast("long")
-    columns = ["node", "comp", "n", "sig", "bands"]
+    columns = ["node", "comp", "n", "sig", "bands", "folded"]
     outside = mixed.filter("comp != main").select(
         "bucket", F.pmod(spot, outer).alias("o"), F.explode(F.sequence(zero, inner - 1)).alias("i"), F.lit(True).alias("outside"), *columns
     )
     others = mixed.select(
         "bucket", F.explode(F.sequence(zero, outer - 1)).alias("o"), F.pmod(spot, inner).alias("i"), F.lit(False).alias("outside"), *columns
     )
-    return outside.unionByName(others).groupBy("bucket", "o", "i").applyInArrow(_meet(limit, best), "a long, b long").distinct()
+    return outside.unionByName(others).groupBy("bucket", "o", "i").applyInArrow(_meet(limit, spanning), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
@@ -271,9 +299,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> D
         known.select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th")),
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")),
     ).select("node", "text")
-    sets = materialize(found.sortWithinPartitions("node").mapInArrow(_sets(WIDTH), "node long, set array<long>"), "near-sets")
+    sets = materialize(found.sortWithinPartitions("node").mapInArrow(_sets(WIDTH), "node long, set array<long>, folded array<int>"), "near-sets")
     release(spark)
-    small = known.select("node", "n", "sig", "bands")
+    small = known.select("node", "n", "sig", "bands").join(sets.select("node", "folded"), "node")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
@@ -285,8 +313,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> D
 
     # each node meets the smallest node of its buckets; the likeliest one is confirmed
     stars = buckets.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    one = small.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"))
-    two = small.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"))
+    one = known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"))
+    two = known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"))
     stars = (
         stars.join(one, "a")
         .join(two, "b")
@@ -297,15 +325,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> D
     links = confirmed(stars.groupBy("a").agg(F.max_by("b", F.struct("similar", "b")).alias("b")))
     labels = components(links)
 
-    # then who is outside a bucket's largest group meets the others: first everyone's likeliest pair, for as
-    # long as that joins groups, and in the end all pairs between the groups that are left
+    # then who is outside a bucket's largest group meets the others, for as long as that joins groups; what then
+    # still looks like a link between groups, because 32-bit hashes collide, is confirmed or refuted pair by pair
     while True:
-        more = confirmed(_outside_pairs(buckets, labels, small, limit, best=True))
+        release(spark)
+        more = confirmed(_outside_links(buckets, labels, small, limit, spanning=True))
         if more.isEmpty():
             break
         links = materialize(links.unionByName(more), "near-links")
         labels = components(links)
-    more = confirmed(_outside_pairs(buckets, labels, small, limit, best=False))
+    more = confirmed(_outside_links(buckets, labels, small, limit, spanning=False))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
