@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, put_back, release, set_aside
 
 GRAM = 2
 WINDOW = 2
@@ -123,6 +123,27 @@ def repeated_lines(profiles: DataFrame, words: int | None = None) -> DataFrame:
     return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
+def _deduped(docs: DataFrame, text: str, words: int | None) -> DataFrame:
+    """The rows set aside, with ``_left``, the text without repeated lines, and ``_removed``, the places of these."""
+    profiles = materialize(line_profile(docs, text, words is not None).dropDuplicates(["doc_id", "th"]), "line-profiles")
+    removed = materialize(repeated_lines(profiles, words), "line-removed")
+    release(docs.sparkSession)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    aside = set_aside(docs, text, _doc=F.col("doc_id").cast("long"), _hash=F.xxhash64(body))
+    joined = aside.join(
+        # always a sort-merge join, so that the plan is the same at every size
+        removed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_removed")).hint("merge"),
+        F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")),
+        "left",
+    )
+    # array_except works with a hash set, so this stays linear in the lines of a document
+    places = F.sequence(F.lit(0), F.size("_all") - 1)
+    left = F.transform(F.array_except(places, "_removed"), lambda i: F.get("_all", i))
+    cleaned = F.when(F.col("_removed").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("_body"))
+    out = joined.withColumn("_all", F.when(F.col("_removed").isNotNull(), F.split("_body", "\n", -1))).withColumn("_left", cleaned)
+    return out.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
+
+
 def line_dedup(docs: DataFrame, text: str = "text", words: int | None = None) -> DataFrame:
     """The input rows without the lines of later repeats, and with ``removed_lines`` (places, from 0).
 
@@ -132,23 +153,9 @@ def line_dedup(docs: DataFrame, text: str = "text", words: int | None = None) ->
     same result. Lines without a word are never deleted and do not break a run. Null texts stay null;
     an empty table gives no rows. Input columns named ``removed_lines`` are replaced.
     """
-    profiles = materialize(line_profile(docs, text, words is not None).dropDuplicates(["doc_id", "th"]), "line-profiles")
-    removed = materialize(repeated_lines(profiles, words), "line-removed")
-    release(docs.sparkSession)
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.drop("removed_lines").withColumn("_hash", F.xxhash64(body))
-    joined = keyed.join(
-        # always a sort-merge join, so that the plan is the same at every size
-        removed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("removed_lines")).hint("merge"),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")),
-        "left",
-    ).drop("_id", "_th", "_hash")
-    # array_except works with a hash set, so this stays linear in the lines of a document
-    places = F.sequence(F.lit(0), F.size("_all") - 1)
-    left = F.transform(F.array_except(places, "removed_lines"), lambda i: F.get("_all", i))
-    cleaned = F.when(F.col("removed_lines").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text))
-    out = joined.withColumn("_all", F.when(F.col("removed_lines").isNotNull(), F.split(text, "\n", -1))).withColumn(text, cleaned).drop("_all")
-    return out.withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
+    out = _deduped(docs, text, words)
+    columns = [c for c in docs.columns if c != "removed_lines"]
+    return out.select(*put_back(out, columns, text, F.col("_left")), F.col("_removed").alias("removed_lines"))
 
 
 def line_digest(deduped: DataFrame, text: str = "text") -> DataFrame:
@@ -166,5 +173,5 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", words: int | None =
 
     Documents of which nothing is left, though they had text, are repeats as a whole and go.
     """
-    deduped = line_dedup(docs, text, words)
-    return deduped.filter((F.size("removed_lines") == 0) | F.col(text).rlike(WORD)).select(*docs.columns)
+    out = _deduped(docs, text, words)
+    return out.filter((F.size("_removed") == 0) | F.col("_left").rlike(WORD)).select(*put_back(out, docs.columns, text, F.col("_left")))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, row_numbers
+from .common import materialize, put_back, release, row_numbers, set_aside
 from .words import find_words, mix, text_buffers, text_slices, window_hashes, within
 
 WIDTH = 5
@@ -357,6 +357,6 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text")
     """
     kept = near_duplicates(docs, percent, text).filter("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    marked = docs.withColumn("_hash", F.xxhash64(body))
-    joined = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")))
-    return joined.select(*docs.columns, "_hash").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    aside = set_aside(docs, text, _doc=F.col("doc_id").cast("long"), _hash=F.xxhash64(body))
+    joined = aside.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")))
+    return joined.dropDuplicates(["_doc", "_hash"]).select(*put_back(aside, docs.columns, text))

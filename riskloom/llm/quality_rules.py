@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, put_back, set_aside
 
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -158,13 +158,10 @@ def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", **
         F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed")
     ).dropDuplicates(["_id", "_host", "_hash"])
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    joined = docs.join(
-        verdicts,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-        & (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host"))
-        & (F.xxhash64(body) == F.col("_hash")),
+    aside = set_aside(
+        docs, text, _doc=F.col("doc_id").cast("long"), _of=F.coalesce(F.col(host).cast("string"), F.lit("")), _th=F.xxhash64(body)
     )
-    some = F.size("_removed") > 0
-    left = F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains("_removed", line_hash(x))))
-    cleaned = F.when(some, F.array_join(left, "\n")).otherwise(F.col(text))
-    return joined.withColumn(text, cleaned).select(*docs.columns)
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_host")) & (F.col("_th") == F.col("_hash"))
+    left = F.filter(F.split("_body", "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains("_removed", line_hash(x))))
+    cleaned = F.when(F.size("_removed") > 0, F.array_join(left, "\n")).otherwise(F.col("_body"))
+    return aside.join(verdicts, same).select(*put_back(aside, docs.columns, text, cleaned))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, put_back, set_aside
 
 
 @dataclass(frozen=True)
@@ -130,26 +130,18 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-def _key(docs: DataFrame, text: str) -> DataFrame:
+def _scanned(docs: DataFrame, rules: Sequence[Rule], text: str) -> DataFrame:
+    """The rows set aside, with ``_spans``."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.withColumn("_text", body).withColumn("_doc", F.struct(F.col("doc_id"), F.xxhash64("_text").alias("h")))
-
-
-def secret_scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The input rows with ``spans``: array of (kind, start, end) by start, then in the order of the rules.
-
-    Null texts count as empty and have no spans, as have empty tables no rows. Documents are told
-    apart by id and text, so rows that repeat both get the same spans; null ids are allowed. Columns
-    beginning with an underscore are not kept if they clash with ``_text``, ``_doc`` or ``_rules``.
-    """
-    keyed = _key(docs.drop("spans", "_text", "_doc", "_rules"), text)
+    aside = set_aside(docs, text, _doc=F.struct(F.col("doc_id"), F.xxhash64(body).alias("h")))
+    keyed = aside.withColumn("_text", F.coalesce(F.col("_body").cast("string"), F.lit("")))
     indexed = [r for r in rules if r.query]
     postings = materialize(
         trigram_index(keyed.select(F.col("_doc").alias("doc"), F.col("_text").alias("text")), trigrams(rules)).distinct(),
         "trigram-postings",
     )
-    found = candidates(postings, indexed).select(F.col("doc").alias("_doc"), F.col("rules").alias("_rules"))
-    joined = keyed.join(found, keyed["_doc"].eqNullSafe(found["_doc"]), "left").drop(found["_doc"])
+    found = candidates(postings, indexed).select(F.col("doc").alias("_found"), F.col("rules").alias("_rules"))
+    joined = keyed.join(found, F.col("_doc").eqNullSafe(F.col("_found")), "left")
 
     spans = []
     for order, rule in enumerate(rules):
@@ -163,12 +155,29 @@ def secret_scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "tex
         spans.append(tagged)
     ordered = F.array_sort(F.concat(*spans))
     out = F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return joined.withColumn("spans", out).drop("_text", "_doc", "_rules")
+    return joined.withColumn("_spans", out)
 
 
-def redact(scanned: DataFrame, text: str = "text") -> DataFrame:
-    """Replace every span of ``secret_scan`` by ``[kind]``; where spans overlap, the first one names the stretch."""
-    body = F.col(text)
+def secret_scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+    """The input rows with ``spans``: array of (kind, start, end) by start, then in the order of the rules.
+
+    Null texts count as empty and have no spans, as have empty tables no rows. Documents are told
+    apart by id and text, so rows that repeat both get the same spans; null ids are allowed. Texts are scanned
+    whole, whatever their length. An input column ``spans`` is replaced; all others are kept.
+    """
+    out = _scanned(docs, rules, text)
+    columns = [c for c in docs.columns if c != "spans"]
+    return out.select(*put_back(out, columns, text), F.col("_spans").alias("spans"))
+
+
+def redact_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+    """The input rows, columns as they are, with every secret of the text replaced by ``[kind]``; null texts stay null."""
+    out = _scanned(docs, rules, text)
+    return out.select(*put_back(out, docs.columns, text, _redacted(F.col("_body"), F.col("_spans"))))
+
+
+def _redacted(body: Column, spans: Column) -> Column:
+    """Spans replaced by their kinds in brackets; where spans overlap, the first one names the stretch."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, span: Column) -> Column:
@@ -179,8 +188,12 @@ def redact(scanned: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
 
     rest = lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body)))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(body)
-    return scanned.withColumn(text, clean)
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(body)
+
+
+def redact(scanned: DataFrame, text: str = "text") -> DataFrame:
+    """Replace every span of ``secret_scan`` by ``[kind]``."""
+    return scanned.withColumn(text, _redacted(F.col(text), F.col("spans")))
 
 
 def span_digest(scanned: DataFrame, base: Sequence[Rule] = BASE_RULES) -> DataFrame:

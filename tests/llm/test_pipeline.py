@@ -11,9 +11,10 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from riskloom.llm.line_dedup import PASSAGE
 from riskloom.llm.packing import Packing, crossover, evolve, pack_documents
 
-from .test_text_operators import ODD, brute_lines, brute_quality, corpus, frame, key, rank, words_of
+from .test_text_operators import ODD, brute_long_lines, brute_quality, corpus, frame, key, rank, words_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -85,7 +86,7 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert sorted(r[0] for r in own) == sorted(kept) and passed.columns == docs.columns
 
     lines = stages["lines"](spark, passed, str(tmp_path))
-    left, gone = brute_lines(own)
+    left, gone = brute_long_lines(own, PASSAGE)
     want = [(d, left[d, t]) for d, t, _ in own if not gone[d, t] or words_of(left[d, t])]
     own = [(r.doc_id, r.text) for r in lines.collect()]
     assert key(own) == key(want) and lines.columns == docs.columns
@@ -100,3 +101,45 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert key(r[:5] for r in whole) == key(r[:5] for r in packed)
     assert sorted({r.doc_id for r in whole}, key=rank) == sorted({r.doc_id for r in packed}, key=rank)
+
+
+CLASHING = ["spans", "_text", "_rules", "_doc", "_hash", "_id", "_removed", "_host", "_all", "_th", "removed_lines", "_rest", "_body", "_left", "_spans", "a.b", "n_removed", "kept", "th", "row", "node"]
+
+
+def test_stages_keep_columns_whatever_their_names(spark):
+    """Text columns with the names that the operators use come back unchanged from every stage but the last."""
+    line = "word " * 25
+    rows = [(1, f"{line}\none two\nthree", "s", 3), (2, f"{line}\none two\nthree\nunlike all others " + "x y z " * 30, "s", 3),
+            (3, "password = abcdefgh1234 " + "some other words here " * 9, None, 3), (None, None, None, None)]
+    names = ", ".join(f"`{c}` string" for c in CLASHING)
+    full = [(*r[:2], "en", *r[2:], *[f"{c} {i}" for c in CLASHING]) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(full, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, want = stage(spark, docs, ""), stage(spark, plain, "")
+        assert out.columns == docs.columns, name
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert {(r["doc_id"], r["text"], r["n_chars"]) for r in got.values()} == {(r["doc_id"], r["text"], r["n_chars"]) for r in want.collect()}, name
+        for i, r in enumerate(full):
+            if r[0] in got:
+                assert tuple(got[r[0]][5:]) == tuple(r[5:]), (name, i)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 4
+
+
+def test_pipeline_over_no_documents(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_very_long_texts_pass_the_stages(spark):
+    """After the first stage, which drops them, null texts stay null; a very long text is handled whole."""
+    long = "\n".join(f"line {i} with words of its own {i * i}" for i in range(30_000))
+    docs = spark.createDataFrame([(1, None, "en", "s", None), (2, long, "en", "s", len(long)), (3, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    assert {r.doc_id for r in stages["quality"](spark, docs, "").collect()} == {2}
+    for name in ("lines", "near_duplicates", "secrets"):
+        assert {(r.doc_id, r.text) for r in stages[name](spark, docs, "").collect()} == {(1, None), (2, long), (3, "")}, name
