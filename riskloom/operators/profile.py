@@ -107,19 +107,31 @@ def daily_partials(facts: DataFrame, zone: str = "UTC") -> DataFrame:
     )
 
 
-def write_partials(spark: SparkSession, path: str, facts: DataFrame, zone: str = "UTC") -> None:
-    """Put the partials of some days into a versioned table with a part per day.
+def span_name(day: Column, unit: str) -> Column:
+    """The part that a day lies in: its own, or that of its month or other ``unit`` where days are too small for a part each."""
+    return part_name(F.date_trunc(unit, day).cast("date"))
 
-    ``facts`` are all facts of these days; days that are stored already are replaced, others are left as they are.
+
+def write_partials(spark: SparkSession, path: str, facts: DataFrame, zone: str = "UTC", unit: str = "day") -> None:
+    """Put the partials of some days (or other units) into a versioned table with a part for each.
+
+    ``facts`` are all facts of these; those that are stored already are replaced, others are left as they are.
     """
-    rows = daily_partials(facts, zone).withColumn(PART, part_name(F.col("day")))
+    rows = daily_partials(facts, zone).withColumn(PART, span_name(F.col("day"), unit))
     rows = materialize(rows, "profile-partials")
     replace_parts(rows, path, version(spark, path), parts_of(rows))
     discard(rows)
 
 
 def profile_90d_partials(
-    spark: SparkSession, path: str, facts: DataFrame, labels: DataFrame, watermark: Column, as_of: Column, zone: str = "UTC"
+    spark: SparkSession,
+    path: str,
+    facts: DataFrame,
+    labels: DataFrame,
+    watermark: Column,
+    as_of: Column,
+    zone: str = "UTC",
+    unit: str = "day",
 ) -> DataFrame:
     """``profile_90d`` with exact distinct counts, from stored partials.
 
@@ -132,13 +144,17 @@ def profile_90d_partials(
     midnight = datetime(start.year, start.month, start.day)
     first = midnight if start == midnight else midnight + timedelta(days=1)
     whole = [first.date() + timedelta(days=i) for i in range((end.date() - first.date()).days)]
-    names = [r[0] for r in spark.createDataFrame([(d,) for d in whole], "d date").select(part_name(F.col("d"))).collect()]
-    stored = read_version(spark, path, parts=names)
+    days = spark.createDataFrame([(d,) for d in whole], "d date").select(span_name(F.col("d"), unit)).distinct()
+    stored = read_version(spark, path, parts=[r[0] for r in days.collect()])
     t = F.col("event_time")
     cut = (t < F.lit(first)) | (t >= F.lit(datetime(end.year, end.month, end.day)))
     rest = daily_partials(window_facts(facts, as_of).filter(cut), zone)
     customers = materialize(affected_customers(facts, labels, watermark, as_of), "affected")
-    rows = rest if stored is None else stored.select(*rest.columns).unionByName(rest)
+    if stored is None:
+        rows = rest
+    else:
+        inside = F.col("day").between(F.lit(whole[0]), F.lit(whole[-1]))
+        rows = stored.filter(inside).select(*rest.columns).unionByName(rest)
     own = salted_join(rows, customers, ["customer_id"], ["day", "counterparty_id"], "left_semi")
     by_party = own.groupBy("customer_id", "counterparty_id").agg(
         *[F.sum(c).alias(c) for c in PARTIAL[:3]], F.max("latest").alias("latest")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import profile
+from ..operators import ingestion, profile
 from ..session import materialize, shared_path
 from ..sources import tables
 from ..sources.sinks import read_latest, write_documents
@@ -77,9 +77,10 @@ def profile_90d(spark, sf):
 def profile_90d_partials(spark, sf):
     """The daily partials are stored, those of July a second time; the profile is merged from them."""
     path, facts = shared_path(spark, "partials"), tables.facts(spark, sf)
-    profile.write_partials(spark, path, facts.filter(F.col("event_time") >= ts("2001-04-01")))
-    profile.write_partials(spark, path, facts.filter((F.col("event_time") >= ts("2001-07-01")) & (F.col("event_time") < ts("2001-08-01"))))
-    return shown(profile.profile_90d_partials(spark, path, facts, tables.fact_labels(spark, sf), ts(WATERMARK), ts(AS_OF)))
+    july = (F.col("event_time") >= ts("2001-07-01")) & (F.col("event_time") < ts("2001-08-01"))
+    for part in (facts, facts.filter(july)):
+        profile.write_partials(spark, path, part, unit="month")
+    return shown(profile.profile_90d_partials(spark, path, facts, tables.fact_labels(spark, sf), ts(WATERMARK), ts(AS_OF), unit="month"))
 
 
 @query("profile_90d_approx")
@@ -144,3 +145,30 @@ def profile_json_projection(spark, sf):
     write_documents(spark, path, rows, "customer_id", ["profile_as_of"])
     write_documents(spark, path, rows.filter(F.col("profile_as_of") > F.lit("2001-07-01").cast("timestamp")), "customer_id", ["profile_as_of"])
     return read_latest(spark, path).select("doc_id", "document")
+
+
+def _profiles_at(as_of: str, known: str) -> str:
+    """Amounts and counts per customer in the 90 days up to ``as_of`` of the facts and labels that are known then."""
+    return f"""SELECT c.customer_id, coalesce(CAST(sum(amount_minor) AS BIGINT), 0) AS amount_90d, count(w.txn_id) AS txn_cnt_90d,
+      count(DISTINCT counterparty_id) AS unique_counterparty_90d, coalesce(CAST(sum(fraud) AS BIGINT), 0) AS fraud_count_90d
+      FROM (SELECT DISTINCT customer_id FROM fact WHERE {known}) c LEFT JOIN (
+        SELECT f.*, CASE WHEN l.label = 'FRAUD' THEN 1 ELSE 0 END AS fraud FROM fact f
+        LEFT JOIN (SELECT * FROM fact_label WHERE {known.replace("event_time", "created_at")}) l USING (source_id, txn_id)
+        WHERE {known} AND event_time >= TIMESTAMP '{as_of}' - INTERVAL 90 DAYS AND event_time < TIMESTAMP '{as_of}' + INTERVAL 1 SECOND) w
+      ON w.customer_id = c.customer_id GROUP BY c.customer_id"""
+
+
+@query(
+    "profile_job",
+    f"""WITH {FACT}, {FACT_LABEL}, {AFFECTED}, early AS ({_profiles_at(WATERMARK, f"event_time < TIMESTAMP '{WATERMARK}'")}), late AS ({_profiles_at(AS_OF, "event_time IS NOT NULL")})
+      SELECT * FROM late WHERE customer_id IN (SELECT customer_id FROM affected)
+      UNION ALL SELECT * FROM early WHERE customer_id NOT IN (SELECT customer_id FROM affected)""",
+)
+def profile_job(spark, sf):
+    """Two runs of the job: everything known at the watermark, then what came later; the profiles as stored."""
+    store, facts, labels = ingestion.Store(shared_path(spark, "job"), "month"), tables.facts(spark, sf), tables.fact_labels(spark, sf)
+    mark = ts(WATERMARK)
+    known = labels.filter(F.col("created_at") < mark)
+    ingestion.ingest(spark, store, facts.filter(F.col("event_time") < mark), known, ts("1970-01-01"), mark)
+    ingestion.ingest(spark, store, facts.filter(F.col("event_time") >= mark), labels, mark, ts(AS_OF))
+    return read_latest(spark, store.profiles).select("customer_id", "amount_90d", "txn_cnt_90d", "unique_counterparty_90d", "fraud_count_90d")

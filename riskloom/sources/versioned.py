@@ -36,16 +36,19 @@ class ConflictError(RuntimeError):
 
 @dataclass(frozen=True)
 class Version:
-    """The state of a table: its number, schema, the folder of every part, the number of buckets, and each stream's last batch."""
+    """The state of a table: its number, schema, the folder of every part, the number of buckets, each stream's last batch, and
+    marks that a job keeps with its data, such as the version of another table that it was made from."""
 
     number: int = 0
     schema: dict | None = None
     parts: dict[str, str] = field(default_factory=dict)
     buckets: int | None = None
     batches: dict[str, int] = field(default_factory=dict)
+    marks: dict[str, int] = field(default_factory=dict)
 
     def text(self) -> str:
-        return json.dumps({"schema": self.schema, "parts": self.parts, "buckets": self.buckets, "batches": self.batches})
+        named = {"schema": self.schema, "parts": self.parts, "buckets": self.buckets, "batches": self.batches, "marks": self.marks}
+        return json.dumps(named)
 
 
 def _files(spark: SparkSession, path: str):
@@ -124,6 +127,7 @@ def replace_parts(
     touched: Sequence[str],
     buckets: int | None = None,
     batch: tuple[str, int] | None = None,
+    marks: dict[str, int] | None = None,
 ) -> Version:
     """Commit ``rows``, which carry their part in ``PART``, as the whole new content of the ``touched`` parts.
 
@@ -138,7 +142,7 @@ def replace_parts(
     parts |= {n.removeprefix(f"{PART}="): f"{folder}/{n}" for n in written}
     batches = dict(base.batches) | ({batch[0]: batch[1]} if batch else {})
     schema = rows.drop(PART).schema.jsonValue()
-    new = Version(base.number + 1, schema, parts, buckets or base.buckets, batches)
+    new = Version(base.number + 1, schema, parts, buckets or base.buckets, batches, dict(base.marks) | (marks or {}))
     _commit(spark, path, new)
     return new
 

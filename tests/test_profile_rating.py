@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import facts as fact_ops
-from riskloom.operators import profile, rating
+from riskloom.operators import ingestion, profile, rating
 from riskloom.sources import versioned
 from riskloom.sources.versioned import read_version, version
 
@@ -106,6 +107,30 @@ def test_profile_reads_the_facts_of_affected_customers(frames):
     assert "LeftSemi" in plan[aggregates:]
 
 
+def test_job_from_increment_to_documents(spark, frames, tmp_path, monkeypatch):
+    """Late and corrected facts, a run that stops in the middle, and a repeated run end in the profiles of a full computation."""
+    facts = [("s", str(i), f"c{i % 5}", f"p{i % 3}", 10 * i, f"2026-0{5 + i % 3}-{1 + i % 28:02d} 0{i % 9}:30:00") for i in range(90)]
+    labels = [("s", str(i), "FRAUD", "2026-07-25 00:00:00") for i in range(0, 90, 9)]
+    moved = [("s", "5", "c0", "p2", 7, "2026-07-30 09:00:00"), ("s", "200", "c9", "p9", 1, "2026-07-29 10:00:00"), ("s", "201", "c1", "p9", 2, "2026-05-02 10:00:00")]
+    f, lab = frames(facts, labels)
+    new, _ = frames(moved, labels)
+    store = ingestion.Store(str(tmp_path))
+    ingestion.ingest(spark, store, f, lab, ts("1970-01-01"), ts("2026-07-28 12:00:00"))
+    late = ts("2026-07-31 12:00:00")
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(ingestion, "profile_90d_partials", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+        ingestion.ingest(spark, store, new, lab, ts("2026-04-01"), late)
+    everything, _ = frames([x for x in facts if x[1] != "5"] + moved, labels)
+    for _ in range(2):
+        ingestion.ingest(spark, store, new, lab, ts("2026-04-01"), late)
+        full = profile.profile_90d(everything, lab, ts("1970-01-01"), late, exact=True)
+        assert sorted(read_version(spark, store.profiles).select(*full.columns).collect()) == sorted(full.collect())
+        documents = {r.doc_id: json.loads(r.document) for r in read_version(spark, store.documents).collect()}
+        assert {c: d["amount_90d"] for c, d in documents.items()} == {r.customer_id: r.amount_90d for r in full.collect()}
+    # a fact that moved has left its old day's partials
+    assert read_version(spark, store.partials).agg(F.sum("txns")).first()[0] == 92
+
+
 def test_merge_replaces_by_key(spark):
     a = spark.createDataFrame([("s", "1", 1), ("s", "2", 2)], "source_id string, txn_id string, v int")
     b = spark.createDataFrame([("s", "2", 9), ("s", "3", 3)], "source_id string, txn_id string, v int")
