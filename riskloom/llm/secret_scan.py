@@ -1,6 +1,6 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
-Each rule is a regular expression. What it must contain is turned into a Boolean query over trigrams:
+Each rule is a regular expression, from which a Boolean query over trigrams is derived (``trigrams.py``):
 a disjunction of alternatives, each a set of trigrams that all occur in any match. The index lists, per
 trigram, the documents whose lower-cased text holds it; intersecting the lists of an alternative gives
 candidate documents, and only these are scanned with the expression. A rule without mandatory
@@ -16,49 +16,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, put_back, set_aside
+from .trigrams import trigram_query
 
 
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret.
 
-    ``pattern`` is a Java regular expression; ``literals`` are alternatives, one of which every match
-    contains, each a sequence of literal pieces. ``group`` has at least ``least`` characters in a
+    ``pattern`` is a Java regular expression. ``group`` has at least ``least`` characters in a
     match that counts; other matches are dropped, though they use up their text.
     """
 
     kind: str
     pattern: str
-    literals: tuple[tuple[str, ...], ...] = ()
     group: int = 0
     least: int = 1
 
     @property
     def query(self) -> tuple[frozenset[str], ...]:
-        """The trigrams of each alternative; empty if some alternative has none, so nothing is mandatory."""
-        found = tuple(
-            frozenset(p.lower()[i : i + 3] for p in pieces for i in range(len(p) - 2)) for pieces in self.literals
-        )
-        return found if found and all(found) else ()
+        """The trigrams of each alternative; empty if nothing is mandatory."""
+        return trigram_query(self.pattern)
 
 
 BASE_RULES = (
     Rule(
         "assign",
         r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)),
         group=2,
         least=8,
     ),
-    Rule("access", r"AKIA[A-Z0-9]+", (("AKIA",),), least=16),
+    Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]+", least=32),
 )
 
 #: Further kinds whose spans are added to those above.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", (("-----BEGIN ", "PRIVATE KEY-----"),)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",)), least=40),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", (("eyJ", ".eyJ"),)),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", least=40),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 
 RULES = BASE_RULES + MORE_RULES

@@ -8,6 +8,8 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from riskloom.llm import minhash
 from riskloom.llm.exact_dedup import exact_dedup
@@ -17,6 +19,7 @@ from riskloom.llm.minhash import drop_near_duplicates, near_duplicates
 from riskloom.llm.quality_rules import quality_filter, quality_rules
 from riskloom.llm.secret_scan import BASE_RULES, RULES, redact, secret_scan, span_digest, trigrams
 from riskloom.llm.substring_dedup import _floor, bucket_of, pack, substring_dedup, unpack
+from riskloom.llm.trigrams import trigram_query
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, removed string, h int, _text string"
 LONG = "tail " + "lorem ipsum dolor sit amet consectetur " * 4000
@@ -396,6 +399,49 @@ def test_matches_hold_the_literals_of_their_rule(rule):
         assert not rule.query or any(all(t in hit.lower() for t in alternative) for alternative in rule.query), hit
 
 
+PARTS = st.recursive(
+    st.sampled_from(["abc", "Key_", "x", "é", "[ab]", "[^q]", "[A-Z0-9_-]", ".", r"\d", r"\.", r"\x41b", r"(?:)"]),
+    lambda part: st.one_of(
+        st.builds("(?:{}|{})".format, part, part),
+        st.builds("(?i:{}{})".format, part, part),
+        st.builds("(?:{}){}".format, part, st.sampled_from(["?", "*", "+", "{2}", "{0,2}", "{1,3}?"])),
+        st.builds("({}{})".format, part, part),
+    ),
+    max_leaves=10,
+)
+
+
+@settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+def test_matches_of_any_pattern_hold_its_trigrams(data):
+    pattern = data.draw(PARTS)
+    query = trigram_query(pattern)
+    for _ in range(5):
+        hit = data.draw(st.from_regex(pattern, fullmatch=True))
+        assert not query or any(all(t in hit.lower() for t in alternative) for alternative in query)
+
+
+@pytest.mark.parametrize(
+    "pattern, query",
+    [
+        (r"abc|de", ()),
+        (r"(?:abc|bcd)x?", ("abc", "bcd")),
+        (r"ab[cd]e", ("abc bce", "abd bde")),
+        (r"ABC\d+xyz$", ("abc xyz",)),
+        (r"ab(?:c)*de", ()),
+        (r"(abcd)+", ("abc bcd",)),
+        (r"abc(?!def)", ("abc",)),
+        (r"abc\p{L}", ()),
+        (r"(?x) a b c", ()),
+        (r"abc(", ()),
+        (r"abc)", ()),
+        ("", ()),
+    ],
+)
+def test_trigram_queries(pattern, query):
+    assert trigram_query(pattern) == tuple(frozenset(alternative.split()) for alternative in query)
+
+
 def brute_spans(text):
     found = []
     for order, (kind, pattern, group, least) in enumerate(
