@@ -1,7 +1,7 @@
 """Exact duplicates by deterministic block naming.
 
-Every text is cut into blocks of a fixed size. All distinct blocks are sorted, and equal blocks get
-the same integer name. Then adjacent names of a text are paired, equal pairs get one name, and so on
+Every text is cut into blocks of a fixed size. Blocks are dealt by their hash, sorted, and equal ones get
+the same integer name, numbered in that order within each part. Then adjacent names of a text are paired, equal pairs get one name, and so on
 until every text has a single name. Names come from comparing contents, never from hashes, so two
 texts have the same name only if they are equal.
 
@@ -60,7 +60,7 @@ def _cut(block: int):
 
 
 def _name_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the distinct blocks of a sorted range; ranges number apart from each other."""
+    """Number the distinct blocks of a sorted part; parts number apart from each other."""
     name, last = (TaskContext.get().partitionId() << 40), None
     for batch in batches:
         names = []
@@ -85,10 +85,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", block: int = BLOCK) -> Data
     members = cut.filter("row IS NOT NULL").select("row", "doc_id", "local", "sha")
     blocks = cut.filter("row IS NULL").select("local", "pos", "block", "size")
 
-    # sort the blocks and name them; `use` tells a block's place by one number
+    # equal blocks meet by hash, so no block is sampled to the driver; each part is sorted and named by itself
     place = F.struct("local", "pos", "size").alias("use")
     named = (
-        blocks.select(place, "block").repartitionByRange("block").sortWithinPartitions("block").mapInArrow(
+        blocks.select(place, "block").repartition("block").sortWithinPartitions("block").mapInArrow(
             _name_sorted, "use struct<local:long,pos:int,size:int>, name long"
         ).select("use.local", "use.pos", "use.size", "name")
     )
@@ -106,8 +106,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", block: int = BLOCK) -> Data
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(0).cast("long")).alias("b"),
         )
         sides = materialize(sides, "naming-pairs")
-        # sorted distinct pairs, numbered in that order
-        pairs = sides.select("a", "b").distinct().repartitionByRange("a", "b").sortWithinPartitions("a", "b")
+        # distinct pairs, sorted and numbered within the parts in which they have met
+        pairs = sides.select("a", "b").distinct().sortWithinPartitions("a", "b")
         names = materialize(pairs.withColumn("name", F.monotonically_increasing_id() + 1), "naming-names")
         named = sides.join(names, ["a", "b"]).select("local", "pos", "size", "name")
         named = materialize(named, "naming-names")
