@@ -20,7 +20,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import materialize, parts_for, release, text_bytes
@@ -29,7 +29,8 @@ from .words import Words, find_words, text_buffers, window_hashes, within
 WINDOW = 50
 BATCH_BYTES = 4 << 20
 BUCKET_ENTRIES = 1_500_000
-_LAST = (1 << 63) - 1  # null ids rank last
+TASK_BYTES = 16 << 20
+_LAST = (1 << 63) - 1  # null ids rank last, beside the largest id
 _STEP = (1 << 30) - 1
 _REF, _MANY = np.uint32(1 << 31), np.uint32(1 << 30)
 
@@ -66,7 +67,7 @@ def unpack(codes: bytes, floor: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _words(table: pa.Table | pa.RecordBatch) -> tuple[Words, np.ndarray]:
-    return find_words(*text_buffers(table["text"])), table["doc_id"].to_numpy()
+    return find_words(*text_buffers(table["text"])), table["doc_id"].fill_null(_LAST).to_numpy()
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +142,8 @@ def _anchors(buckets: int):
     return run
 
 
-_DOC_FIELDS = (("batch", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("text", pa.string()), ("hits", pa.binary()), ("sha", pa.string()))
-_DOC = "batch long, doc_id long, n_words long, text string, hits binary, sha string"
+_DOC_FIELDS = (("batch", pa.int64()), ("doc_id", pa.int64()), ("n_rows", pa.int64()), ("n_words", pa.int64()), ("text", pa.string()), ("hits", pa.binary()), ("sha", pa.string()))
+_DOC = "batch long, doc_id long, n_rows long, n_words long, text string, hits binary, sha string"
 
 
 def _mark(block: int, window: int, buckets: int):
@@ -163,12 +164,12 @@ def _mark(block: int, window: int, buckets: int):
         before = np.concatenate([[0], np.cumsum(hit)])
         some = (before[words.first[1:]] > before[words.first[:-1]]) & (words.counts >= window)
         rows, batch = [], docs["batch"][0].as_py()
-        for i, (doc_id, text) in enumerate(zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist())):
+        for i, (doc_id, n, text) in enumerate(zip(*(docs[c].to_pylist() for c in ("doc_id", "n_rows", "text")))):
             a, b = words.first[i], words.first[i + 1]
             if some[i]:
-                rows.append((batch, doc_id, int(b - a), text, np.packbits(hit[a:b]).tobytes(), None))
+                rows.append((batch, doc_id, n, int(b - a), text, np.packbits(hit[a:b]).tobytes(), None))
             else:
-                rows.append((batch, doc_id, int(b - a), None, None, hashlib.sha256(b" ".join(text.encode().split())).hexdigest()))
+                rows.append((batch, doc_id, n, int(b - a), None, None, hashlib.sha256(b" ".join(text.encode().split())).hexdigest()))
         return _table(rows, *_DOC_FIELDS)
 
     return run
@@ -238,7 +239,7 @@ def _smallest(table: pa.Table) -> pa.Table:
     return _table(out, *_WINDOW_FIELDS)
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,end:int>>, text string"
+_RESULT = "doc_id long, n_rows long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,end:int>>, text string"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -262,25 +263,35 @@ def _remove(block: int, window: int, with_text: bool):
             np.add.at(change, repeated, 1)
             np.add.at(change, repeated + window, -1)
             covered = np.cumsum(change)[:-1] > 0
-            for i, (doc_id, n, text) in enumerate(zip(docs["doc_id"].to_pylist(), docs["n_words"].to_pylist(), docs["text"].to_pylist())):
+            for i, (doc_id, n, n_words, text) in enumerate(zip(*(docs[c].to_pylist() for c in ("doc_id", "n_rows", "n_words", "text")))):
                 gone = covered[words.first[i] : words.first[i + 1]]
                 kept = b" ".join(compress(text.encode().split(), (~gone).tolist()))
                 edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
                 spans = [{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2])]
-                rows.append((doc_id, n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans, kept.decode() if with_text else None))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPANS, pa.string())
-        return _table(rows, *zip(("doc_id", "n_words", "n_removed", "kept_sha256", "repeats", "text"), kinds))
+                rows.append((doc_id, n, n_words, int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans, kept.decode() if with_text else None))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPANS, pa.string())
+        return _table(rows, *zip(("doc_id", "n_rows", "n_words", "n_removed", "kept_sha256", "repeats", "text"), kinds))
 
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", with_text: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame,
+    window: int = WINDOW,
+    text: str = "text",
+    with_text: bool = False,
+    batch_bytes: int = BATCH_BYTES,
+    task_bytes: int = TASK_BYTES,
+) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, repeats (word spans), text.
 
     Removed is every word covered by ``window`` consecutive words whose sequence also starts in a document with a
-    smaller doc_id; windows are judged on the input. Null texts have no words. Null ids rank last and
-    are not smaller than each other; rows that repeat an id do not remove each other's words, and repeats inside one document stay. ``text``
+    smaller doc_id; windows are judged on the input. Null texts have no words. Null ids rank last, beside the largest id of 64 bits, and
+    are not smaller than each other; rows that repeat an id do not remove each other's words, and repeats inside one document stay. Rows that
+    repeat id and text are one document with a count until the end. Texts are read whole, whatever their length. ``text``
     (kept words joined by single blanks) is given for changed documents if ``with_text``. An empty table gives no rows; other columns are not read.
+
+    A task reads about ``task_bytes`` of text, however large the table is.
     """
     if window < 4 or window % 2:
         raise ValueError("window must be even and at least 4")
@@ -288,23 +299,31 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", w
     size = text_bytes(docs, text)
     batches = max(1, math.ceil(size / batch_bytes))
     buckets = parts_for(docs, size / 6, BUCKET_ENTRIES)
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(size / task_bytes))
+
+    def dealt(rows: DataFrame, key: str) -> GroupedData:
+        return rows.repartition(tasks, key).groupBy(key)
+
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), body)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body)
     source = source.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"))
+    # the counting takes place where the batches lie, without a further exchange
+    source = source.repartition(tasks, "batch").groupBy("batch", "doc_id", "text").agg(F.count("*").alias("n_rows"))
 
     probes = source.groupBy("batch").applyInArrow(_blocks_and_probes(block, buckets), _CODES)
-    anchors = materialize(probes.groupBy("bucket").applyInArrow(_anchors(buckets), _CODES), "anchors")
+    anchors = materialize(dealt(probes, "bucket").applyInArrow(_anchors(buckets), _CODES), "anchors")
     release(spark)
-    marked = source.groupBy("batch").cogroup(anchors.groupBy("batch")).applyInArrow(_mark(block, window, buckets), _DOC)
+    marked = source.groupBy("batch").cogroup(dealt(anchors, "batch")).applyInArrow(_mark(block, window, buckets), _DOC)
     marked = materialize(marked, "anchored")
     release(spark)
-    touched = marked.filter("sha IS NULL")
+    touched = marked.filter("sha IS NULL").repartition(tasks, "batch")
     windows = touched.groupBy("batch").applyInArrow(_extend(block, window, buckets), _WINDOWS)
-    smaller = materialize(windows.groupBy("bucket").applyInArrow(_smallest, _WINDOWS), "repeats")
+    smaller = materialize(dealt(windows, "bucket").applyInArrow(_smallest, _WINDOWS), "repeats")
     release(spark)
-    changed = touched.groupBy("batch").cogroup(smaller.groupBy("batch")).applyInArrow(_remove(block, window, with_text), _RESULT)
+    changed = touched.groupBy("batch").cogroup(dealt(smaller, "batch")).applyInArrow(_remove(block, window, with_text), _RESULT)
     none = F.array().cast("array<struct<start:int,end:int>>")
     whole = marked.filter("sha IS NOT NULL").select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), none.alias("repeats"), F.lit(None).cast("string").alias("text")
+        "doc_id", "n_rows", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), none.alias("repeats"), F.lit(None).cast("string").alias("text")
     )
-    return whole.unionByName(changed).withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+    rows = whole.unionByName(changed).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256", "repeats", "text")

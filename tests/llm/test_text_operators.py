@@ -111,6 +111,15 @@ def test_substring_dedup(spark, rows):
     assert all(sum(s.end - s.start for s in r.repeats) == r.n_removed for r in rows_got)
 
 
+def test_substring_dedup_keeps_the_largest_id_apart_from_null(spark):
+    shared = " ".join(f"s{i}" for i in range(15))
+    rows = [(2**63 - 1, "one " + shared, None), (None, shared + " two", None), (-(2**63), shared, None), (None, "three", None), (None, "three", None)]
+    got = substring_dedup(frame(spark, rows), window=10).collect()
+    assert key((r.doc_id, r.n_words, r.n_removed) for r in got) == key(
+        [(2**63 - 1, 16, 15), (None, 16, 15), (-(2**63), 15, 0), (None, 1, 0), (None, 1, 0)]
+    )
+
+
 def test_packed_values_come_back():
     import numpy as np
 
