@@ -6,8 +6,8 @@ are cut into blocks of ``BLOCK`` bytes, each packed by zstd where that helps, wi
 before every block. So one file answers, without unpacking the rest: which id stands at a place
 (``access``), how often an id occurs before it (``rank``), and where its k-th occurrence is (``select``).
 
-Layout of a file, little-endian: magic, numbers of documents, ids and planes, block size; document ids
-and their sizes; per plane the number of zeros, and per block its end and the ones before it; blocks.
+Layout of a file, little-endian: magic, numbers of documents, ids and planes, block size, number of null
+document ids (they come first); document ids and their sizes; per plane the number of zeros, and per block its end and the ones before it; blocks.
 """
 
 from __future__ import annotations
@@ -28,18 +28,17 @@ from .common import materialize, release
 from .tokens import word_encoder
 from .words import text_slices
 
-MAGIC = b"WVMX1\0\0\0"
+MAGIC = b"WVMX2\0\0\0"
 BLOCK = 4096
 END_ID = 1
 SHARD_TOKENS = 2_000_000
-_NULL_ID = -(1 << 63)
 
 
-def build_shard(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, planes: int = 16) -> bytes:
-    """The file of one shard: ``ids`` of all its documents in a row, ``sizes`` ids each."""
+def build_shard(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, planes: int = 16, nulls: int = 0) -> bytes:
+    """The file of one shard: ``ids`` of all its documents in a row, ``sizes`` ids each; the first ``nulls`` documents have no id."""
     pack = zstandard.ZstdCompressor(level=1).compress
     n = len(ids)
-    head = [MAGIC, struct.pack("<QQII", len(doc_ids), n, planes, BLOCK), doc_ids.astype("<i8").tobytes(), sizes.astype("<i8").tobytes()]
+    head = [MAGIC, struct.pack("<QQIIQ", len(doc_ids), n, planes, BLOCK, nulls), doc_ids.astype("<i8").tobytes(), sizes.astype("<i8").tobytes()]
     body: list[bytes] = []
     end = 0
     current = ids
@@ -70,8 +69,8 @@ class Shard:
         view = memoryview(data)
         if bytes(view[:8]) != MAGIC:
             raise ValueError("not a token shard")
-        docs, self.n, self.planes, self.block = struct.unpack("<QQII", view[8:32])
-        at = 32
+        docs, self.n, self.planes, self.block, self.nulls = struct.unpack("<QQIIQ", view[8:40])
+        at = 40
 
         def longs(count: int) -> np.ndarray:
             nonlocal at
@@ -181,27 +180,28 @@ def _write(path: str, shard_tokens: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
         part, seq = TaskContext.get().partitionId(), 0
-        ids, docs, sizes = [], [], []
+        ids, docs, sizes, nulls = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
             flat, sz = np.concatenate(ids), np.concatenate(sizes)
-            file = build_shard(flat, np.concatenate(docs), sz)
+            file = build_shard(flat, np.concatenate(docs), sz, nulls=nulls)
             return pa.RecordBatch.from_pydict(
                 {"part": [part], "seq": [seq], "n_docs": [len(sz)], "n_tokens": [len(flat)], "file": [file]}, schema=schema
             )
 
         for batch in batches:
-            doc_ids = batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
+            doc_ids, unnamed = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             texts = batch.column(1)
             for i, j in text_slices(texts):
                 flat, first = encode(texts.slice(i, j - i))
                 ids.append(np.insert(flat, first[1:], np.uint16(end_id)))
                 docs.append(doc_ids[i:j])
                 sizes.append(np.diff(first) + 1)
+                nulls += int(unnamed[i:j].sum())
                 if sum(map(len, ids)) >= shard_tokens:
                     yield shard()
                     seq += 1
-                    ids, docs, sizes = [], [], []
+                    ids, docs, sizes, nulls = [], [], [], 0
         if ids:
             yield shard()
 
@@ -233,7 +233,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(np.full(n, part, np.int32)),
                     pa.array(np.full(n, seq, np.int32)),
-                    pa.array(shard.doc_ids, mask=shard.doc_ids == _NULL_ID),
+                    pa.array(shard.doc_ids, mask=np.arange(n) < shard.nulls),
                     pa.array(starts[:-1]),
                     pa.array(shard.sizes),
                     pa.array(crcs, pa.int64()),

@@ -167,39 +167,90 @@ class ByteBpe:
 
 
 class WordBpe:
-    """The tokenizer file's own encoding; pieces of ASCII are cut into words first, so that each word is encoded once."""
+    """The tokenizer file's own encoding; pieces of ASCII are cut into words first, and distinct words are encoded many to a text."""
+
+    #: Words of one text given to the tokenizer.
+    TOGETHER = 2000
 
     def __init__(self, path: str):
         self._whole = Tokenizer.from_file(path)
         self._words = Tokenizer.from_file(path)
+        for tokenizer in (self._whole, self._words):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
         self._words.normalizer = normalizers.Sequence([])
-        self._words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        mark = self._words.encode("\n", add_special_tokens=False).ids
+        if len(mark) != 1:
+            raise ValueError("a line feed must be one id, so that it can part words")
+        self._mark = np.uint16(mark[0])
         self._pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-        self._seen: dict[str, list[int]] = {}
-
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(pieces)
-        odd, cut = [], []
-        words = pc.ascii_lower(pc.ascii_trim(pa.array(pieces), " \n"))
-        plain = pc.ascii_is_alpha(words).to_pylist()
-        for i, (word, alone) in enumerate(zip(words.to_pylist(), plain)):
-            if alone:
-                cut.append((i, (word,)))
-            elif word.isascii() and "<|" not in word and word.isprintable():
-                cut.append((i, self._pattern.findall(word)))
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and where each word's begin."""
+        texts = ["\n".join(words[i : i + self.TOGETHER]) for i in range(0, len(words), self.TOGETHER)]
+        flat = [np.zeros(0, np.uint16)]
+        for e in self._words.encode_batch_fast(texts, add_special_tokens=False):
+            flat += [np.array(e.ids, np.uint16), np.array([self._mark])]
+        flat = np.concatenate(flat)
+        ends = np.flatnonzero(flat == self._mark)  # no word holds a line feed
+        return flat[flat != self._mark], np.concatenate([[0], ends - np.arange(len(ends))])
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has."""
+        lowered = pc.ascii_lower(pc.ascii_trim(pa.array(pieces, pa.string()), " \n"))
+        alone = pc.ascii_is_alpha(lowered).to_numpy(zero_copy_only=False)
+        coded = lowered.filter(pa.array(alone)).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        number = {}
+        # pieces as runs of words: each word's piece and number
+        owner, used = [np.flatnonzero(alone)], [coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+        places, cut, odd = [], [], []
+        mixed = np.flatnonzero(~alone)
+        for i, word in zip(mixed.tolist(), lowered.take(pa.array(mixed)).to_pylist()):
+            if word.isascii() and "<|" not in word and word.isprintable():
+                for w in self._pattern.findall(word):
+                    places.append(i)
+                    cut.append(number.setdefault(w, len(words) + len(number)))
             else:  # other letters, control characters and the marks are left to the file's own rules
                 odd.append(i)
-        new = list({w for _, words in cut for w in words if w not in self._seen})
-        if len(self._seen) + len(new) > MEMORY:
-            self._seen = {}
-            new = list({w for _, words in cut for w in words})
-        for w, e in zip(new, self._words.encode_batch_fast(new, add_special_tokens=False)):
-            self._seen[w] = e.ids
-        for i, words in cut:
-            out[i] = self._seen[words[0]] if len(words) == 1 else [t for w in words for t in self._seen[w]]
-        for i, e in zip(odd, self._whole.encode_batch_fast([pieces[i] for i in odd], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
+        owner.append(np.array(places, np.int64))
+        used.append(np.array(cut, np.int64))
+        ids, first = self._encode_words([*words, *number])
+        rest = [e.ids for e in self._whole.encode_batch_fast([pieces[i] for i in odd], add_special_tokens=False)]
+        extra = np.fromiter(map(len, rest), np.int64, len(rest))
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(rest), np.uint16, int(extra.sum()))])
+        used.append(len(first) - 1 + np.arange(len(rest)))
+        first = np.concatenate([first, first[-1] + np.cumsum(extra)])
+        owner.append(np.array(odd, np.int64))
+
+        owner, used = np.concatenate(owner), np.concatenate(used)
+        order = np.argsort(owner, kind="stable")
+        owner, used = owner[order], used[order]
+        lengths = np.diff(first)[used]
+        at = np.repeat(first[used] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        return ids[at], np.bincount(owner, weights=lengths, minlength=len(pieces)).astype(np.int64)
+
+
+class WordPieceEncoder(PieceEncoder):
+    """A ``PieceEncoder`` whose ``encode`` gives the ids of all new pieces in a row and their sizes."""
+
+    def lookup(self, pieces: list[str]) -> np.ndarray:
+        if len(self._number) > MEMORY:
+            self._trim()
+        number = self._number
+        missing = [p for p in pieces if p not in number]
+        if missing:
+            number.update(zip(missing, range(len(number), len(number) + len(missing))))
+            flat, sizes = self._encode(missing)
+            self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(sizes)])
+            self._ids = np.concatenate([self._ids, flat])
+            self._met = np.concatenate([self._met, np.zeros(len(missing), np.int64)])
+        found = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        self._met[found] += 1
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -211,4 +262,4 @@ def byte_encoder(path: str) -> PieceEncoder:
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> PieceEncoder:
     """The worker's encoder for a word-level BPE file."""
-    return PieceEncoder(WordBpe(path).encode)
+    return WordPieceEncoder(WordBpe(path).encode)

@@ -109,7 +109,7 @@ def test_shard_answers_like_the_list():
 
 def test_token_files_round_trip(spark):
     library = Tokenizer.from_file(WORD)
-    rows = [*ROWS, *[(100 + i, t.encode("utf-8", "ignore").decode(), 0, "") for i, t in enumerate(TEXTS[:300])]]
+    rows = [*ROWS, (-(2**63), "the smallest id", 1, "x"), (77, "a long text of Word999 and more, " * 4000, 1, "x"), *[(100 + i, t.encode("utf-8", "ignore").decode(), 0, "") for i, t in enumerate(TEXTS[:300])]]
     got = read_token_files(write_token_files(rows_of(spark, rows).repartition(3), WORD, shard_tokens=500)).collect()
     want, start = [], 0
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
