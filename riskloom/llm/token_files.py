@@ -44,7 +44,7 @@ def build_shard(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, planes:
     current = ids
     for plane in range(planes - 1, -1, -1):
         bits = (current & np.uint16(1 << plane)) != 0
-        ones = current[bits]
+        ones = np.compress(bits, current)  # several times faster than a mask as index
         packed = np.packbits(bits)
         raw = packed.tobytes()
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
@@ -58,7 +58,7 @@ def build_shard(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, planes:
             end += len(body[-1])
             ends.append(end)
         head += [struct.pack("<Q", n - len(ones)), np.array(ends, "<i8").tobytes(), before.tobytes()]
-        current = np.concatenate([current[~bits], ones])
+        current = np.concatenate([np.compress(~bits, current), ones])
     return b"".join(head + body)
 
 
@@ -165,8 +165,8 @@ class Shard:
             raw = b"".join(self._raw(p, b) for b in range(len(self._ends[p])))
             bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
             upper = np.empty_like(out)
-            upper[~bits] = out[: self.zeros[p]]
-            upper[bits] = out[self.zeros[p] :] | np.uint16(1 << (self.planes - 1 - p))
+            upper[np.flatnonzero(~bits)] = out[: self.zeros[p]]
+            upper[np.flatnonzero(bits)] = out[self.zeros[p] :] | np.uint16(1 << (self.planes - 1 - p))
             out = upper
         return out
 
