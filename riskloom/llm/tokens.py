@@ -166,11 +166,36 @@ class ByteBpe:
                 yield plain(p)
 
 
+#: Letters that keep their form under NFC, have one small letter each and are one run to the word rule, together with printable ASCII.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+_PLAIN = rf"\A[ -~{_LETTERS}]*\z"
+_WORD = rf"\A[{_LETTERS}]+\z"
+
+
+def _plain(pieces: pa.Array) -> pa.Array:
+    """Which pieces consist of printable ASCII and these letters, without the start of a mark."""
+    plain = pc.ascii_is_printable(pieces)
+    plain = pc.replace_with_mask(plain, pc.invert(plain), pc.match_substring_regex(pieces.filter(pc.invert(plain)), _PLAIN))
+    return pc.and_not(plain, pc.match_substring(pieces, "<|"))
+
+
+def word_keys(pieces: pa.Array) -> pa.Array:
+    """The pieces without blanks around them, plain ones in small letters; word-level files give them the same ids."""
+    keys = pc.ascii_trim(pieces, " \n")
+    return pc.if_else(_plain(keys), pc.utf8_lower(keys), keys)
+
+
+def _id_lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of 16-bit ids, ending at ``ends``, as one binary value each: Arrow copies those whole."""
+    edges = np.concatenate([[0], 2 * ends]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
 class WordBpe:
-    """The tokenizer file's own encoding; pieces of ASCII are cut into words first, and distinct words are encoded many to a text."""
+    """The tokenizer file's own encoding; plain pieces are cut into words first, and distinct words are encoded many to a text."""
 
     #: Words of one text given to the tokenizer.
-    TOGETHER = 2000
+    TOGETHER = 100
 
     def __init__(self, path: str):
         self._whole = Tokenizer.from_file(path)
@@ -180,77 +205,103 @@ class WordBpe:
             tokenizer.no_padding()
         self._words.normalizer = normalizers.Sequence([])
         self._words.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        mark = self._words.encode("\n", add_special_tokens=False).ids
-        if len(mark) != 1:
-            raise ValueError("a line feed must be one id, so that it can part words")
-        self._mark = np.uint16(mark[0])
-        self._pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+        vocab, suffix = self._words.get_vocab(), self._words.model.end_of_word_suffix
+        if not suffix or not all(c in vocab and c + suffix in vocab for c in _byte_letters()):
+            raise ValueError("every byte must have an id inside a word and one at its end, so that these part words")
+        self._last = np.zeros(1 << 16, bool)  # ids that end a word
+        self._last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        small = "a-zß-öø-įı-ſ"
+        self._pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{small}]+|[0-9]|[^\s{small}0-9]+")
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and where each word's begin."""
-        texts = ["\n".join(words[i : i + self.TOGETHER]) for i in range(0, len(words), self.TOGETHER)]
-        flat = [np.zeros(0, np.uint16)]
-        for e in self._words.encode_batch_fast(texts, add_special_tokens=False):
-            flat += [np.array(e.ids, np.uint16), np.array([self._mark])]
-        flat = np.concatenate(flat)
-        ends = np.flatnonzero(flat == self._mark)  # no word holds a line feed
-        return flat[flat != self._mark], np.concatenate([[0], ends - np.arange(len(ends))])
-
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces in a row, and how many each has."""
-        lowered = pc.ascii_lower(pc.ascii_trim(pa.array(pieces, pa.string()), " \n"))
-        alone = pc.ascii_is_alpha(lowered).to_numpy(zero_copy_only=False)
-        coded = lowered.filter(pa.array(alone)).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        number = {}
-        # pieces as runs of words: each word's piece and number
-        owner, used = [np.flatnonzero(alone)], [coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
-        places, cut, odd = [], [], []
-        mixed = np.flatnonzero(~alone)
-        for i, word in zip(mixed.tolist(), lowered.take(pa.array(mixed)).to_pylist()):
-            if word.isascii() and "<|" not in word and word.isprintable():
-                for w in self._pattern.findall(word):
-                    places.append(i)
-                    cut.append(number.setdefault(w, len(words) + len(number)))
-            else:  # other letters, control characters and the marks are left to the file's own rules
-                odd.append(i)
-        owner.append(np.array(places, np.int64))
-        used.append(np.array(cut, np.int64))
+        texts = [" ".join(words[i : i + self.TOGETHER]) for i in range(0, len(words), self.TOGETHER)]
+        found = [np.array(e.ids, np.uint16) for e in self._words.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint16), *found])
+        return flat, np.concatenate([[0], np.flatnonzero(self._last[flat]) + 1])
+
+    def encode(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all distinct keys in a row, and how many each has."""
+        plain = _plain(keys)
+        alone = pc.and_(plain, pc.match_substring_regex(keys, _WORD))
+        # keys as runs of words: each word's key and number
+        words, number = keys.filter(alone).to_pylist(), {}
+        places, cut = [], []
+        mixed = pc.and_not(plain, alone)
+        for i, key in zip(np.flatnonzero(mixed).tolist(), keys.filter(mixed).to_pylist()):
+            for w in self._pattern.findall(key):
+                places.append(i)
+                cut.append(number.setdefault(w, len(words) + len(number)))
         ids, first = self._encode_words([*words, *number])
-        rest = [e.ids for e in self._whole.encode_batch_fast([pieces[i] for i in odd], add_special_tokens=False)]
+        # other letters, control characters and the marks are left to the file's own rules
+        odd = pc.invert(plain)
+        rest = [e.ids for e in self._whole.encode_batch_fast(keys.filter(odd).to_pylist(), add_special_tokens=False)]
         extra = np.fromiter(map(len, rest), np.int64, len(rest))
         ids = np.concatenate([ids, np.fromiter(chain.from_iterable(rest), np.uint16, int(extra.sum()))])
-        used.append(len(first) - 1 + np.arange(len(rest)))
-        first = np.concatenate([first, first[-1] + np.cumsum(extra)])
-        owner.append(np.array(odd, np.int64))
-
-        owner, used = np.concatenate(owner), np.concatenate(used)
+        owner = np.concatenate([np.flatnonzero(alone), np.array(places, np.int64), np.flatnonzero(odd)])
+        used = np.concatenate([np.arange(len(words)), np.array(cut, np.int64), len(first) - 1 + np.arange(len(rest))])
         order = np.argsort(owner, kind="stable")
         owner, used = owner[order], used[order]
-        lengths = np.diff(first)[used]
-        at = np.repeat(first[used] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        return ids[at], np.bincount(owner, weights=lengths, minlength=len(pieces)).astype(np.int64)
+        lists = _id_lists(ids, np.concatenate([first[1:], first[-1] + np.cumsum(extra)])).take(pa.array(used))
+        flat, ends = _runs(lists)
+        return flat, np.bincount(owner, weights=np.diff(ends), minlength=len(keys)).astype(np.int64)
 
 
-class WordPieceEncoder(PieceEncoder):
-    """A ``PieceEncoder`` whose ``encode`` gives the ids of all new pieces in a row and their sizes."""
+def _runs(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all binary values in a row, and where each begins."""
+    if not len(lists):
+        return np.zeros(0, np.uint16), np.zeros(1, np.int64)
+    edges = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1] // 2
+    if edges[-1] == edges[0]:
+        return np.zeros(0, np.uint16), edges - edges[0]
+    return np.frombuffer(lists.buffers()[2], np.uint16)[edges[0] : edges[-1]], edges - edges[0]
 
-    def lookup(self, pieces: list[str]) -> np.ndarray:
-        if len(self._number) > MEMORY:
+
+class WordPieceEncoder:
+    """Turns batches of texts into ids; ``encode`` gives the ids of new distinct keys in a row and their sizes.
+
+    Known keys and their ids are two Arrow columns; no piece becomes a Python object unless its key is new.
+    """
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self._encode = encode
+        self._keys = pa.array([], pa.large_string())
+        self._ids = pa.array([], pa.large_binary())
+        self._met = np.zeros(0, np.int64)  # batches that had the key
+
+    def _trim(self) -> None:
+        """Forget the keys met once; the others stay, their counts halved."""
+        keep = self._met > 1
+        if keep.sum() > MEMORY // 2:
+            keep &= self._met > np.median(self._met[keep])
+        self._keys, self._ids = self._keys.filter(pa.array(keep)), self._ids.filter(pa.array(keep))
+        self._met = self._met[keep] // 2
+
+    def lookup(self, keys: pa.Array) -> pa.Array:
+        """The ids of the distinct keys, after encoding those not known yet."""
+        if len(self._keys) > MEMORY:
             self._trim()
-        number = self._number
-        missing = [p for p in pieces if p not in number]
-        if missing:
-            number.update(zip(missing, range(len(number), len(number) + len(missing))))
+        found = pc.index_in(keys, value_set=self._keys)
+        number = found.fill_null(-1).to_numpy().astype(np.int64)
+        new = number < 0
+        if new.any():
+            missing = keys.filter(found.is_null())
+            number[new] = len(self._keys) + np.arange(len(missing))
             flat, sizes = self._encode(missing)
-            self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(sizes)])
-            self._ids = np.concatenate([self._ids, flat])
+            self._keys = pa.concat_arrays([self._keys, missing])
+            self._ids = pa.concat_arrays([self._ids, _id_lists(flat, np.cumsum(sizes))])
             self._met = np.concatenate([self._met, np.zeros(len(missing), np.int64)])
-        found = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        self._met[found] += 1
-        return found
+        self._met[number] += 1
+        return self._ids.take(pa.array(number))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row (16 bits each), and the first id of each text."""
+        pieces, codes, first = cut_pieces(texts)
+        keys = word_keys(pieces).dictionary_encode()
+        flat, ends = _runs(self.lookup(keys.dictionary).take(keys.indices).take(pa.array(codes)))
+        return flat, ends[first]
 
 
 @lru_cache(maxsize=2)
@@ -260,6 +311,6 @@ def byte_encoder(path: str) -> PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> PieceEncoder:
+def word_encoder(path: str) -> WordPieceEncoder:
     """The worker's encoder for a word-level BPE file."""
     return WordPieceEncoder(WordBpe(path).encode)

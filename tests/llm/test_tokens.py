@@ -36,6 +36,39 @@ def test_encoders_give_the_ids_of_the_library(path, make):
         assert ids[first[i] : first[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_words_that_differ_in_case_or_blanks_are_encoded_once():
+    encode = word_encoder.__wrapped__(WORD)  # one that knows no word yet
+    given, inner = [], encode._encode
+    encode._encode = lambda keys: given.extend(keys) or inner(keys)
+    encode(pa.array(["The été the\nTHE Été", "ÉTÉ the", None]))
+    assert len(given) == 2
+    encode(pa.array(["été\n\nthe"]))
+    assert len(given) == 2
+
+
+def test_letters_beyond_ascii_give_the_ids_of_the_library():
+    library = Tokenizer.from_file(WORD)
+    letters = [chr(c) for c in [*range(1, 0x250), 0x2C7, 0x391, 0x3A3, 0x3C2, 0x410, 0x1E9E, 0x1E96, 0x212A, 0x212B, 0xFB01, 0xFF21]]
+    marks = ["\u0301", "\u0307", "\u030a", "\u030c", "\u0331", "'S", "'ll", ".", "$$$", "7", "<", "<|ENDOFTEXT|>"]
+    texts = [t for c in letters for t in (c, f"Aé{c}b", f"{c}{c} H{c}", f"\n{c.upper()}'Re É{c}5É", f" {c}, {c}. ")]
+    texts += [a + m for a in (*"AaHTWYJIiÉ", "the ", "") for m in marks] + [f"É{m}{n}é" for m in marks for n in marks]
+    encode = word_encoder.__wrapped__(WORD)
+    for _ in range(2):  # new, then known
+        ids, first = encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[first[i] : first[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_words_forgotten_are_encoded_anew(monkeypatch):
+    monkeypatch.setattr("riskloom.llm.tokens.MEMORY", 50)
+    library, encode = Tokenizer.from_file(WORD), word_encoder.__wrapped__(WORD)
+    for seed in range(12):
+        texts = ["", *odd_texts(20, seed % 5), f"same {seed} words"]
+        ids, first = encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encode(pa.array([], pa.string()))[0]) == 0 and encode(pa.array(["", None]))[1].tolist() == [0, 0, 0]
+
+
 def test_codec_gives_the_ids_and_texts_of_the_library():
     library = Tokenizer.from_file(BYTE)
     merge = Merger(BYTE)
@@ -107,6 +140,12 @@ def test_shard_answers_like_the_list():
     assert len(empty.ids()) == 0 and empty.count(3) == 0 and empty.select(3, 0) == -1
 
 
+def test_shards_of_several_steps_give_all_ids():
+    for n in (1, 65_535, 65_536, 65_537, 150_001):
+        ids = np.random.default_rng(n).integers(0, 1 << 16, n).astype(np.uint16)
+        assert (Shard(build_shard(ids, np.array([1]), np.array([n]))).ids() == ids).all()
+
+
 def test_token_files_round_trip(spark):
     library = Tokenizer.from_file(WORD)
     rows = [*ROWS, (-(2**63), "the smallest id", 1, "x"), (77, "a long text of Word999 and more, " * 4000, 1, "x"), *[(100 + i, t.encode("utf-8", "ignore").decode(), 0, "") for i, t in enumerate(TEXTS[:300])]]
