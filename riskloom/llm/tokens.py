@@ -3,7 +3,7 @@
 A text is cut before every blank or line feed that follows a character which is surely not white space,
 and before a comma or full stop that follows an ASCII letter. Neither tokenizer here looks across such
 a cut, so the ids of a text are the ids of its pieces one after the other. Only distinct pieces that the worker has not met lately are encoded; all else is looking
-up and gathering in numpy.
+up and gathering in numpy and Arrow.
 """
 
 from __future__ import annotations
