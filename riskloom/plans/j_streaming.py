@@ -7,14 +7,15 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from ..operators.features import parity_check
-from ..session import shared_path
+from ..session import discard, release, shared_path
 from ..sources import tables
 from ..sources.contracts import parse_transactions
 from ..sources.sinks import read_latest
+from ..sources.versioned import fold
 from ..streaming import features, patterns, runtime, sinks, windows
 from .c_features import snapshot
 from .d_patterns import FAILURES, LARGE, PROBE, PROBES, SIGNALS
-from .e_decisions import records, reissued
+from .e_decisions import records, reissued, stored
 from .oracle import DECISIONS, FEAT, TXN
 from .registry import query
 
@@ -123,9 +124,13 @@ def stream_search_projection(spark, sf):
     """Decision events, each delivered twice, projected for search: one row per decision, the later delivery wins."""
     runtime.prepare_streaming(spark)
     topic, path = shared_path(spark, "decisions"), shared_path(spark, "search")
-    reissued(spark, sf).select("decision_id", "txn_id", "account_token", "risk_level", "action", "cost_ms", "created_at").write.parquet(topic)
+    first = stored(spark, sf, "decision_id", "txn_id", "account_token", "risk_level", "action", "cost_ms", "created_at")
+    reissued(first).write.option("compression", "zstd").parquet(topic)
+    discard(first)
+    release(spark)
     stream = spark.readStream.schema(spark.read.parquet(topic).schema).option("maxFilesPerTrigger", 8).parquet(topic)
     runtime.run_batches(stream, sinks.keyed_sink(path, ["decision_id"], ["created_at", "cost_ms"]), shared_path(spark, "search-checkpoint"))
+    fold(spark, path)
     return read_latest(spark, path).drop("created_at")
 
 

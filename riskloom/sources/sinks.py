@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .versioned import BUCKETS, read_version, upsert
+from .versioned import BUCKETS, put, read_version, upsert
 
 
 def daily_index(df: DataFrame, ts: str = "event_time") -> DataFrame:
@@ -39,13 +39,14 @@ def write_batch(
 ) -> None:
     """Put one batch of a stream into a keyed table: its last row per key, unless a later one is stored.
 
-    Only the buckets of the batch's keys are rewritten, and a batch that is delivered again changes nothing.
+    What is written follows the batch, not the table, and a batch that is delivered again changes nothing. Versions before
+    the last two are dropped, as nobody else would do that while the stream runs.
     """
-    upsert(df.sparkSession, path, df, keys, order, buckets, batch=("stream", batch_id))
+    put(df.sparkSession, path, df, keys, order, buckets, batch=("stream", batch_id))
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The current row of each key: the newest version as it is stored."""
+    """The current row of each key: the newest version, with what a stream has put on it."""
     rows = read_version(spark, path)
     if rows is None:
         raise FileNotFoundError(path)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import random
 from datetime import timedelta
+from hashlib import sha256
+from pathlib import Path
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import features, patterns
+from riskloom.plans import load
+from riskloom.sources import versioned
 from riskloom.sources.sinks import read_latest, write_batch
 from riskloom.sources.versioned import rebucket, version
 from riskloom.streaming import features as sfeatures
@@ -114,6 +118,80 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert sorted(tuple(r) for r in read_latest(spark, str(tmp_path / "small")).collect()) == expected
 
 
+def test_batches_of_a_stream_lie_on_the_table_until_they_are_as_large(spark, tmp_path, monkeypatch):
+    """A batch of all buckets rewrites no part, its intermediate tables and the folders of old versions go, and the rows are
+    the last ones of each key, whatever lies where."""
+    monkeypatch.setattr(versioned, "FAN", 3, raising=False)
+    monkeypatch.setattr(versioned, "SLICE", 1, raising=False)
+    path, schema = str(tmp_path / "sink"), "k int, v int, p string"
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    left = set(shared.glob("upsert*"))
+    expected, parts, rewritten, deep = {}, None, 0, 0
+
+    def deliver(number, rows):
+        write_batch(spark.createDataFrame(rows, schema).repartition(2), path, number, ["k"], ["v"], buckets=2)
+        for k, v, p in rows:
+            if k not in expected or v >= expected[k][0]:  # an equal one of a later batch counts
+                expected[k] = (v, p)
+
+    def found(rows):
+        got = rows.collect()
+        assert len(got) == len(expected)
+        return {r.k: (r.v, r.p) for r in got}
+
+    deliver(0, [(k, 5, sha256(str(k).encode()).hexdigest()) for k in [*range(2000), None]])
+    for n in range(1, 12):
+        # new keys, newer and late rows of known ones, rows as new as the stored ones
+        deliver(n, [(2000 + n, n, f"new {n}"), (n, 9, f"newer {n}"), (n + 1, 4, "late"), (20, 5, f"equal {n}"), (30, n, f"rising {n}"), (None, 5, f"null {n}")])
+        now = version(spark, path)
+        rewritten += parts is not None and parts != now.parts
+        parts, deep = now.parts, max([deep, *(r["level"] for r in now.runs)])
+        assert len(now.runs) <= 3 * 2
+    assert rewritten == 0 and deep == 2
+    assert set(shared.glob("upsert*")) == left
+    named = now.folders() | version(spark, path, now.number - 1).folders()
+    assert {p.name for p in Path(path, "data").iterdir()} == named
+    assert found(read_latest(spark, path)) == expected
+    assert {r.k for p in parts for r in versioned.read_version(spark, path, parts=[p]).collect()} == set(expected)
+    # rows in number make one table of parts and runs
+    deliver(12, [(k, 6, sha256(f"again {k}".encode()).hexdigest()) for k in range(1000, 3500)])
+    assert not version(spark, path).runs and found(read_latest(spark, path)) == expected
+
+
+def test_runs_are_folded_and_give_way_to_other_changes(spark, tmp_path):
+    path, schema = str(tmp_path / "sink"), "k int, v int, p string"
+    base = spark.createDataFrame([(k, 5, sha256(str(k).encode()).hexdigest()) for k in range(2000)], schema)
+    over = spark.createDataFrame([(k, 6, "over") for k in range(10)], schema)
+    some = spark.createDataFrame([(1, 6, "same time"), (3, 5, "late"), (2001, 1, "new")], schema)
+    write_batch(base, path, 0, ["k"], ["v"])
+    write_batch(over, path, 1, ["k"], ["v"])
+    with_run = version(spark, path)
+    assert with_run.runs
+    versioned.upsert(spark, path, some, ["k"], ["v"], removed=over.filter("k = 2"))
+    rows = {r.k: r.p for r in read_latest(spark, path).collect()}
+    assert len(rows) == 2000 and (rows[0], rows[1], rows[3], rows[2001]) == ("over", "same time", "over", "new") and 2 not in rows
+    versioned.fold(spark, path)
+    folded = version(spark, path)
+    assert not folded.runs and {r.k: r.p for r in read_latest(spark, path).collect()} == rows
+    versioned.fold(spark, path)  # nothing to do makes no version
+    assert version(spark, path).number == folded.number
+    # another column makes the table anew, as before
+    write_batch(over.withColumn("v", F.lit(7).cast("long")), path, 2, ["k"], ["v"])
+    assert read_latest(spark, path).filter("v = 7").count() == 10 and read_latest(spark, path).count() == 2001
+
+
+def test_search_projection_leaves_only_topic_and_table(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    queries = load().queries
+    rows = queries["stream_search_projection"](spark, "/root/testdata/sf0.001")
+    made = sorted(p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before)
+    assert made == ["decisions", "search", "search-checkpoint"]
+    first = queries["decisions_idempotent"](spark, "/root/testdata/sf0.001")
+    columns = ["decision_id", "txn_id", "account_token", "risk_level", "action", "cost_ms"]
+    assert sorted(rows.select(columns).collect()) == sorted(first.withColumn("cost_ms", F.col("cost_ms") * 2).select(columns).collect())
+
+
 def test_late_event_of_a_past_day_counts_for_devices_only(spark, txn, tmp_path):
     df = txn([("e-2", "a", "2026-07-22T01:00:00", 200, "x"), ("e-3", "a", "2026-07-21T23:58:00", 900, "y")])
     runtime.prepare_streaming(spark)
